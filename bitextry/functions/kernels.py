@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 BLEU_ORDER = 4
 CHRF_ORDER = 6
-# Upper bound on the tokens a kernel expands at once, so that memory does not follow the batch size.
-TOKENS_PER_SLICE = 2_000_000
+# Tokens that a kernel expands at once: hash tables stay in the processor cache, and memory does not
+# follow the batch size.
+TOKENS_PER_SLICE = 50_000
 
 
 def _slices(weights: np.ndarray) -> Iterator[slice]:
@@ -81,9 +82,13 @@ def clipped_matches(
         allowed = np.zeros_like(found)
         for k in range(1, len(sides)):
             np.maximum(allowed, np.bincount(gram[side == k], minlength=len(distinct)), out=allowed)
+        matches = np.minimum(found, allowed)
         owner = np.empty(len(distinct), dtype=np.int64)
         owner[gram] = token_row[start]
-        out[:, order - 1] = np.bincount(owner, weights=np.minimum(found, allowed), minlength=rows)
+        out[:, order - 1] = np.bincount(owner, weights=matches, minlength=rows)
+        # A longer n-gram can only match where this one does.
+        matched = matches[gram] > 0
+        start, gram = start[matched], gram[matched]
     return out
 
 

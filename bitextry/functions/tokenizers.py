@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,25 +36,38 @@ def whitespace_tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(as_column(text), f"(?U){WHITESPACE}+"), "")
 
 
+def _rewrite(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
 def mteval_13a_tokens(text: Column | str) -> Column:
-    """The 13a tokenization used by default in machine-translation scoring."""
+    """The 13a tokenization used by default in machine-translation scoring.
+
+    The second rule pairs each ``.`` or ``,`` with the character before it, which makes the regex engine
+    stop at nearly every character. Looking for the mark first is twice as fast and gives the same
+    tokens, except that in a run of marks before a digit the pairing matters; such lines take the
+    rules as written.
+    """
     out = as_column(text)
     for literal, replacement in MTEVAL_13A_LITERALS:
         out = F.replace(out, F.lit(literal), F.lit(replacement))
     out = F.concat(F.lit(" "), out, F.lit(" "))
-    for pattern, replacement in MTEVAL_13A_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
-    return whitespace_tokens(out)
+    punctuation, _, before_other, dash = MTEVAL_13A_RULES
+    faster = (punctuation, (r"[.,](?<=[^0-9].)", " $0 "), before_other, dash)
+    exact = F.when(out.rlike(r"[.,]{2}[0-9]"), _rewrite(out, MTEVAL_13A_RULES)).otherwise(_rewrite(out, faster))
+    return whitespace_tokens(exact)
 
 
 def character_tokens(text: Column | str) -> Column:
     """Every code point that is not white space."""
-    return F.regexp_extract_all(as_column(text), F.lit(r"(?U)[^\s\x1c-\x1f]"), F.lit(0))
+    return F.array_remove(F.split(F.regexp_replace(as_column(text), f"(?U){WHITESPACE}+", ""), ""), "")
 
 
 def alphanumeric_tokens(text: Column | str) -> Column:
     """Lowercased runs of ASCII letters and digits, as ROUGE counts them."""
-    return F.regexp_extract_all(F.lower(as_column(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(as_column(text)), "[^a-z0-9]+"), "")
 
 
 def pluggable(factory: Callable[[], Callable[[str], list]], returns: str = "array<string>") -> Tokenizer:

@@ -58,14 +58,14 @@ def patience_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views(
-        f"select run, min(case when counter >= {PATIENCE} then step end) stop_step from counted group by run",
+        f"select run, coalesce(min(case when counter >= {PATIENCE} then step end), -1) stop_step from counted group by run",
         "metric_log",
         counted=_counted_sql("metric_log", "run", "eval_loss"),
     )
 )
 def early_stop_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = checkpoints.patience_counter(views.metric_log(spark, sf_dir), threshold=THRESHOLD)
-    return checkpoints.early_stop_step(counted, PATIENCE)
+    return checkpoints.early_stop_step(counted, PATIENCE).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))
 
 
 _TRACKED = f"{BLEU_DOUBLES} chrf"
@@ -75,7 +75,7 @@ _TRACKED = f"{BLEU_DOUBLES} chrf"
     with_views(
         """select lang, metric, best_step, round(-best, 6) best_value, stop_step from
              (select lang, metric, min_by(step, (loss, step)) best_step, min(loss) best from log group by all)
-           join (select lang, metric, min(case when counter >= 2 then step end) stop_step from counted group by all)
+           join (select lang, metric, coalesce(min(case when counter >= 2 then step end), -1) stop_step from counted group by all)
            using (lang, metric)""",
         "step_pairs",
         **sql.bleu("step_pairs", "lang, step", "doc_id, line_no"),
@@ -90,7 +90,7 @@ def checkpoint_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = corpus_scores(views.step_pairs(spark, sf_dir), [Bleu(), Chrf()], by=["lang", "step"])
     log = tall(rounded(scores).drop("ref_len", "sys_len"), ["lang", "step"])
     tracked = jobs.track_checkpoints(log, "value", THRESHOLD, 2, True, ["lang", "metric"])
-    return rounded(tracked)
+    return rounded(tracked).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))
 
 
 def reversing_words():
@@ -175,7 +175,7 @@ REPORT_SQL = with_views(
         "ref_types hyp_types both_types ref_only_types hyp_only_types both_share ref_only_share hyp_only_share",
     )
     + f""" union all select lang, 'top_' || side, rank, token, n::double from ({TOP_SQL})
-    union all select lang, 'only_' || side, rank, token, null from
+    union all select lang, 'only_' || side, rank::int, token, null from
       (select *, row_number() over (partition by lang, side order by token) rank from counts c
        where not exists (select 1 from counts o where o.lang = c.lang and o.token = c.token and o.side <> c.side))
       where rank <= 7""",

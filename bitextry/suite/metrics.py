@@ -52,10 +52,54 @@ def ter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(corpus_scores(views.pairs(spark, sf_dir), [Ter()], by=["lang"]))
 
 
+PLAIN_EDITS = Ter(shifts=False, case_sensitive=True, name="word_edit_rate")
+
+
 @query()
+def word_edit_rate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(corpus_scores(views.pairs(spark, sf_dir), [PLAIN_EDITS], by=["lang"]))
+
+
+# The edit matrix row by row: one step per hypothesis word, all rows at once.
+_EDITS = dict(
+    cut=f"select doc_id, {sql.words('hyp')} h, {sql.words('summary')} r from summ",
+    edited="""
+      with recursive steps as (
+        select doc_id, 0 i, j, h, len(h) n, r[j] t, j d from (select *, unnest(range(1, len(r) + 1)) j from cut)
+        union all
+        select doc_id, i, j, h, n, t, least(min(c - j) over (partition by doc_id order by j), i) + j from
+          (select doc_id, i + 1 i, j, h, n, t,
+                  least(d + 1, coalesce(lag(d) over (partition by doc_id order by j), i) + (t <> h[i + 1])::int) c
+           from steps where i < n))
+      select doc_id, max_by(d, j)::bigint edits from steps where i = n group by doc_id""",
+)
+
+
+@query(
+    with_views(
+        "select doc_id, edits, len(r)::double ref_words from cut join edited using (doc_id)",
+        "summ",
+        **_EDITS,
+    )
+)
+def word_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.summaries(spark, sf_dir)
+    stats = scoring.row_statistics(rows, [PLAIN_EDITS], "hyp", "summary", ["doc_id"])
+    return stats.select(
+        "doc_id", F.col("word_edit_rate__edits").alias("edits"), F.col("word_edit_rate__ref_words").alias("ref_words")
+    )
+
+
+@query(
+    with_views(
+        """select round(100.0 * sum(edits) / sum(len(r)), 6) word_edit_rate, sum(edits)::bigint word_edit_rate_edits,
+                  sum(len(r))::double word_edit_rate_ref_words from cut join edited using (doc_id)""",
+        "summ",
+        **_EDITS,
+    )
+)
 def word_edit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = Ter(shifts=False, case_sensitive=True, name="word_edit_rate")
-    return rounded(corpus_scores(views.pairs(spark, sf_dir), [edits], by=["lang"]))
+    return rounded(corpus_scores(views.summaries(spark, sf_dir), [PLAIN_EDITS], "hyp", "summary"))
 
 
 def _rouge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.token_counts(tokens, ["lang"])
 
 
-TOP_SQL = """select lang, side, rank, token, n from
+TOP_SQL = """select lang, side, rank::int rank, token, n from
     (select *, row_number() over (partition by lang, side order by n desc, token) rank from counts) where rank <= 20"""
 
 
@@ -85,7 +85,7 @@ def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _compared(
-        """select lang, side, rank, token from
+        """select lang, side, rank::int rank, token from
            (select *, row_number() over (partition by lang, side order by token) rank from counts c
             where not exists (select 1 from counts o where o.lang = c.lang and o.token = c.token and o.side <> c.side))
            where rank <= 7"""
