@@ -49,12 +49,9 @@ def seeded_batches(df: DataFrame, key: Column, batch_size: int, max_steps: int,
     if not rows or not wanted:
         raise ValueError("no rows to batch")
     epochs = math.ceil(wanted / rows)
-    out = None
-    for epoch in range(epochs):
-        left = wanted - epoch * rows
-        part = shuffled_ordinal(
-            df, F.concat_ws(":", F.lit(str(epoch)), key), seed, "position", None if left >= rows else left
-        )
-        part = part.select("*", F.lit(epoch).alias("epoch"), batch_id(F.col("position") + epoch * rows, batch_size).alias("step"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    repeated = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    done = F.col("epoch").cast("bigint") * rows
+    shuffled = shuffled_ordinal(
+        repeated, F.concat_ws(":", "epoch", key), seed, "position", ["epoch"], F.lit(wanted) - done, epochs
+    )
+    return shuffled.withColumn("step", batch_id(F.col("position") + done, batch_size))

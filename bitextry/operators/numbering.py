@@ -36,28 +36,38 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "r
     )
 
 
-def shuffled_ordinal(df: DataFrame, key: Column, seed: int, name: str = "row_no", keep: int | None = None) -> DataFrame:
+def shuffled_ordinal(
+    df: DataFrame,
+    key: Column,
+    seed: int,
+    name: str = "row_no",
+    by: Sequence[str] = (),
+    keep: Column | None = None,
+    groups: int = 1,
+) -> DataFrame:
     """Add each row's position in a seeded random order: the order of ``md5(seed, key)``, then ``key``.
 
     Hash prefixes cut the order into even buckets. Their counts give each bucket's offset, so a row is
-    ranked inside its bucket only. With ``keep``, buckets beyond that many rows are never shuffled.
+    ranked inside its bucket only. Positions start anew per ``by`` group, of which there are ``groups``.
+    Rows at or beyond position ``keep`` are left out, whole buckets of them before any shuffle.
     """
+    by = list(by)
     hashed = df.withColumn("_key", key).withColumn(
         "_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_key")).cast("binary"))
     )
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, HASH_BUCKETS_HEX))
-    # At most 16 ** HASH_BUCKETS_HEX rows.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # At most 16 ** HASH_BUCKETS_HEX rows per group.
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        hashed.groupBy("_bucket")
+        hashed.groupBy(*by, "_bucket")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+        .select(*by, "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     )
     if keep is not None:
         starts = starts.filter(F.col("_start") < keep)
-    ranked = Window.partitionBy("_bucket").orderBy("_hash", "_key")
+    ranked = Window.partitionBy(*by, "_bucket").orderBy("_hash", "_key")
     out = (
-        hashed.join(small(starts, 16**HASH_BUCKETS_HEX), "_bucket")
+        hashed.join(small(starts, groups * 16**HASH_BUCKETS_HEX), [*by, "_bucket"])
         .withColumn(name, F.col("_start") + F.row_number().over(ranked) - 1)
         .drop("_key", "_hash", "_bucket", "_start")
     )

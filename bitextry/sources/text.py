@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,7 +67,12 @@ def scan_groups(
         blocks.withColumn("block_start", F.coalesce(F.sum("block_lines").over(of_file), F.lit(0)))
         .join(small(file_starts, len(listed)), ["group", "file_ord"])
         .select(
-            "file", "block", "group", "block_lines", (F.col("file_start") + F.col("block_start") - F.col("first_id")).alias("shift"), "first_id"
+            "file",
+            "block",
+            "group",
+            "block_lines",
+            "first_id",
+            (F.col("file_start") + F.col("block_start") - F.col("first_id")).alias("shift"),
         )
     )
     inside = F.col("row_id") - F.col("first_id")
@@ -84,22 +90,40 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], column: str = "t
     return scan_groups(spark, {"all": paths}, column).select("line_no", column)
 
 
-def write_lines(df: DataFrame, text: Column | str, path: str, order_by: str = "line_no") -> None:
+def _in_line_order(df: DataFrame, order_by: str, lines_per_file: int) -> DataFrame:
+    """Partitions that follow each other in ``order_by`` order, each sorted.
+
+    The bounds come from a pass over the key column alone, so whatever made the text (a model, say)
+    runs once. Numbers with large gaps could crowd into few partitions; those are range-partitioned by
+    sample instead.
+    """
+    rows, low, high = df.agg(F.count(order_by), F.min(order_by), F.max(order_by)).first()
+    if not rows:
+        return df.coalesce(1)
+    span = high - low + 1
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(rows / lines_per_file), min(cores, math.ceil(rows / 1000)))
+    if span > 2 * rows:
+        placed = df.repartitionByRange(parts, order_by)
+    else:
+        width = math.ceil(span / parts)
+        placed = df.repartitionById(parts, F.floor((F.col(order_by) - low) / width).cast("int"))
+    return placed.sortWithinPartitions(order_by)
+
+
+def write_lines(
+    df: DataFrame, text: Column | str, path: str, order_by: str = "line_no", lines_per_file: int = 1_000_000
+) -> None:
     """One line per row. Part files, read in name order, give the rows in ``order_by`` order.
 
-    A line break inside a row would shift every later line, so it is an error.
+    A line break inside a row would shift every later line, so it is an error; so is a null.
     """
     text = as_column(text)
     one_line = F.when(
         text.isNull() | text.rlike(r"[\r\n]"), F.raise_error(F.lit("each row must be exactly one line")).cast("string")
     ).otherwise(text)
-    (
-        df.select(F.col(order_by), one_line.alias("value"))
-        .repartitionByRange(order_by)
-        .sortWithinPartitions(order_by)
-        .select("value")
-        .write.text(path)
-    )
+    lines = df.select(F.col(order_by), one_line.alias("value"))
+    _in_line_order(lines, order_by, lines_per_file).select("value").write.text(path)
 
 
 def write_batch_tagged(df: DataFrame, text: Column | str, path: str, batch_size: int, order_by: str = "line_no") -> None:
