@@ -203,11 +203,25 @@ def generated_length(df: DataFrame, non_pad: Column, by: Sequence[str] = ()) ->
     return df.groupBy(*by).agg(F.avg(non_pad).alias("sys_len_avg"))
 
 
-def id_health(df: DataFrame, ids: str, vocab_size: int, by: Sequence[str] = ()) -> DataFrame:
-    """Smallest and largest predicted id and how many lie outside the vocabulary; nulls when there are none."""
+HEALTH_COLUMNS = ("_id_min", "_id_max", "_id_invalid")
+
+
+def health_columns(ids: str, vocab_size: int) -> dict[str, Column]:
+    """Per row: the smallest and largest id, and how many lie outside the vocabulary."""
     invalid = F.size(F.filter(ids, lambda x: (x < 0) | (x >= vocab_size)))
-    return df.groupBy(*by).agg(
-        F.min(F.array_min(ids)).alias("pred_min"),
-        F.max(F.array_max(ids)).alias("pred_max"),
-        F.coalesce(F.sum(invalid), F.lit(0)).alias("invalid_count"),
-    )
+    return dict(zip(HEALTH_COLUMNS, (F.array_min(ids), F.array_max(ids), invalid)))
+
+
+def health_aggregates() -> dict[str, Column]:
+    """Aggregates over :func:`health_columns`; the extremes of no ids at all are null."""
+    return {
+        "pred_min": F.min("_id_min"),
+        "pred_max": F.max("_id_max"),
+        "invalid_count": F.coalesce(F.sum("_id_invalid"), F.lit(0)),
+    }
+
+
+def id_health(df: DataFrame, ids: str, vocab_size: int, by: Sequence[str] = ()) -> DataFrame:
+    """Smallest and largest predicted id and how many are invalid."""
+    rows = df.withColumns(health_columns(ids, vocab_size))
+    return rows.groupBy(*by).agg(*(c.alias(n) for n, c in health_aggregates().items()))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.operators.numbering import with_ordinal
-from bitextry.session import BROADCAST_ROW_LIMIT
+from bitextry.session import BROADCAST_ROW_LIMIT, checkpointed
 
 # Ids of the special tokens, then the first id of an ordinary one.
 PAD_ID, END_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2, 3
@@ -124,40 +127,59 @@ def build_vocabulary(tokens: DataFrame, max_size: int | None = None) -> DataFram
     return top.select("token", (rank + FIRST_ID - 1).cast("int").alias("id"))
 
 
-def _small_vocabulary(vocabulary: DataFrame, limit: int) -> pa.Table | None:
-    """The vocabulary in id order, if it has at most ``limit`` rows and gapless ids."""
-    table = vocabulary.select("token", "id").limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return None
-    table = table.sort_by("id")
+@dataclass(frozen=True)
+class Vocabulary:
+    """A vocabulary ready for lookups: on every executor when it is small, else as a table to join."""
+
+    frame: DataFrame
+    tokens: Broadcast | None
+
+
+def prepare(vocabulary: DataFrame | Vocabulary, limit: int = BROADCAST_ROW_LIMIT) -> Vocabulary:
+    """Compute a ``token, id`` vocabulary once; broadcast it if it has at most ``limit`` rows.
+
+    Ids must run from the first ordinary id without gaps to be looked up by position.
+    """
+    if isinstance(vocabulary, Vocabulary):
+        return vocabulary
+    frame = checkpointed(vocabulary.select("token", "id"))
+    table = frame.limit(limit + 1).toArrow().sort_by("id")
     ids = table.column("id").to_numpy()
-    return table if (ids == range(FIRST_ID, FIRST_ID + len(ids))).all() else None
+    if table.num_rows > limit or not (ids == np.arange(FIRST_ID, FIRST_ID + len(ids))).all():
+        return Vocabulary(frame, None)
+    tokens = table.column("token").combine_chunks().cast(pa.string())
+    return Vocabulary(frame, vocabulary.sparkSession.sparkContext.broadcast(tokens))
 
 
 def encode(
-    df: DataFrame, tokens: str, vocabulary: DataFrame, keys: Sequence[str], ids: str = "ids", limit: int = BROADCAST_ROW_LIMIT
+    df: DataFrame, tokens: str, vocabulary: DataFrame | Vocabulary, keys: Sequence[str], ids: str = "ids"
 ) -> DataFrame:
     """Replace a token array by ids; unknown tokens get the unknown id.
 
-    A vocabulary of at most ``limit`` rows is looked up in place, without a shuffle. A larger one is
-    joined; ``keys`` must then identify a row.
+    A small vocabulary is looked up in place, without a shuffle. A large one is joined; ``keys`` must
+    then identify a row.
     """
-    table = _small_vocabulary(vocabulary, limit)
-    if table is None:
-        return _encode_by_join(df, tokens, vocabulary, keys, ids)
-    known = df.sparkSession.sparkContext.broadcast(table.column("token").combine_chunks().cast(pa.string()))
+    vocabulary = prepare(vocabulary)
+    if vocabulary.tokens is None:
+        return _encode_by_join(df, tokens, vocabulary.frame, keys, ids)
+    known = vocabulary.tokens
 
     @F.arrow_udf("array<int>")
     def look_up(rows: pa.Array) -> pa.Array:
         at = pc.index_in(rows.flatten().cast(pa.string()), value_set=known.value)
         found = pc.fill_null(pc.add(at, pa.scalar(FIRST_ID, pa.int32())), UNKNOWN_ID)
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(rows), 0))
-        offsets = pa.concat_arrays([pa.array([0], ends.type), ends]).cast(pa.int32())
-        return pa.ListArray.from_arrays(offsets, found.cast(pa.int32()))
+        return _nested(rows, found.cast(pa.int32()))
 
     return df.withColumn(ids, look_up(tokens)).drop(*({tokens} - {ids}))
 
 
+def _nested(rows: pa.Array, values: pa.Array) -> pa.Array:
+    """Flat values in the list shape of ``rows``."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(rows), 0))
+    offsets = pa.concat_arrays([pa.array([0], ends.type), ends]).cast(pa.int32())
+    return pa.ListArray.from_arrays(offsets, values)
+
+
 def _joined(elements: DataFrame, vocabulary: DataFrame, on: str) -> DataFrame:
     """Left join of exploded elements with the vocabulary, salted against frequent elements."""
     salt = F.pmod(F.xxhash64(*(c for c in elements.columns)), F.lit(LOOKUP_SALTS)).cast("int")
@@ -176,35 +198,32 @@ def _gathered(df: DataFrame, elements: DataFrame, value: Column, keys: Sequence[
 
 def _encode_by_join(df: DataFrame, tokens: str, vocabulary: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
     exploded = df.select(*keys, F.posexplode(tokens).alias("_i", "token"))
-    coded = _joined(exploded, vocabulary.select("token", "id"), "token")
+    coded = _joined(exploded, vocabulary, "token")
     return _gathered(df, coded, F.coalesce("id", F.lit(UNKNOWN_ID)), keys, tokens, ids)
 
 
 def decode(
-    df: DataFrame, ids: str, vocabulary: DataFrame, keys: Sequence[str], text: str = "text", limit: int = BROADCAST_ROW_LIMIT
+    df: DataFrame, ids: str, vocabulary: DataFrame | Vocabulary, keys: Sequence[str], text: str = "text"
 ) -> DataFrame:
     """Replace an id array by its text: special ids are skipped, tokens are joined by spaces.
 
     Ids that are neither special nor in the vocabulary are skipped too. Large vocabularies are joined
     as in :func:`encode`.
     """
+    vocabulary = prepare(vocabulary)
     wanted = df.withColumn(ids, F.filter(ids, lambda x: ~x.isin(*SPECIAL_IDS)))
-    table = _small_vocabulary(vocabulary, limit)
-    if table is None:
+    if vocabulary.tokens is None:
         exploded = wanted.select(*keys, F.posexplode(ids).alias("_i", "id"))
-        found = _joined(exploded, vocabulary.select("token", "id"), "id").filter(F.col("token").isNotNull())
+        found = _joined(exploded, vocabulary.frame, "id").filter(F.col("token").isNotNull())
         words = _gathered(wanted, found, F.col("token"), keys, ids, text)
         return words.withColumn(text, F.array_join(text, " "))
-    known = df.sparkSession.sparkContext.broadcast(table.column("token").combine_chunks().cast(pa.string()))
+    known = vocabulary.tokens
 
     @F.arrow_udf("array<string>")
     def look_up(rows: pa.Array) -> pa.Array:
         at = pc.subtract(rows.flatten().cast(pa.int64()), FIRST_ID)
         inside = pc.and_(pc.greater_equal(at, 0), pc.less(at, len(known.value)))
-        words = known.value.take(pc.if_else(inside, at, None))
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(rows), 0))
-        offsets = pa.concat_arrays([pa.array([0], ends.type), ends]).cast(pa.int32())
-        return pa.ListArray.from_arrays(offsets, words)
+        return _nested(rows, known.value.take(pc.if_else(inside, at, None)))
 
     # array_join leaves nulls out.
     return wanted.withColumn(text, F.array_join(look_up(ids), " ")).drop(*({ids} - {text}))

@@ -58,7 +58,7 @@ def translation_report(
 
 def seq2seq_rows(
     pairs: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | vocabulary.Vocabulary,
     keys: Sequence[str],
     instruction: str = "",
     max_length: int = 128,
@@ -66,6 +66,7 @@ def seq2seq_rows(
 ) -> DataFrame:
     """Add ``input_ids, attention_mask, labels`` to ``src, trg`` rows for sequence-to-sequence training."""
     tokens = pairs.select("*", cut(instruction_prefix("src", instruction)).alias("_in"), cut(F.col("trg")).alias("_out"))
+    vocab = vocabulary.prepare(vocab)
     for source, ids in (("_in", "input_ids"), ("_out", "labels")):
         tokens = vocabulary.encode(tokens, source, vocab, keys, ids)
     room = max_length - 1
@@ -79,7 +80,7 @@ def seq2seq_rows(
 
 def score_ids(
     df: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | vocabulary.Vocabulary,
     keys: Sequence[str],
     vocab_size: int,
     by: Sequence[str] = (),
@@ -87,22 +88,26 @@ def score_ids(
     end_id: int | None = vocabulary.END_ID,
 ) -> DataFrame:
     """Validation record from predicted ``ids`` and ``labels``: BLEU, chrF, lengths and id health."""
-    by = list(by)
+    by, vocab = list(by), vocabulary.prepare(vocab)
     pad_id = arrays.resolve_pad_id(pad_id, end_id)
-    health = scoring.id_health(df, "ids", vocab_size, by)
-    fixed = df.withColumns(
+    health = scoring.health_aggregates()
+    rows = df.withColumns(scoring.health_columns("ids", vocab_size)).withColumns(
         {"ids": arrays.repair_ids("ids", vocab_size, pad_id), "labels": arrays.unmask_labels("labels", pad_id)}
-    ).withColumn("_non_pad", arrays.count_non_pad("ids", pad_id))
+    )
+    rows = rows.withColumn("_non_pad", arrays.count_non_pad("ids", pad_id))
     for source, text in (("ids", "hyp"), ("labels", "ref")):
-        fixed = vocabulary.decode(fixed, source, vocab, keys, text)
-    lines = fixed.withColumns({side: strip(side) for side in ("hyp", "ref")})
+        rows = vocabulary.decode(rows, source, vocab, keys, text)
+    lines = rows.withColumns({side: strip(side) for side in ("hyp", "ref")})
     metrics = [scoring.Bleu(smooth="exp"), scoring.Chrf()]
-    stats = scoring.row_statistics(lines, metrics, by=[*by, "_non_pad"])
-    names = [c for c in stats.columns if c not in by and c != "_non_pad"]
-    sums = stats.groupBy(*by).agg(F.avg("_non_pad").alias("sys_len_avg"), *(F.sum(n).alias(n) for n in names))
-    scores = scoring.close_scores(sums, metrics, [*by, "sys_len_avg"])
-    # One row per group on both sides.
-    return scores.join(health, by) if by else scores.withColumn("_k", F.lit(0)).join(health.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    carried = [*by, "_non_pad", *scoring.HEALTH_COLUMNS]
+    stats = scoring.row_statistics(lines, metrics, by=carried)
+    # One aggregation for everything, so the predictions are read once.
+    sums = stats.groupBy(*by).agg(
+        *(F.sum(n).alias(n) for n in stats.columns if n not in carried),
+        F.avg("_non_pad").alias("sys_len_avg"),
+        *(c.alias(n) for n, c in health.items()),
+    )
+    return scoring.close_scores(sums, metrics, [*by, "sys_len_avg", *health])
 
 
 def metrics_by_step(steps: DataFrame, references: DataFrame, metrics: Sequence, by: Sequence[str] = ("step",)) -> DataFrame:

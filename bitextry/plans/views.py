@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitextry.operators.numbering import following, running
-from bitextry.operators.vocabulary import build_vocabulary, encode
+from bitextry.operators.vocabulary import Vocabulary, build_vocabulary, encode, prepare
 from bitextry.session import spread
 
 VOCABULARY_SIZE = 2000
@@ -85,10 +85,10 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_vocabulary(words, VOCABULARY_SIZE)
 
 
-def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, line_no, ref, ids``: the encoded reference lines."""
-    words = lines(spark, sf_dir).select("doc_id", "lang", "line_no", F.col("line").alias("ref"), F.split("line", " ").alias("tokens"))
-    return encode(words, "tokens", vocabulary(spark, sf_dir), ["doc_id", "line_no"])
+def ids(spark: SparkSession, sf_dir: str, vocab: Vocabulary | None = None) -> DataFrame:
+    """``doc_id, lang, line_no, ids``: the encoded reference lines."""
+    words = lines(spark, sf_dir).select("doc_id", "lang", "line_no", F.split("line", " ").alias("tokens"))
+    return encode(words, "tokens", vocab or prepare(vocabulary(spark, sf_dir)), ["doc_id", "line_no"])
 
 
 def damaged(ids: Column | str) -> Column:

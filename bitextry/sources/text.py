@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from bitextry.functions.strings import as_column, clean_output
 from bitextry.session import checkpointed, small
 
+# File blocks, each one short row, that a broadcast may hold; at 128 MB a block this is beyond 100 TB.
+BLOCK_LIMIT = 1_000_000
+
 _ROOT = r"^file:/+"
 
 
@@ -32,8 +35,9 @@ def scan_groups(
     in (file, block) order, then add the position inside the block. A block's lines stay together
     in one task, so that position is a difference of row ids.
 
-    Both passes must see the same blocks. With dynamic allocation block sizes may move between them,
-    so the rows are then checkpointed first (``freeze``); a mismatch raises either way.
+    The counting pass runs at once; its result is checkpointed and so small that the second pass
+    needs no shuffle. Both passes must see the same blocks. With dynamic allocation block sizes may
+    move between them, so the rows are then checkpointed first (``freeze``); a mismatch raises either way.
     """
     listed = _listed_files(spark, groups)
     if freeze is None:
@@ -63,7 +67,7 @@ def scan_groups(
         .agg(F.sum("block_lines").alias("file_lines"))
         .select("group", "file_ord", F.coalesce(F.sum("file_lines").over(of_group), F.lit(0)).alias("file_start"))
     )
-    starts = (
+    starts = checkpointed(
         blocks.withColumn("block_start", F.coalesce(F.sum("block_lines").over(of_file), F.lit(0)))
         .join(small(file_starts, len(listed)), ["group", "file_ord"])
         .select(
@@ -80,8 +84,8 @@ def scan_groups(
         inside.isNull() | (inside < 0) | (inside >= F.col("block_lines")),
         F.raise_error(F.concat(F.lit("file blocks changed while lines were numbered: "), F.col("file"))).cast("bigint"),
     ).otherwise(F.col("shift") + F.col("row_id"))
-    # No hint: the number of blocks follows the corpus, so Spark chooses the join from their real size.
-    return rows.join(starts, ["file", "block"], "left").select("group", checked.alias("line_no"), column)
+    placed = rows.join(small(starts, starts.count(), BLOCK_LIMIT), ["file", "block"], "left")
+    return placed.select("group", checked.alias("line_no"), column)
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], column: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bitextry.operators import checkpoints
 from bitextry.operators.inference import predict as run_predictor
 from bitextry.operators.scoring import Bleu, Chrf, corpus_scores
+from bitextry.operators.vocabulary import prepare
 from bitextry.plans import jobs, views
 from bitextry.plans.views import with_views
 from bitextry.session import scratch_path
@@ -241,8 +242,8 @@ def _decoded(ids: str) -> str:
     )
 )
 def score_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = damaged_ids(spark, sf_dir).select("doc_id", "lang", "line_no", "ids", F.col("true_ids").alias("labels"))
-    vocab = views.vocabulary(spark, sf_dir)
+    vocab = prepare(views.vocabulary(spark, sf_dir))
+    rows = damaged_ids(spark, sf_dir, vocab).select("doc_id", "lang", "line_no", "ids", F.col("true_ids").alias("labels"))
     return rounded(jobs.score_ids(rows, vocab, ["doc_id", "line_no"], VOCAB_SIZE, ["lang"]))
 
 

@@ -83,7 +83,7 @@ def truncate_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batched(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    numbered = with_ordinal(views.ids(spark, sf_dir).drop("ref"), ["doc_id", "line_no"])
+    numbered = with_ordinal(views.ids(spark, sf_dir), ["doc_id", "line_no"])
     return numbered.withColumn("batch_id", batching.batch_id("row_no", size))
 
 
@@ -150,7 +150,7 @@ def attention_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = views.vocabulary(spark, sf_dir)
+    vocab = vocabulary.prepare(views.vocabulary(spark, sf_dir))
     rows = views.chat(spark, sf_dir).select("conv_id", "turn", F.split("src", " ").alias("src"), F.split("trg", " ").alias("trg"))
     for side in ("src", "trg"):
         rows = vocabulary.encode(rows, side, vocab, ["conv_id", "turn"], ids=f"{side}_ids")
@@ -177,8 +177,8 @@ def label_unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", "line_no", shown("labels").alias("labels"), shown(unmasked).alias("unmasked"))
 
 
-def damaged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.ids(spark, sf_dir).withColumn("true_ids", F.col("ids")).withColumn("ids", views.damaged("ids"))
+def damaged_ids(spark: SparkSession, sf_dir: str, vocab: vocabulary.Vocabulary | None = None) -> DataFrame:
+    return views.ids(spark, sf_dir, vocab).withColumn("true_ids", F.col("ids")).withColumn("ids", views.damaged("ids"))
 
 
 REPAIRED_SQL = f"[case when ids[i] < 0 or ids[i] >= {VOCAB_SIZE} then 0 else ids[i] end for i in range(1, len(ids) + 1)]"
@@ -200,8 +200,9 @@ DECODED_SQL = f"""select doc_id, lang, line_no, coalesce(string_agg(tok, ' ' ord
 
 @query(with_views("select doc_id, line_no, text from decoded", "pred_ids", decoded=DECODED_SQL))
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = damaged_ids(spark, sf_dir).withColumn("ids", repaired())
-    text = vocabulary.decode(rows, "ids", views.vocabulary(spark, sf_dir), ["doc_id", "line_no"])
+    vocab = vocabulary.prepare(views.vocabulary(spark, sf_dir))
+    rows = damaged_ids(spark, sf_dir, vocab).withColumn("ids", repaired())
+    text = vocabulary.decode(rows, "ids", vocab, ["doc_id", "line_no"])
     return text.select("doc_id", "line_no", "text")
 
 

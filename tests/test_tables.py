@@ -156,10 +156,12 @@ def test_vocabulary_paths_agree(spark):
     assert {tuple(r) for r in vocab.collect()} <= {tuple(r) for r in whole.collect()}
     assert sorted(r["id"] for r in whole.collect()) == list(range(3, 3 + whole.count()))
     looked_up = vocabulary.encode(df, "tokens", vocab, ["k"])
-    joined = vocabulary.encode(df, "tokens", vocab, ["k"], limit=5)
+    as_table = vocabulary.prepare(vocab, limit=5)
+    assert as_table.tokens is None and vocabulary.prepare(vocab, limit=20).tokens is not None
+    joined = vocabulary.encode(df, "tokens", as_table, ["k"])
     assert sorted(looked_up.collect()) == sorted(joined.collect())
     back = vocabulary.decode(looked_up, "ids", vocab, ["k"])
-    again = vocabulary.decode(looked_up, "ids", vocab, ["k"], limit=5)
+    again = vocabulary.decode(looked_up, "ids", as_table, ["k"])
     assert sorted(back.collect()) == sorted(again.collect())
     known = {r["token"] for r in vocab.collect()}
     want = {k: " ".join(t for t in ts if t in known) for k, ts in lines}
