@@ -78,18 +78,33 @@ def _alignment(ref: _Reference, words: list[int], rows: list[tuple[int, int]]):
     return aligned, ref_wrong, hyp_wrong
 
 
-def _blocks(ref: _Reference, words: list[int], limits: ShiftLimits):
-    """Every (hypothesis start, reference start, length) at which both sides hold the same words."""
+def _right_run(wrong: list[bool]) -> list[int]:
+    """How many words from each position on are right; more than any block where no wrong one follows."""
+    runs, run = [0] * len(wrong), 1 << 60
+    for i in range(len(wrong) - 1, -1, -1):
+        run = 0 if wrong[i] else run + 1
+        runs[i] = run
+    return runs
+
+
+def _blocks(ref: _Reference, words: list[int], ref_wrong: list[bool], hyp_wrong: list[bool], limits: ShiftLimits):
+    """Every (hypothesis start, reference start, length) of equal words that has an error on both sides."""
+    hyp_runs, ref_runs = _right_run(hyp_wrong), _right_run(ref_wrong)
     for at, word in enumerate(words):
+        if hyp_runs[at] >= limits.size:
+            continue
         places = ref.places.get(word, ())
-        for place in places[bisect_left(places, at - limits.distance) :] if places else ():
+        for k in range(bisect_left(places, at - limits.distance), len(places)):
+            place = places[k]
             if place > at + limits.distance:
                 break
             longest = min(limits.size, len(words) - at, len(ref.words) - place)
-            for length in range(1, longest + 1):
-                if words[at + length - 1] != ref.words[place + length - 1]:
-                    break
-                yield at, place, length
+            shortest = max(hyp_runs[at], ref_runs[place]) + 1
+            length = 1
+            while shortest <= longest and length <= longest and words[at + length - 1] == ref.words[place + length - 1]:
+                if length >= shortest:
+                    yield at, place, length
+                length += 1
 
 
 def _move(words: list[int], at: int, length: int, before: int) -> tuple[int, list[int]]:
@@ -103,9 +118,7 @@ def _best_shift(ref: _Reference, words: list[int], states: list, rows: list, tri
     """The shift that saves most; then the longest block, the earliest block, the earliest target."""
     aligned, ref_wrong, hyp_wrong = _alignment(ref, words, rows)
     best = None
-    for at, place, length in _blocks(ref, words, limits):
-        if not any(hyp_wrong[at : at + length]) or not any(ref_wrong[place : place + length]):
-            continue
+    for at, place, length in _blocks(ref, words, ref_wrong, hyp_wrong, limits):
         if at <= aligned[place] < at + length:
             continue
         targets = [0] if place == 0 else [aligned[place - 1] + 1]

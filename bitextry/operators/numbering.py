@@ -15,7 +15,7 @@ HASH_BUCKETS_HEX = 4
 def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_no", start: int = 0) -> DataFrame:
     """Add the position of each row in ``order_by`` order.
 
-    The range-partitioned sort is checkpointed, so that partition ids stay put when executors are
+    The range-partitioned sort is written out, so that partition ids stay put when executors are
     lost. Then one count per partition is added up; the numbers themselves need no further shuffle.
     """
     placed = checkpointed(
@@ -24,13 +24,14 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "r
         )
     )
     parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
-    # One row per sort partition.
+    # One row per sort partition, of which there are at most spark.sql.shuffle.partitions.
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = parts.select(
         "_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + start).alias("_shift")
     )
     return (
-        placed.join(small(shifts, placed.rdd.getNumPartitions()), "_part")
+        placed.join(small(shifts, most), "_part")
         .withColumn(name, F.col("_shift") + F.col("_id"))
         .drop("_part", "_id", "_shift")
     )

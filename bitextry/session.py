@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # A table of at most this many short rows (ids, offsets, paths) may be broadcast.
 BROADCAST_ROW_LIMIT = 200_000
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def build_session(app: str = "bitextry", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,9 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    base = tempfile.mkdtemp(prefix="bitextry-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="bitextry-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -46,11 +48,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in reliable storage; survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """``df`` as a table written to the shared folder, which cuts its lineage.
+
+    The table survives the loss of executors, freezes non-deterministic columns such as row ids, and is
+    columnar, so later steps read only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -121,7 +121,7 @@ _RENDERED = f"'<|user|>' || chr(10) || {sql.literal(CHAT_INSTRUCTION)} || chr(10
     )
 )
 def translate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, out = written(numbered_pairs(spark, sf_dir), "ref", "source"), scratch_path(spark, "translated")
+    source, out = written(numbered_pairs(spark, sf_dir, "ref"), "ref", "source"), scratch_path(spark, "translated")
     jobs.translate(spark, source, out, reversing_tokens, CHAT_INSTRUCTION)
     return text.read_lines(spark, out)
 

@@ -18,8 +18,10 @@ LANGS = ("en", "fr", "de", "es")
 TRAIN, DEV = ("en", "fr"), ("de", "es")
 
 
-def numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_ordinal(views.pairs(spark, sf_dir), ["doc_id", "line_no"])
+def numbered_pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``row_no`` in document order, with the given columns of the pairs."""
+    rows = views.pairs(spark, sf_dir).select("doc_id", "line_no", *columns)
+    return with_ordinal(rows, ["doc_id", "line_no"])
 
 
 def written(df: DataFrame, column: str, label: str, order_by: str = "row_no") -> str:
@@ -33,17 +35,17 @@ ALL_LINES = "select row_number() over (order by doc_id, line_no) - 1 line_no, {0
 
 @query(with_views(ALL_LINES.format("ref as text"), "pairs"))
 def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.read_lines(spark, written(numbered_pairs(spark, sf_dir), "ref", "scan"))
+    return text.read_lines(spark, written(numbered_pairs(spark, sf_dir, "ref"), "ref", "scan"))
 
 
 @query(with_views(ALL_LINES.format("hyp as text"), "pairs"))
 def line_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.read_lines(spark, written(numbered_pairs(spark, sf_dir), "hyp", "sink"))
+    return text.read_lines(spark, written(numbered_pairs(spark, sf_dir, "hyp"), "hyp", "sink"))
 
 
 def _by_language(spark: SparkSession, sf_dir: str, label: str) -> tuple[str, DataFrame]:
     """Both sides as files per language: ``{base}/{side}.{lang}``."""
-    base, rows = scratch_path(spark, label), numbered_pairs(spark, sf_dir)
+    base, rows = scratch_path(spark, label), numbered_pairs(spark, sf_dir, "lang", "hyp", "ref")
     for lang in LANGS:
         for side, column in (("src", "ref"), ("trg", "hyp")):
             text.write_lines(rows.filter(F.col("lang") == lang), column, f"{base}/{side}.{lang}", "row_no")
@@ -153,7 +155,7 @@ def align_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views(ALL_LINES.format("hyp, ref"), "pairs"))
 def hyp_ref_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = numbered_pairs(spark, sf_dir)
+    rows = numbered_pairs(spark, sf_dir, "hyp", "ref")
     hyps, refs = (text.read_lines(spark, written(rows, side, side), side) for side in ("hyp", "ref"))
     return pair_with_references(hyps, refs)
 
