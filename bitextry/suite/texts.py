@@ -14,7 +14,7 @@ from bitextry.suite.registry import query
 
 INSTRUCTION = "translate German to English:"
 CHAT_INSTRUCTION = "Translate the following text."
-TASK_PREFIX = "egs_wmt25_ja-zh_"
+TASK_PREFIX = "runs_task_de-en_"
 
 
 @query(
@@ -160,11 +160,11 @@ def clean_output(spark: SparkSession, sf_dir: str) -> DataFrame:
                     then substr(slug, 1, instr(slug, {sql.literal(TASK_PREFIX)}) - 1)
                          || substr(slug, instr(slug, {sql.literal(TASK_PREFIX)}) + {len(TASK_PREFIX)})
                     else slug end short_slug
-        from (select doc_id, replace(replace('egs/wmt25/ja-zh/models_' || lang || '/run' || doc_id, '/', '_'), 'models_', '') slug
+        from (select doc_id, replace(replace('runs/task/de-en/models_' || lang || '/run' || doc_id, '/', '_'), 'models_', '') slug
               from documents)"""
 )
 def run_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("egs/wmt25/ja-zh/models_"), "lang", F.lit("/run"), "doc_id")
+    path = F.concat(F.lit("runs/task/de-en/models_"), "lang", F.lit("/run"), "doc_id")
     return views.documents(spark, sf_dir).select(
         "doc_id", strings.run_slug(path).alias("slug"), strings.run_slug(path, TASK_PREFIX).alias("short_slug")
     )

@@ -85,8 +85,8 @@ def test_unknown_tokenizer():
 def test_prefix_limit_slug_percent(spark):
     assert column(spark, ["a"], strings.instruction_prefix("x")) == [" a"]
     assert column(spark, ["😀😀b"], strings.char_limit("x", 2)) == ["😀😀"]
-    paths = ["models/x/models_y", "egs/wmt25/ja-zh/models_a", "t_t_a"]
-    assert column(spark, paths, strings.run_slug("x", "t_")) == ["models_x_y".replace("models_", ""), "egs_wmt25_ja-zh_a", "t_a"]
+    paths = ["models/x/models_y", "runs/task/de-en/models_a", "t_t_a"]
+    assert column(spark, paths, strings.run_slug("x", "t_")) == ["models_x_y".replace("models_", ""), "runs_task_de-en_a", "t_a"]
     assert column(spark, ["0.424"], strings.percent(F.col("x").cast("double"))) == ["42%"]
 
 
