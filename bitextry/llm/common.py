@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,38 @@ def frozen(df: DataFrame, row: str = "_row", part: str | None = None) -> DataFra
     """
     numbered = df.withColumn(row, F.monotonically_increasing_id())
     return checkpointed(numbered.withColumn(part, F.spark_partition_id()) if part else numbered)
+
+
+def by_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows placed and sorted so that :func:`whole_groups` finds each group in one piece."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups with the first row of each group, and the number of rows at the end.
+
+    One call per group costs far more than most groups do; here a batch of rows is handled at a time, and a
+    group that a batch cuts waits for its rest.
+    """
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        changed = np.zeros(len(batch), bool)
+        for key in keys:
+            values = batch[key].to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+            changed[0] |= bool(waiting) and waiting[-1][key].iloc[-1] != values[0]
+        starts = np.flatnonzero(changed)
+        if not len(starts):
+            waiting.append(batch)
+            continue
+        frame = pd.concat([*waiting, batch.iloc[: starts[-1]]], ignore_index=True)
+        shift = len(frame) - starts[-1]
+        waiting = [batch.iloc[starts[-1] :]]
+        if len(frame):
+            bounds = starts + shift
+            yield frame, bounds if bounds[0] == 0 else np.concatenate([[0], bounds])
+    if waiting:
+        frame = pd.concat(waiting, ignore_index=True)
+        yield frame, np.array([0, len(frame)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextry.llm import language
+from bitextry.llm import forest, language
 from bitextry.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -28,3 +28,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionaries = language.fit(docs, ~held_out())
     named = language.identify(docs.select("doc_id", "text"), dictionaries)
     return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, outcome = forest.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("_row", "doc_id").join(outcome, "_row").drop("_row")
