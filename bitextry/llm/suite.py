@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextry.llm import forest, language
+from bitextry.llm import forest, language, personal
 from bitextry.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -34,3 +34,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, outcome = forest.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("_row", "doc_id").join(outcome, "_row").drop("_row")
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.find(docs, personal.fit(docs))
+
+    def joined(spans: "F.Column") -> "F.Column":
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(
+            F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+            for kind in personal.KINDS
+        ),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
