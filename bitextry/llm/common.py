@@ -74,3 +74,9 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
     if waiting:
         frame = pd.concat(waiting, ignore_index=True)
         yield frame, np.array([0, len(frame)])
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without its columns of these names, whatever the case of their letters."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))

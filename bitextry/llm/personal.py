@@ -92,13 +92,13 @@ class PersonalSpec:
 
     samples: int = 2000
     examples: int = 2400
-    window: int = 80
-    overlap: int = 32
-    reach: int = 28
+    window: int = 64
+    overlap: int = 24
+    reach: int = 24
     embedding: int = 12
     hidden: int = 20
-    steps: int = 220
-    batch: int = 48
+    steps: int = 200
+    batch: int = 40
     rate: float = 0.02
     seed: int = 11
     at_once: int = 4096

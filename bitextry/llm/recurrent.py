@@ -37,7 +37,7 @@ def start(shape: Shape, seed: int) -> dict[str, np.ndarray]:
     weights["out"] = draw(2 * shape.hidden, shape.tags)
     weights["out_bias"] = np.zeros(shape.tags)
     weights["transitions"] = np.zeros((shape.tags, shape.tags))
-    return weights
+    return {k: v.astype(np.float32) for k, v in weights.items()}
 
 
 def run_side(weights: dict[str, np.ndarray], side: str, x: np.ndarray, keep: bool = False):
@@ -88,7 +88,7 @@ def crf_loss(scores: np.ndarray, transitions: np.ndarray, tags: np.ndarray):
         beta[t] = log_sum(transitions + (scores[t + 1] + beta[t + 1])[:, None, :], 2)
     total = log_sum(alpha[-1], 1)
     d_scores = np.exp(alpha + beta - total[None, :, None])
-    d_moves = np.zeros((k, k))
+    d_moves = np.zeros((k, k), scores.dtype)
     gold = scores[0][rows, tags[0]].copy()
     d_scores[0, rows, tags[0]] -= 1
     for t in range(1, steps):
@@ -119,9 +119,9 @@ def gradients(weights: dict[str, np.ndarray], symbols: np.ndarray, tags: np.ndar
     for side in "fb":
         d_states = d_both[:, :, :size] if side == "f" else d_both[:, :, size:]
         back = weights[f"back_{side}"]
-        d_z = np.empty((*x.shape[:2], 4 * size))
+        d_z = np.empty((*x.shape[:2], 4 * size), x.dtype)
         d_back = np.zeros_like(back)
-        d_h = np.zeros((x.shape[1], size))
+        d_h = np.zeros((x.shape[1], size), x.dtype)
         d_c = np.zeros_like(d_h)
         for t, i, f, o, g, before, tc, h in reversed(runs[side][1]):
             d_h = d_h + d_states[t]
@@ -159,11 +159,12 @@ def train(
         scale = min(1.0, 5.0 / max(norm, 1e-9))
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * scale * g
-            second[k] = 0.99 * second[k] + 0.01 * (scale * g) ** 2
+            g = (g * np.float32(scale)).astype(np.float32)
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
             even = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-            weights[k] = weights[k] - now * even
-    return {k: v.astype(np.float32) for k, v in weights.items()}
+            weights[k] = (weights[k] - now * even).astype(np.float32)
+    return weights
 
 
 def viterbi(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextry.llm import forest, language, personal
+from bitextry.llm import forest, language, mixing, packing, personal
 from bitextry.llm.common import Query, table
 
+TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,3 +55,19 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    ordered = mixing.in_order(mixing.mix(docs).drop("text"))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "position", "takes")
+
+
+def word_encoder() -> packing.Encode:
+    return packing.word_encoder(f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_encoder)
