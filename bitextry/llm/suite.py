@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextry.llm import forest, language, mixing, packing, personal
-from bitextry.llm.common import Query, table
+from bitextry.llm import forest, language, mixing, packing, personal, sharding, tokencount
+from bitextry.llm.common import Query, table, whole_text
 
 TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,36 @@ def word_encoder() -> packing.Encode:
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_encoder)
+
+
+def piece_measure() -> tokencount.Measure:
+    return tokencount.piece_measure(f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.count_tokens(docs, piece_measure)
+    n_bytes = F.octet_length(whole_text()).cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = whole_text()
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        sharding.hash_key(text).alias("group"),
+    )
+    placed = sharding.shard_by_size(docs, [F.col("group"), sharding.hash_key(F.col("doc_id"))], "size", 40)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
