@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextry.llm import forest, language, mixing, packing, personal, sharding, tokencount
+from bitextry.llm import fingerprints, forest, language, mixing, packing, personal, sharding, tokencount
 from bitextry.llm.common import Query, table, whole_text
 
 TOKENIZERS = "/opt/tokenizers"
@@ -104,3 +104,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
