@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -123,37 +125,82 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[
     return plan
 
 
-Encode = Callable[[list[str]], list[list[int]]]
+Encode = Callable[[list[str]], list[bytes]]
 
 
 class WordCodes(dict):
-    """Encoded ids of the stretches between blanks, as bytes; encodes the unknown ones of a text at once."""
+    """Encoded ids of the stretches between blanks, as bytes; encodes the unknown ones of some texts at once.
+
+    When it has ``limit`` words, they become the old generation, and those that are met again come back from there.
+    """
 
     def __init__(self, encode: Encode, limit: int) -> None:
         super().__init__()
         self.encode, self.limit = encode, limit
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
         if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
-        new = list({p for words in parts for p in words if p not in self})
-        for low in range(0, len(new), 20_000):
-            some = new[low : low + 20_000]
-            for word, ids in zip(some, self.encode(some), strict=True):
-                self[word] = np.asarray(ids, "<u4").tobytes()
+        self[""] = b""
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        unknown = [word for word in set(chain.from_iterable(parts)) if word not in self]
+        self.update((word, self.old[word]) for word in unknown if word in self.old)
+        new = [word for word in unknown if word not in self.old]
+        # "The," has the ids of "the" and of ",": fewer words are left to encode.
+        plain = {word: lowered(word) for word in new}
+        stems = {word: word[:-1] if ends_in_mark(word) else word for word in plain.values()}
+        wanted = list({w for word, stem in stems.items() for w in (stem, word[len(stem) :]) if w and w not in self})
+        self.update(zip(wanted, self.encode(wanted), strict=True))
+        for word, low in plain.items():
+            if word not in self:
+                stem = stems[low]
+                self[word] = self[stem] + self[low[len(stem) :]] if len(stem) < len(low) else self[stem]
         return [b"".join(map(self.__getitem__, words)) for words in parts]
 
 
+def lowered(word: str) -> str:
+    """The word in lower case where that is plain: Latin letters only, no part of a special token."""
+    return word.lower() if "<" not in word and "\u0130" not in word and max(word) < "\u0250" else word
+
+
+def ends_in_mark(word: str) -> bool:
+    """Whether the last character is a full stop or comma after a letter, and so a token of its own."""
+    return word[-1] in ".," and word[-2:-1].lower().isalpha()
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 def word_encoder(path: str) -> Encode:
-    """Encode by a ``tokenizers`` file that drops white space and so never looks across a blank."""
+    """Encode by a ``tokenizers`` file that lower-cases, drops white space, and splits letters from all else.
+
+    A word of plain lower-case letters is a single pre-token, and goes to the file's merges at once. All other words
+    pass the whole file.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    merges = tokenizer.model
+    letters = byte_letters()
+
+    def encode_one(word: str) -> bytes:
+        # Latin letters, which are composed already and have single lower-case forms.
+        if word.isalpha() and word.lower() == word and max(word) < "\u0250":
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            return array("I", [token.id for token in merges.tokenize(word)]).tobytes()
+        return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    return lambda words: list(map(encode_one, words))
 
 
 def cut(codes: bytes, length: int) -> list[tuple[int, int, int]]:
