@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextry.llm import fingerprints, forest, language, mixing, packing, personal, sharding, tokencount
+from bitextry.llm import (
+    covertree,
+    fingerprints,
+    forest,
+    language,
+    likelihood,
+    mixing,
+    packing,
+    personal,
+    sharding,
+    tokencount,
+)
 from bitextry.llm.common import Query, table, whole_text
+from bitextry.session import small
 
 TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Query] = {}
@@ -110,3 +122,39 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good and not toxic, the background all other documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = (
+        table(spark, sf_dir, "labels")
+        .filter(F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("target"))
+    )
+    marked = docs.join(small(good, good.count()), "doc_id", "left").select(
+        "text", F.coalesce("target", F.lit(False)).alias("target")
+    )
+    return likelihood.score(docs, likelihood.fit(marked)).drop("text")
+
+
+@query
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return covertree.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op9_nearest_vectors"] = """
+with whole as (
+    select vec_id, [floor(256 * x::double) for x in embedding] v from embeddings
+    where vec_id is not null and embedding is not null
+      and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scored as (
+    select q.vec_id query_id, d.vec_id vec_id, list_dot_product(q.v, d.v)::bigint score
+    from whole q join whole d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id),
+ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+"""
