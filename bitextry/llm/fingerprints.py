@@ -21,9 +21,9 @@ from bitextry.operators.numbering import with_ordinal
 
 # Bits of a hash that make one uniform number; four such numbers make the two gamma-distributed ones.
 BITS = 13
-# A sampled value is ordered by 31 bits of its logarithm and carries 32 bits of the pair's hash.
+# A sampled value is ordered by 31 bits of its logarithm and carries 31 bits of the pair's hash.
 STEPS, SHIFT = 2.0**20, 1024.0
-IDENTITY = 0xFFFFFFFF
+IDENTITY = 0x7FFFFFFF
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def signatures(texts: DataFrame, keys: Sequence[str], spec: FingerprintSpec = Fi
     least = weights.groupBy(*keys).agg(
         *(F.min(c).alias(n) for c, n in zip(draws("_term", "_log", spec), names, strict=True))
     )
-    pairs = F.array(*(F.col(n).bitwiseAND(F.lit(IDENTITY)) for n in names))
+    pairs = F.array(*(F.col(n).bitwiseAND(F.lit(IDENTITY)).cast("int") for n in names))
     return least.select(*keys, pairs.alias("signature"))
 
 
@@ -170,21 +170,23 @@ def fingerprint(docs: DataFrame, spec: FingerprintSpec = FingerprintSpec()) -> D
         ).alias("_t"),
     ).select("_doc", "_text_hash", "copies", "_t.*")
     found = signatures(both, ["_doc", "_text_hash", "_which"], spec)
-    drawn = checkpointed(
-        found.groupBy("_doc", "_text_hash").agg(
-            F.max(F.when(F.col("_which") == 0, F.col("signature"))).alias("_own"),
-            F.max(F.when(F.col("_which") == 1, F.col("signature"))).alias("_edited"),
-        )
-    )
-    following = drawn.select(
-        F.col("_doc").alias("_next_id"), F.col("_text_hash").alias("_next_hash"), F.col("_own").alias("_next")
+    drawn = found.groupBy("_doc", "_text_hash").agg(
+        F.max(F.when(F.col("_which") == 0, F.col("signature"))).alias("_own"),
+        F.max(F.when(F.col("_which") == 1, F.col("signature"))).alias("_edited"),
     )
-    return (
+    # One job, in which both branches read the same shuffled texts.
+    kept = checkpointed(
         edited.select(
             "_doc", "_text_hash", "_next_id", "_next_hash", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")
-        )
-        .join(drawn, ["_doc", "_text_hash"], "left")
-        .join(following, ["_next_id", "_next_hash"], "left")
+        ).join(drawn, ["_doc", "_text_hash"], "left")
+    )
+    following = (
+        kept.select(F.col("_doc").alias("_next_id"), F.col("_text_hash").alias("_next_hash"), F.col("_own").alias("_next"))
+        .groupBy("_next_id", "_next_hash")
+        .agg(F.max("_next").alias("_next"))
+    )
+    return (
+        kept.join(following, ["_next_id", "_next_hash"])
         .select(
             "doc_id",
             "n_chars",
