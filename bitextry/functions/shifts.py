@@ -1,8 +1,8 @@
 """Translation edit rate of one row: edit distance plus greedy block shifts (Snover et al. 2006).
 
-The search limits are part of the metric's published tools, so they are parameters with those
-values. Edit distances use bit-parallel rows, and each shifted hypothesis resumes from the stored
-state of the longest prefix it shares with the current one.
+What a shift is, its size and its distance, is part of the metric. Edit distances use bit-parallel rows. A shifted
+hypothesis differs from the current one only between the block and its target: its distance is the smallest sum of
+a row computed over that window, from the stored state before it, and the stored row of all that follows.
 """
 
 from __future__ import annotations
@@ -10,14 +10,20 @@ from __future__ import annotations
 from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
+
 
 @dataclass(frozen=True)
 class ShiftLimits:
-    """Fixed values of the published tools: block length, shift distance, and shifts tried per row."""
+    """Longest block, and farthest place it may come from, as in the published tools.
+
+    ``tried`` ends the search of a row after so many shifts, as those tools do after 1000, which changes the result of
+    long rows; by default all are tried.
+    """
 
     size: int = 10
     distance: int = 50
-    tried: int = 1000
+    tried: int | None = None
 
 
 class _Reference:
@@ -48,10 +54,55 @@ class _Reference:
         up = (decrease << 1 & self.full) | ~(diagonal | grown) & self.full
         return (up, grown & diagonal, edits), diagonal, increase
 
-    def edits_from(self, state: tuple[int, int, int], words: list[int]) -> int:
-        for word in words:
-            state = self.advance(state, word)[0]
-        return state[2]
+    def row(self, state: tuple[int, int, int], start: int) -> np.ndarray:
+        """Distances to every prefix of the reference, after a hypothesis of ``start`` words."""
+        n = len(self.words)
+        size = (n + 7) // 8
+        up, down = (
+            np.unpackbits(np.frombuffer(bits.to_bytes(size, "little"), np.uint8), bitorder="little", count=n)
+            for bits in state[:2]
+        )
+        out = np.empty(n + 1, np.int32)
+        out[0] = start
+        np.cumsum(up.astype(np.int32) - down, out=out[1:])
+        out[1:] += start
+        return out
+
+
+class _Suffixes:
+    """Distances of what follows a position in the hypothesis to every suffix of the reference.
+
+    Every ``STRIDE``-th state of the backward pass is kept, and those in between are made again when they are asked
+    for, so that memory grows with the reference, not with the matrix.
+    """
+
+    STRIDE = 64
+
+    def __init__(self, ref: _Reference, words: list[int]):
+        self.back = _Reference(ref.words[::-1])
+        self.words = words[::-1]
+        self.kept = [self.back.start()]
+        state = self.kept[0]
+        for k, word in enumerate(self.words, 1):
+            state = self.back.advance(state, word)[0]
+            if k % self.STRIDE == 0:
+                self.kept.append(state)
+        self.segment, self.states = -1, []
+        self.rows: dict[int, np.ndarray] = {}
+
+    def row(self, at: int) -> np.ndarray:
+        """For each reference position the distance of the words from ``at`` on to the rest from there."""
+        if at not in self.rows:
+            done = len(self.words) - at
+            segment = done // self.STRIDE
+            if segment != self.segment:
+                self.segment, self.states = segment, [self.kept[segment]]
+                for word in self.words[segment * self.STRIDE : (segment + 1) * self.STRIDE]:
+                    self.states.append(self.back.advance(self.states[-1], word)[0])
+            if len(self.rows) >= 2 * self.STRIDE:
+                self.rows.clear()
+            self.rows[at] = self.back.row(self.states[done - segment * self.STRIDE], done)[::-1]
+        return self.rows[at]
 
 
 def _alignment(ref: _Reference, words: list[int], rows: list[tuple[int, int]]):
@@ -107,16 +158,17 @@ def _blocks(ref: _Reference, words: list[int], ref_wrong: list[bool], hyp_wrong:
                 length += 1
 
 
-def _move(words: list[int], at: int, length: int, before: int) -> tuple[int, list[int]]:
-    """Move a block, and the first position that changes."""
+def _move(words: list[int], at: int, length: int, before: int) -> tuple[int, int, list[int]]:
+    """Move a block, and the first position that changes and the one after the last."""
     rest = words[:at] + words[at + length :]
-    target = before - length if before > at + length else before
-    return min(at, target), rest[:target] + words[at : at + length] + rest[target:]
+    target = min(before - length if before > at + length else before, len(rest))
+    return min(at, target), max(at, target) + length, rest[:target] + words[at : at + length] + rest[target:]
 
 
 def _best_shift(ref: _Reference, words: list[int], states: list, rows: list, tried: int, limits: ShiftLimits):
     """The shift that saves most; then the longest block, the earliest block, the earliest target."""
     aligned, ref_wrong, hyp_wrong = _alignment(ref, words, rows)
+    rest = _Suffixes(ref, words)
     best = None
     for at, place, length in _blocks(ref, words, ref_wrong, hyp_wrong, limits):
         if at <= aligned[place] < at + length:
@@ -126,13 +178,19 @@ def _best_shift(ref: _Reference, words: list[int], states: list, rows: list, tri
         for k, before in enumerate(targets):
             if k and before == targets[k - 1]:
                 continue
-            same, moved = _move(words, at, length, before)
-            saved = states[-1][2] - ref.edits_from(states[same], moved[same:])
+            tried += 1
+            same, end, moved = _move(words, at, length, before)
+            # The words between are passed by the block or the block by them: no move saves more than both ways.
+            if best is not None and 2 * min(length, end - same - length) < best[0][0]:
+                continue
+            state = states[same]
+            for word in moved[same:end]:
+                state = ref.advance(state, word)[0]
+            saved = states[-1][2] - int((ref.row(state, end) + rest.row(end)).min())
             rank = (saved, length, -at, -before)
             if best is None or rank > best[0]:
                 best = rank, moved
-            tried += 1
-        if tried >= limits.tried:
+        if limits.tried is not None and tried >= limits.tried:
             break
     return best, tried
 
@@ -152,6 +210,8 @@ def translation_edits(hyp: list[int], reference: list[int], limits: ShiftLimits
         if not edits:
             return shifts
         best, tried = _best_shift(ref, words, states, rows, tried, limits)
-        if best is None or best[0][0] <= 0 or tried >= limits.tried:
+        if best is None or best[0][0] <= 0:
             return shifts + edits
         shifts, words = shifts + 1, best[1]
+        if limits.tried is not None and tried >= limits.tried:
+            return shifts + edits - best[0][0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bitextry.functions.strings import WHITESPACE, as_column
+from bitextry.worker import once
 
 Tokenizer = Callable[[Column], Column]
 
@@ -70,17 +72,26 @@ def alphanumeric_tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(as_column(text)), "[^a-z0-9]+"), "")
 
 
-def pluggable(factory: Callable[[], Callable[[str], list]], returns: str = "array<string>") -> Tokenizer:
+def pluggable(
+    factory: Callable[[], Callable], returns: str = "array<string>", batched: bool = False
+) -> Tokenizer:
     """A tokenizer from ``factory``, which runs once per Python worker and returns ``text -> list``.
 
-    Use ``returns="array<int>"`` for a tokenizer that yields ids.
+    With ``batched`` it returns ``list of texts -> list of lists`` and is called once per Arrow batch, without the
+    null texts. Use ``returns="array<int>"`` for a tokenizer that yields ids.
     """
+    key = f"tokenizer-{uuid.uuid4().hex}"
 
     @F.pandas_udf(returns)
     def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = factory()
+        encode = once(key, factory)
         for texts in batches:
-            yield texts.map(encode, na_action="ignore")
+            known = texts.dropna().tolist()
+            made = list(encode(known)) if batched else list(map(encode, known))
+            if len(made) != len(known):
+                raise ValueError("a tokenizer must return one list per text")
+            found = iter(made)
+            yield pd.Series([None if missing else next(found) for missing in texts.isna()], dtype=object)
 
     return lambda text: tokenize(as_column(text))
 

@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitextry.session import small
+
+
+def _fail(wrong: Column, message: str, *values: Column) -> Column:
+    """A condition that is true for every row, or an error if ``wrong`` holds for one."""
+    text = F.concat_ws(" ", F.lit(message), *(v.cast("string") for v in values))
+    return F.when(wrong, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+
 
 def align(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on unique keys; a row without a partner is an error, not a dropped or a null row.
+    """Join on unique keys; a row without a partner, or with two, is an error, not a dropped or a null row.
 
     Keys are unique per side, so the shuffle is even whatever the data looks like.
     """
     keys = list(keys)
     both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), keys, "full_outer")
     place = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
-    checked = F.when(
-        F.col("_l").isNull() | F.col("_r").isNull(),
-        F.raise_error(F.concat(F.lit("sides differ in length: no partner for row "), place)).cast("boolean"),
-    ).otherwise(F.lit(True))
-    return both.filter(checked).drop("_l", "_r")
+    alone = F.col("_l").isNull() | F.col("_r").isNull()
+    # The join has placed the rows by these keys.
+    counted = both.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return (
+        counted.filter(_fail(alone, "sides differ in length: no partner for row", place))
+        .filter(_fail(F.col("_n") > 1, "a side has twice the row", place))
+        .drop("_l", "_r", "_n")
+    )
 
 
 def pair_with_references(hyps: DataFrame, refs: DataFrame, keys: Sequence[str] = ("line_no",)) -> DataFrame:
@@ -28,11 +39,28 @@ def pair_with_references(hyps: DataFrame, refs: DataFrame, keys: Sequence[str] =
     return align(hyps, refs, keys)
 
 
+def step_sizes(steps: DataFrame) -> DataFrame:
+    """``step, predictions``: the lines of each step."""
+    return steps.groupBy("step").agg(F.count(F.lit(1)).alias("predictions"))
+
+
 def pair_steps_with_references(steps: DataFrame, refs: DataFrame, key: str = "line_no") -> DataFrame:
-    """Predictions of many steps with the same references. A prediction without a reference is an error."""
-    joined = steps.join(refs.withColumn("_r", F.lit(True)), key, "left")
-    checked = F.when(
-        F.col("_r").isNull(),
-        F.raise_error(F.concat(F.lit("no reference for row "), F.col(key).cast("string"))).cast("boolean"),
-    ).otherwise(F.lit(True))
-    return joined.filter(checked).drop("_r")
+    """Predictions of many steps with the same references, each of which every step must have once.
+
+    A prediction without a reference, a line that a step has twice, and a step with fewer lines than there are
+    references are errors.
+    """
+    expected = refs.count()
+    sizes = step_sizes(steps)
+    joined = (
+        steps.join(refs.withColumn("_r", F.lit(True)), key, "left")
+        # One row per step.
+        .join(small(sizes, sizes.count()), "step")
+        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "step")))
+    )
+    return (
+        joined.filter(_fail(F.col("_r").isNull(), "no reference for row", F.col(key)))
+        .filter(_fail(F.col("_n") > 1, "a side has twice the row", F.col(key)))
+        .filter(_fail(F.col("predictions") != expected, f"there are {expected} references, but in step", F.col("step")))
+        .drop("_r", "_n", "predictions")
+    )

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# A hash has four draws of this many hexadecimal digits.
 HASH_HEX = 8
+DRAWS = 4
 
 
 def poisson_thresholds(terms: int = 12) -> list[int]:
-    """Cumulative Poisson(1) probabilities on the scale of a ``HASH_HEX``-digit hash."""
+    """Cumulative Poisson(1) probabilities on the scale of a ``HASH_HEX``-digit draw."""
     scale, total, out = 16**HASH_HEX, 0.0, []
     for k in range(terms):
         total += math.exp(-1) / math.factorial(k)
@@ -20,11 +26,21 @@ def poisson_thresholds(terms: int = 12) -> list[int]:
     return out
 
 
-def poisson_weight(key: Column, seed: int, replicate: Column) -> Column:
-    """How often a row is drawn in a replicate: a Poisson(1) count fixed by (seed, key, replicate)."""
-    text = F.concat_ws(":", F.lit(str(seed)), key.cast("string"), replicate.cast("string"))
-    drawn = F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_HEX), 16, 10).cast("bigint")
-    return sum((F.when(drawn >= t, 1).otherwise(0) for t in poisson_thresholds()), F.lit(0))
+def poisson_weights(keys: Sequence[str], seed: int, replicates: int) -> np.ndarray:
+    """How often each row is drawn in each replicate (row, replicate): Poisson(1) counts fixed by seed, key and replicate.
+
+    Replicate ``b`` from 0 reads draw ``b % 4`` of the hash of ``seed:key:(b // 4)``.
+    """
+    blocks = [str(b).encode() for b in range(-(-replicates // DRAWS))]
+    digests = []
+    for key in keys:
+        start = hashlib.md5(f"{seed}:{key}:".encode("utf-8", "surrogatepass"))
+        for block in blocks:
+            hashed = start.copy()
+            hashed.update(block)
+            digests.append(hashed.digest())
+    drawn = np.frombuffer(b"".join(digests), ">u4").reshape(len(keys), -1)[:, :replicates]
+    return np.searchsorted(np.array(poisson_thresholds(), np.int64), drawn.astype(np.int64), side="right")
 
 
 def bootstrap_replicates(
@@ -32,13 +48,35 @@ def bootstrap_replicates(
 ) -> DataFrame:
     """``by..., replicate, <score>...``: the weighted mean of every score in every replicate.
 
-    Replicates are added up on the map side: a task sends one row per replicate and group.
+    Rows are weighted and added up batch by batch, so that a batch sends one row per replicate and group. A null score
+    adds nothing to its mean.
     """
-    drawn = df.select(
-        *by, *scores, key.alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    ).withColumn("_w", poisson_weight(F.col("_key"), seed, F.col("replicate")))
-    return drawn.groupBy(*by, "replicate").agg(
-        *((F.try_divide(F.sum(F.col(s) * F.col("_w")), F.sum("_w"))).alias(s) for s in scores)
+    by, scores = list(by), list(scores)
+    rows = df.select(*by, *(F.col(s).cast("double") for s in scores), F.coalesce(key.cast("string"), F.lit("")).alias("_key"))
+    sums = [*(f"_sum_{s}" for s in scores), *(f"_mass_{s}" for s in scores)]
+    fields = [rows.schema[c] for c in by]
+    fields += [T.StructField("replicate", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in sums)]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
+            for name, group in groups:
+                total = np.zeros((replicates, len(sums)))
+                for low in range(0, len(group), 1024):
+                    part = group.iloc[low : low + 1024]
+                    weights = poisson_weights(part["_key"], seed, replicates).astype(np.float64)
+                    values = part[scores].to_numpy(np.float64)
+                    known = ~np.isnan(values)
+                    total += np.einsum("rb,rs->bs", weights, np.hstack([np.where(known, values, 0.0), known]))
+                out = pd.DataFrame(total, columns=sums)
+                out.insert(0, "replicate", np.arange(1, replicates + 1, dtype=np.int32))
+                for place, (column, value) in enumerate(zip(by, name, strict=True)):
+                    out.insert(place, column, pd.Series([value] * replicates, dtype=group[column].dtype))
+                yield out
+
+    added = rows.mapInPandas(add_up, T.StructType(fields))
+    return added.groupBy(*by, "replicate").agg(
+        *(F.try_divide(F.sum(f"_sum_{s}"), F.sum(f"_mass_{s}")).alias(s) for s in scores)
     )
 
 

@@ -16,10 +16,13 @@ CHUNK_STEPS = 100_000
 def best_checkpoint(
     log: DataFrame, value: str = "eval_loss", greater_is_better: bool = False, runs: Sequence[str] = ("run",)
 ) -> DataFrame:
-    """The best value of each run and the first step that reached it. A plain aggregation, no sort."""
+    """The best value of each run and the first step that reached it; both null for a run without any value.
+
+    A plain aggregation, no sort.
+    """
     sign = -1 if greater_is_better else 1
-    best = F.min(F.struct((F.col(value) * sign).alias("v"), F.col("step"), F.col(value).alias("raw")))
-    ranked = log.filter(F.col(value).isNotNull()).groupBy(*runs).agg(best.alias("b"))
+    row = F.struct((F.col(value) * sign).alias("v"), F.col("step"), F.col(value).alias("raw"))
+    ranked = log.groupBy(*runs).agg(F.min(F.when(F.col(value).isNotNull(), row)).alias("b"))
     return ranked.select(*runs, F.col("b.step").alias("best_step"), F.col("b.raw").alias("best_value"))
 
 
@@ -34,7 +37,7 @@ def patience_counter(
     """Add ``evaluation`` (from 1), ``improved`` and ``counter``, the evaluations since the last improvement.
 
     An evaluation improves on the best so far when it is better by more than ``threshold``, or is the
-    first. Any better value becomes the best. Runs of any length are processed in step chunks.
+    first. One without a value never does, unless it is the first. Any better value becomes the best. Runs of any length are processed in step chunks.
     """
     runs = list(runs)
     chunk = F.floor(F.col("step") / CHUNK_STEPS) if chunk is None else chunk
@@ -46,7 +49,7 @@ def patience_counter(
         chunk,
         {"evaluation": ("count", F.lit(1), True), "_best": ("min", loss, False)},
     )
-    improved = F.col("_best").isNull() | (loss < F.col("_best") - threshold)
+    improved = F.col("_best").isNull() | F.coalesce(loss < F.col("_best") - threshold, F.lit(False))
     flagged = seen.withColumn("improved", improved).drop("_best")
     at = F.when(F.col("improved"), F.col("evaluation"))
     marked = running(flagged, runs, "step", chunk, {"_last": ("max", at, True)})

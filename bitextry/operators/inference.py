@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitextry.functions.strings import as_column
+from bitextry.worker import once
 
 Predictor = Callable[[list], list]
 
@@ -23,14 +25,16 @@ def predict(
 ) -> DataFrame:
     """Add ``output``, one prediction per row.
 
-    ``factory`` runs once per Python worker and loads the model; the predictor it returns maps a list
-    of at most ``batch_size`` inputs to as many outputs. Only the input column leaves the JVM, in
+    ``factory`` runs once per Python worker, whatever the number of its tasks, and loads the model; the predictor it
+    returns maps a list of at most ``batch_size`` inputs to as many outputs. Only the input column leaves the JVM, in
     Arrow batches, and no row moves between tasks.
     """
 
+    key = f"predict-{uuid.uuid4().hex}"
+
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
+        model = once(key, factory)
         for batch in batches:
             values = batch.tolist()
             made: list = []

@@ -75,6 +75,15 @@ def shuffled_ordinal(
     return out if keep is None else out.filter(F.col(name) < keep)
 
 
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row per ``keys`` and chunk to its rows; null keys and null chunks are values like others."""
+    renamed = carried.select(*(F.col(k).alias(f"_of_{k}") if k in keys else F.col(k) for k in carried.columns))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(renamed, same)
+
+
 _AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -88,7 +97,8 @@ def running(
     """Running aggregates per key in ``order_by`` order, split into chunks.
 
     ``values`` maps a new column to (``count|sum|min|max``, expression, inclusive). ``chunk`` must not
-    decrease along ``order_by``. A key that holds a third of the table is sorted chunk by chunk in many
+    decrease along ``order_by``; rows whose order is null come first, and rows with a null key are a key of their own.
+    A key that holds a third of the table is sorted chunk by chunk in many
     tasks; the chunk totals, one row per chunk, carry over what came before.
     """
     keys = list(keys)
@@ -118,7 +128,7 @@ def running(
             for name, (kind, _, inclusive) in values.items()
         ),
     )
-    out = local.join(carried, [*keys, "_chunk"])
+    out = _with_carried(local, carried, [*keys, "_chunk"])
     columns = []
     for name, (kind, _, _) in values.items():
         here, carry = F.col(f"_here_{name}"), F.col(f"_carry_{name}")
@@ -139,6 +149,6 @@ def following(df: DataFrame, keys: Sequence[str], order_by: str, chunk: Column,
     across = Window.partitionBy(*keys).orderBy("_chunk")
     firsts = inputs.groupBy(*keys, "_chunk").agg(F.min_by(row, order_by).alias("_first"))
     carried = firsts.select(*keys, "_chunk", F.lead("_first").over(across).alias("_carry"))
-    out = inputs.withColumn("_next", F.lead(row).over(in_chunk)).join(carried, [*keys, "_chunk"])
+    out = _with_carried(inputs.withColumn("_next", F.lead(row).over(in_chunk)), carried, [*keys, "_chunk"])
     following_row = F.coalesce("_next", "_carry")
     return out.select(*df.columns, *(following_row[c].alias(f"next_{c}") for c in columns))

@@ -16,7 +16,7 @@ from bitextry.sources.text import read_lines, scan_groups
 SPLITS = ("train", "dev")
 SIDES = ("src", "trg")
 # How prediction files of one evaluation step are named.
-STEP_PATTERN = re.compile(r"dev\.step_(\d+)\.pred")
+STEP_PATTERN = re.compile(r"dev\.step_(\d+)\.pred(?:/|$)")
 
 Manifest = Mapping[str, Mapping[str, Sequence[str]]]
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bitextry.operators.align import pair_steps_with_references
+from bitextry.operators.align import pair_steps_with_references, step_sizes
 from bitextry.operators.scoring import close_scores, row_statistics, sum_statistics
 from bitextry.sources.corpora import STEP_PATTERN, find_step_predictions, read_step_predictions
 
@@ -20,9 +20,11 @@ def watch_steps(
 
     ``references`` has ``line_no, ref``. A file must be moved into place whole. Each micro-batch
     rescores the steps it brought files for and replaces those steps only, so a batch that is repeated
-    after a failure, or a step whose part files come in several batches, ends in the same state.
+    after a failure ends in the same state. A step whose part files come in several batches is scored when it has as
+    many lines as there are references, and not before.
     """
     spark = references.sparkSession
+    expected = references.count()
     arrivals = (
         spark.readStream.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("file"))
     )
@@ -36,6 +38,10 @@ def watch_steps(
             return
         session = batch.sparkSession
         files = {s: f for s, f in find_step_predictions(session, folder).items() if s in steps}
+        sizes = step_sizes(read_step_predictions(session, files)).collect()
+        files = {row["step"]: files[row["step"]] for row in sizes if row["predictions"] >= expected}
+        if not files:
+            return
         paired = pair_steps_with_references(read_step_predictions(session, files), references)
         sums = sum_statistics(row_statistics(paired, metrics, by=["step"]), metrics, ["step"])
         sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(state)

@@ -30,7 +30,7 @@ def _counted_sql(source: str, runs: str, value: str) -> str:
     """The patience counter of ``source``; lower values are better."""
     return f"""select *, evaluation - max(case when improved then evaluation end) over
                  (partition by {runs} order by step rows unbounded preceding) counter
-        from (select *, coalesce({value} < best - {THRESHOLD}, true) improved from
+        from (select *, best is null or coalesce({value} < best - {THRESHOLD}, false) improved from
           (select *, row_number() over (partition by {runs} order by step) evaluation,
                   min({value}) over (partition by {runs} order by step rows between unbounded preceding and 1 preceding) best
            from {source}))"""

@@ -9,7 +9,7 @@ from bitextry.operators import scoring
 from bitextry.operators.scoring import Bleu, Chrf, Ter, corpus_scores
 from bitextry.plans import jobs, views
 from bitextry.plans.views import with_views
-from bitextry.operators.bootstrap import poisson_thresholds
+from bitextry.operators.bootstrap import DRAWS, poisson_thresholds
 from bitextry.suite import sql
 from bitextry.suite.files import _metric_report, written_steps
 from bitextry.suite.registry import query
@@ -47,77 +47,96 @@ def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(corpus_scores(views.pairs(spark, sf_dir), [Chrf()], by=["lang"]))
 
 
-@query()
+# A hypothesis of ``pairs`` is its reference with words left out or replaced by a word that no reference has, so no
+# shift helps, and the words that are kept need no edit.
+_KEPT = "len([x for x in h if x <> 'zzz'])"
+
+
+def _edits_sql(by: str, name: str, source: str) -> str:
+    return with_views(
+        f"""select {by}, round(100.0 * sum(edits) / sum(words), 6) {name}, sum(edits)::bigint {name}_edits,
+                   sum(words)::double {name}_ref_words from edited group by {by}""",
+        source,
+        edited=f"select {by}, len(r) - {_KEPT} edits, len(r) words from (select *, {sql.words('hyp')} h, {sql.words('ref')} r from {source})",
+    )
+
+
+@query(_edits_sql("lang", "ter", "pairs"))
 def ter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(corpus_scores(views.pairs(spark, sf_dir), [Ter()], by=["lang"]))
 
 
+@query(
+    with_views(
+        """select lang, round(100.0 * sum((n >= 8)::int) / sum(n), 6) ter, sum((n >= 8)::int)::bigint ter_edits,
+                  sum(n)::double ter_ref_words from (select lang, len(string_split(line, ' ')) n from lines) group by lang""",
+        "lines",
+    )
+)
+def ter_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least eight words in which words 1-3 and 4-6 have changed places: one shift each."""
+    tagged = F.transform(F.split("line", " "), lambda w, i: F.concat_ws("_", w, i.cast("string")))
+    swapped = F.concat(F.slice("words", 4, 3), F.slice("words", 1, 3), F.slice("words", 7, F.size("words")))
+    rows = views.lines(spark, sf_dir).withColumn("words", tagged)
+    moved = F.when(F.size("words") >= 8, swapped).otherwise(F.col("words"))
+    rows = rows.select("lang", F.array_join(moved, " ").alias("hyp"), F.array_join("words", " ").alias("ref"))
+    return rounded(corpus_scores(rows, [Ter()], by=["lang"]))
+
+
 PLAIN_EDITS = Ter(shifts=False, case_sensitive=True, name="word_edit_rate")
 
 
-@query()
+@query(_edits_sql("lang", "word_edit_rate", "pairs"))
 def word_edit_rate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(corpus_scores(views.pairs(spark, sf_dir), [PLAIN_EDITS], by=["lang"]))
 
 
-# The edit matrix row by row: one step per hypothesis word, all rows at once.
-_EDITS = dict(
-    cut=f"select doc_id, {sql.words('hyp')} h, {sql.words('summary')} r from summ",
-    edited="""
-      with recursive steps as (
-        select doc_id, 0 i, j, h, len(h) n, r[j] t, j d from (select *, unnest(range(1, len(r) + 1)) j from cut)
-        union all
-        select doc_id, i, j, h, n, t, least(min(c - j) over (partition by doc_id order by j), i) + j from
-          (select doc_id, i + 1 i, j, h, n, t,
-                  least(d + 1, coalesce(lag(d) over (partition by doc_id order by j), i) + (t <> h[i + 1])::int) c
-           from steps where i < n))
-      select doc_id, max_by(d, j)::bigint edits from steps where i = n group by doc_id""",
-)
-
-
 @query(
     with_views(
-        "select doc_id, edits, len(r)::double ref_words from cut join edited using (doc_id)",
-        "summ",
-        **_EDITS,
+        f"""select doc_id, line_no, (len(r) - {_KEPT})::bigint edits, len(r)::double ref_words
+            from (select *, {sql.words('hyp')} h, {sql.words('ref')} r from pairs)""",
+        "pairs",
     )
 )
 def word_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.summaries(spark, sf_dir)
-    stats = scoring.row_statistics(rows, [PLAIN_EDITS], "hyp", "summary", ["doc_id"])
+    stats = scoring.row_statistics(views.pairs(spark, sf_dir), [PLAIN_EDITS], "hyp", "ref", ["doc_id", "line_no"])
     return stats.select(
-        "doc_id", F.col("word_edit_rate__edits").alias("edits"), F.col("word_edit_rate__ref_words").alias("ref_words")
+        "doc_id",
+        "line_no",
+        F.col("word_edit_rate__edits").alias("edits"),
+        F.col("word_edit_rate__ref_words").alias("ref_words"),
     )
 
 
 @query(
     with_views(
-        """select round(100.0 * sum(edits) / sum(len(r)), 6) word_edit_rate, sum(edits)::bigint word_edit_rate_edits,
-                  sum(len(r))::double word_edit_rate_ref_words from cut join edited using (doc_id)""",
-        "summ",
-        **_EDITS,
+        f"""select round(100.0 * sum(edits) / sum(words), 6) word_edit_rate, sum(edits)::bigint word_edit_rate_edits,
+                   sum(words)::double word_edit_rate_ref_words
+            from (select len(r) - {_KEPT} edits, len(r) words
+                  from (select {sql.words('hyp')} h, {sql.words('ref')} r from pairs))""",
+        "pairs",
     )
 )
 def word_edit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(corpus_scores(views.summaries(spark, sf_dir), [PLAIN_EDITS], "hyp", "summary"))
+    return rounded(corpus_scores(views.pairs(spark, sf_dir), [PLAIN_EDITS]))
 
 
 def _rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.rouge_scores(views.summaries(spark, sf_dir).select("doc_id", "hyp", "summary"), "hyp", "summary")
+    return scoring.rouge_scores(views.pairs(spark, sf_dir).select("doc_id", "line_no", "hyp", "ref"))
 
 
-def _rouge_sql(body: str) -> str:
-    return with_views(body, "summ", **sql.rouge("summ", "doc_id"))
+def _rouge_sql(body: str, **extra: str) -> str:
+    return with_views(body, "pairs", **sql.rouge("pairs", "doc_id, line_no", "ref", "zzz"), **extra)
 
 
-@query(_rouge_sql("select doc_id, round(rouge1, 6) rouge1, round(rouge2, 6) rouge2 from rouge"))
+@query(_rouge_sql("select doc_id, line_no, round(rouge1, 6) rouge1, round(rouge2, 6) rouge2 from rouge"))
 def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_rouge(spark, sf_dir).select("doc_id", "rouge1", "rouge2"))
+    return rounded(_rouge(spark, sf_dir).select("doc_id", "line_no", "rouge1", "rouge2"))
 
 
-@query(_rouge_sql('select doc_id, round("rougeL", 6) "rougeL" from rouge'))
+@query(_rouge_sql('select doc_id, line_no, round("rougeL", 6) "rougeL" from rouge'))
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_rouge(spark, sf_dir).select("doc_id", "rougeL"))
+    return rounded(_rouge(spark, sf_dir).select("doc_id", "line_no", "rougeL"))
 
 
 @query(
@@ -131,8 +150,11 @@ def rouge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPLICATES = 1000
-_DRAWN = "('0x' || substr(md5('42:' || doc_id || ':' || b), 1, 8))::ubigint"
-_WEIGHT = " + ".join(f"({_DRAWN} >= {t})::int" for t in poisson_thresholds())
+# Four replicates read one hash.
+_HASHED = f"""select *, md5('42:' || doc_id || '-' || line_no || ':' || k) m
+              from rouge, range(0, {REPLICATES // DRAWS}) t(k)"""
+_DRAWN = "('0x' || substr(m, 1 + 8 * d, 8))::ubigint"
+_WEIGHT = " + ".join(f"(x >= {t})::int" for t in poisson_thresholds())
 _INTERVAL = ", ".join(
     f'round(quantile_cont("{t}", {p}), 6) "{t}_{name}"'
     for t in scoring.ROUGE_TYPES
@@ -141,16 +163,16 @@ _INTERVAL = ", ".join(
 
 
 @query(
-    with_views(
+    _rouge_sql(
         f"select {_INTERVAL} from drawn",
-        "summ",
-        **sql.rouge("summ", "doc_id"),
         drawn=f"""select b, sum(w * rouge1) / sum(w) rouge1, sum(w * rouge2) / sum(w) rouge2, sum(w * "rougeL") / sum(w) "rougeL"
-                  from (select *, {_WEIGHT} w from rouge, range(1, {REPLICATES + 1}) t(b)) group by b""",
+                  from (select *, {_WEIGHT} w from (select *, {DRAWS} * k + d b, {_DRAWN} x
+                        from ({_HASHED}), range(0, {DRAWS}) u(d))) group by b""",
     )
 )
 def rouge_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(jobs.rouge_summary(_rouge(spark, sf_dir), F.col("doc_id"), REPLICATES))
+    key = F.concat_ws("-", "doc_id", "line_no")
+    return rounded(jobs.rouge_summary(_rouge(spark, sf_dir), key, REPLICATES))
 
 
 def _report_sql(names: str) -> str:
@@ -185,7 +207,7 @@ def metrics_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(jobs.score_step_files(spark, files, refs, [Bleu(), Chrf()]))
 
 
-@query()
+@query(_edits_sql("step", "ter", "step_pairs"))
 def ter_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = views.step_pairs(spark, sf_dir)
     return rounded(corpus_scores(steps, [Ter()], by=["step"]))

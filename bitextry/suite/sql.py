@@ -121,9 +121,13 @@ def rounded(columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) {c}" for c in columns.split())
 
 
-def rouge(source: str, key: str) -> dict[str, str]:
-    """CTEs that end in ``rouge``: ``key, rouge1, rouge2, rougeL`` of ``hyp`` against ``summary``."""
-    cut = f"select {key}, {alphanumeric('hyp')} h, {alphanumeric('summary')} r from {source}"
+def rouge(source: str, key: str, ref: str = "summary", filler: str | None = None) -> dict[str, str]:
+    """CTEs that end in ``rouge``: ``key, rouge1, rouge2, rougeL`` of ``hyp`` against ``ref``.
+
+    With a ``filler``, every hypothesis is its reference with words left out or replaced by that word, which no
+    reference has; then the longest common subsequence is the number of its other words.
+    """
+    cut = f"select {key}, {alphanumeric('hyp')} h, {alphanumeric(ref)} r from {source}"
     parts = {"r_cut": cut}
     for n in (1, 2):
         for side in ("h", "r"):
@@ -141,6 +145,8 @@ def rouge(source: str, key: str) -> dict[str, str]:
             (select *, greatest(v, coalesce(lag(v) over (partition by {key} order by j), 0) + (t = h[i + 1])::int) c
              from steps where i < n))
         select {key}, max(v) v from steps where i = n group by {key}"""
+    if filler is not None:
+        parts["r_lcs"] = f"select {key}, len([x for x in h if x <> '{filler}']) v from r_cut"
 
     def f1(match: str, n: int) -> str:
         both = f"(greatest(len(h) - {n} + 1, 0) + greatest(len(r) - {n} + 1, 0))"

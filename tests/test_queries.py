@@ -9,8 +9,7 @@ import __spark_entry__ as entry_points
 from bitextry.suite.registry import ORACLES, QUERIES
 
 SF_DIR = entry_points.SMOKE_DIR
-# Checked by hand-made cases and brute force in test_metrics.py.
-WITHOUT_SQL = {"ter", "ter_by_step", "word_edit_rate_by_lang"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
