@@ -80,11 +80,11 @@ def pluggable(
     With ``batched`` it returns ``list of texts -> list of lists`` and is called once per Arrow batch, without the
     null texts. Use ``returns="array<int>"`` for a tokenizer that yields ids.
     """
-    key = f"tokenizer-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
 
     @F.pandas_udf(returns)
     def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = once(key, factory)
+        encode = once("tokenizer", key, factory)
         for texts in batches:
             known = texts.dropna().tolist()
             made = list(encode(known)) if batched else list(map(encode, known))

@@ -30,11 +30,11 @@ def predict(
     Arrow batches, and no row moves between tasks.
     """
 
-    key = f"predict-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
 
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = once(key, factory)
+        model = once("predict", key, factory)
         for batch in batches:
             values = batch.tolist()
             made: list = []

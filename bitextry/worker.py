@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable
 from typing import TypeVar
 
+from pyspark import cloudpickle
+
 T = TypeVar("T")
 
 # Functions travel to workers by value, each with its own globals, so the shelf hangs on a module of its own.
 SHELF = "_bitextry_worker_shelf"
-SHELF_SIZE = 16
+KEPT = 2
 
 
-def once(key: Hashable, build: Callable[[], T]) -> T:
-    """The value of ``build()``, made at the first call with ``key`` in this process and kept.
+def once(kind: str, key: str, build: Callable[[], T]) -> T:
+    """The value of ``build()``, made at the first call with ``kind`` and ``key`` in this process and kept.
 
-    The oldest values go when more than ``SHELF_SIZE`` keys are in use, so a long-lived worker stays bounded.
+    A worker serves many jobs; of each kind it keeps the ``KEPT`` values that were used last.
     """
-    shelf = sys.modules.setdefault(SHELF, types.ModuleType(SHELF)).__dict__.setdefault("kept", {})
-    if key not in shelf:
-        while len(shelf) >= SHELF_SIZE:
-            shelf.pop(next(iter(shelf)))
-        shelf[key] = build()
-    return shelf[key]
+    shelves = sys.modules.setdefault(SHELF, types.ModuleType(SHELF)).__dict__.setdefault("kinds", {})
+    shelf = shelves.setdefault(kind, {})
+    value = shelf.pop(key) if key in shelf else build()
+    shelf[key] = value
+    while len(shelf) > KEPT:
+        shelf.pop(next(iter(shelf)))
+    return value
+
+
+def content_key(*parts: object) -> str:
+    """A key for what is made from ``parts``: the same for equal ones, so that later jobs find it."""
+    return hashlib.md5(cloudpickle.dumps(parts)).hexdigest()
