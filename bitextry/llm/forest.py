@@ -11,7 +11,6 @@ row per member; large ones are cut into blocks, and each pair of blocks is a tas
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,12 +61,11 @@ class ForestSpec:
 
 def sketched(docs: DataFrame, spec: ForestSpec) -> DataFrame:
     """Frozen ``docs`` with ``_row``, a 128-bit text hash ``_a, _b``, ``_words``, ``_sketch`` and one key per tree."""
-    key = f"forest-{uuid.uuid4().hex}"
     prefix = spec.prefix()
 
     @F.pandas_udf("_words int, _sketch binary, _keys array<bigint>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        numbers = once(f"{key}-words", WordNumbers)
+        numbers = once("words", "forest", WordNumbers)
         factors = multipliers(spec.trees * spec.depth, spec.seed)
         for texts in batches:
             rows = []
@@ -154,7 +152,7 @@ def verified(texts: DataFrame, spec: ForestSpec) -> DataFrame:
     keys = ["group", "_i", "_j"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = once("forest-verify-words", WordNumbers)
+        numbers = once("words", "forest", WordNumbers)
         for frame, bounds in whole_groups(batches, keys):
             ids, copies, block, texts = (frame[c].to_numpy() for c in ("node", "copies", "_mine", "text"))
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):

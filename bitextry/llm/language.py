@@ -8,7 +8,6 @@ labelled rows, the most frequent ones last, where they are cheapest to refer to.
 from __future__ import annotations
 
 import string
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.llm.common import fresh_name
-from bitextry.worker import once
+from bitextry.worker import content_key, once
 
 UNDETERMINED = "und"
 
@@ -154,11 +153,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], spec: LanguageSpec
     was learned. With one learned language it is always that one, with score 1. Ties go to the language
     with more training rows, are narrow, and so rejected. Columns of the same names are replaced.
     """
-    key = f"language-{uuid.uuid4().hex}"
+    key = content_key(dictionaries, spec)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        classifier = once(key, lambda: Classifier(dictionaries, spec))
+        classifier = once("language", key, lambda: Classifier(dictionaries, spec))
         for texts in batches:
             found = [classifier.predict(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])

@@ -119,12 +119,12 @@ def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray], spec: Model
     Losses are means per word; the score is the target's minus the background's, lower for texts that are more like the
     target. A text without words, or null, has 0 in all. Columns of these names are replaced.
     """
-    key = f"likelihood-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two tables of vocabulary size squared, 4 bytes each
 
     @F.pandas_udf("n_words bigint, target_loss double, background_loss double, score double")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        numbers, (background, target) = once(key, lambda: shared.value)
+        numbers, (background, target) = once("likelihood", key, lambda: shared.value)
         for texts in batches:
             rows = []
             for text in texts:

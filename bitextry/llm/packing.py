@@ -8,7 +8,6 @@ its rank among the pieces of its class. The program depends on the histogram onl
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.llm.common import frozen, without
-from bitextry.worker import once
+from bitextry.worker import content_key, once
 
 
 @dataclass(frozen=True)
@@ -33,7 +32,7 @@ class PackingSpec:
     gap: float = 3e-4
     rounds: int = 6000
     end_id: int = 1
-    cache: int = 400_000
+    cache: int = 250_000
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -215,13 +214,13 @@ def cut(codes: bytes, length: int) -> list[tuple[int, int, int]]:
 
 def pieces(docs: DataFrame, encoder: Callable[[], Encode], spec: PackingSpec, ids: bool = False) -> DataFrame:
     """Frozen pieces: doc_id, start, length, ids_crc32, doc_tokens, ``_class``, ``_row``, ``_part``, and ``ids`` if asked for."""
-    key = f"packing-{uuid.uuid4().hex}"
+    key = content_key(encoder, spec)
     end = int(spec.end_id).to_bytes(4, "little")
     fields = "start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint" + (",ids:binary" if ids else "")
 
     @F.pandas_udf(f"array<struct<{fields}>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codes = once(key, lambda: WordCodes(encoder(), spec.cache))
+        codes = once("packing", key, lambda: WordCodes(encoder(), spec.cache))
         for texts in batches:
             rows = []
             for low in range(0, len(texts), 256):

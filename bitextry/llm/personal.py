@@ -313,12 +313,12 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray], spec: PersonalSpec = P
     Offsets are code points, ends exclusive; spans come by kind as in ``KINDS``, then by start. A null or empty
     text has none. Spans of the network overlap no others. A column ``spans`` of ``docs`` is replaced.
     """
-    key = f"personal-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # some ten thousand numbers
 
     @F.pandas_udf(SPANS)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = once(key, lambda: shared.value)
+        own = once("personal", key, lambda: shared.value)
         for texts in batches:
             rows = all_spans(own, [t or "" for t in texts], spec)
             yield pd.Series(

@@ -7,7 +7,6 @@ for the others, which are encoded when they are first met. No word is ever shuff
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitextry.llm.common import without
-from bitextry.worker import once
+from bitextry.worker import content_key, once
 
 SPACE = "▁"  # how the model writes a blank
 RUNS = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
@@ -34,7 +33,7 @@ class CountSpec:
 
     table: int = 65_536
     share: float = 1 / 50_000
-    cache: int = 400_000
+    cache: int = 300_000
 
 
 def piece_measure(path: str) -> Measure:
@@ -128,14 +127,14 @@ def count_tokens(docs: DataFrame, measure: Callable[[], Measure], spec: CountSpe
 
     ``measure`` makes the counting function in a process. A column ``n_tokens`` of ``docs`` is replaced.
     """
-    key = f"tokens-{uuid.uuid4().hex}"
     top = frequent(docs, spec)
+    key = content_key(top, measure, spec)
     # At most spec.table short words.
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(top, measured(measure(), top), strict=True)))
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lookup = once(key, lambda: Lookup(table.value, measure(), spec.cache))
+        lookup = once("tokens", key, lambda: Lookup(table.value, measure(), spec.cache))
         for texts in batches:
             totals: list[int] = []
             for low in range(0, len(texts), 256):
