@@ -193,7 +193,10 @@ def _gathered(df: DataFrame, elements: DataFrame, value: Column, keys: Sequence[
     arrays = elements.groupBy(*keys).agg(F.transform(in_order, lambda x: x["_v"]).alias(name))
     kind = arrays.schema[name].dataType
     joined = df.drop(drop).join(arrays, list(keys), "left")
-    return joined.withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    # The same columns in the same order as a lookup in place gives.
+    order = [c for c in df.columns if c != drop or drop == name]
+    order += [] if name in order else [name]
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(kind))).select(*order)
 
 
 def _encode_by_join(df: DataFrame, tokens: str, vocabulary: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:

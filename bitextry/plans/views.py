@@ -9,7 +9,10 @@ from bitextry.operators.numbering import following, running
 from bitextry.operators.vocabulary import Vocabulary, build_vocabulary, encode, prepare
 from bitextry.session import spread
 
-VOCABULARY_SIZE = 2000
+TOP_WORDS = 2000
+# Ids of the vocabulary stay below this, whatever the tables; the planted id is above.
+VOCABULARY_SIZE = 1_000_000_000
+PLANTED_ID = 1_000_000_008
 STEPS = (500, 1000, 1500)
 
 
@@ -79,10 +82,10 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``token, id``: the most frequent reference words."""
+def vocabulary(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
+    """``token, id``: all reference words, or the ``size`` most frequent ones."""
     words = lines(spark, sf_dir).select(F.explode(F.split("line", " ")).alias("token"))
-    return build_vocabulary(words, VOCABULARY_SIZE)
+    return build_vocabulary(words, size)
 
 
 def ids(spark: SparkSession, sf_dir: str, vocab: Vocabulary | None = None) -> DataFrame:
@@ -92,8 +95,8 @@ def ids(spark: SparkSession, sf_dir: str, vocab: Vocabulary | None = None) -> Da
 
 
 def damaged(ids: Column | str) -> Column:
-    """Ids with invalid ones planted: -1 at every 13th, 2008 at every 17th position."""
-    return F.transform(ids, lambda x, i: F.when(i % 13 == 0, F.lit(-1)).when(i % 17 == 0, F.lit(2008)).otherwise(x))
+    """Ids with invalid ones planted: -1 at every 13th, one above all others at every 17th position."""
+    return F.transform(ids, lambda x, i: F.when(i % 13 == 0, F.lit(-1)).when(i % 17 == 0, F.lit(PLANTED_ID)).otherwise(x))
 
 
 # The same views for DuckDB, in order of dependence. ``materialized`` ones are used more than once.
@@ -138,8 +141,9 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("lines",),
         """select tok, (row_number() over(order by n desc, tok) + 2)::int id
            from (select tok, count(*) n from (select unnest(string_split(line,' ')) tok from lines)
-                 group by tok order by n desc, tok limit 2000)""",
+                 group by tok)""",
     ),
+    "vocab_top": (("vocab",), f"select * from vocab order by id limit {TOP_WORDS}"),
     "ids": (
         ("lines", "vocab"),
         """select doc_id, lang, line_no, any_value(ref) ref, list(coalesce(id,2) order by i) ids
@@ -149,8 +153,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "pred_ids": (
         ("ids",),
-        """select doc_id, lang, line_no, ref, ids true_ids,
-                  [case when (i-1)%13=0 then -1 when (i-1)%17=0 then 2008 else ids[i] end
+        f"""select doc_id, lang, line_no, ref, ids true_ids,
+                  [case when (i-1)%13=0 then -1 when (i-1)%17=0 then {PLANTED_ID} else ids[i] end
                    for i in range(1,len(ids)+1)] ids from ids""",
     ),
 }

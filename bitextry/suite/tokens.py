@@ -13,7 +13,7 @@ from bitextry.plans.views import with_views
 from bitextry.suite import sql
 from bitextry.suite.registry import query
 
-VOCAB_SIZE = views.VOCABULARY_SIZE + vocabulary.FIRST_ID
+VOCAB_SIZE = views.VOCABULARY_SIZE
 
 
 def shown(array: Column | str) -> Column:
@@ -56,8 +56,13 @@ def tok_pluggable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir, tokenizers.pluggable(four_characters)(F.col("line")))
 
 
-@query(with_views("select tok token, id from vocab", "vocab"))
+@query(with_views("select tok token, id from vocab_top", "vocab_top"))
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.vocabulary(spark, sf_dir, views.TOP_WORDS)
+
+
+@query(with_views("select tok token, id from vocab", "vocab"))
+def vocab_build_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.vocabulary(spark, sf_dir)
 
 
@@ -66,6 +71,13 @@ def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.ids(spark, sf_dir).select("doc_id", "line_no", shown("ids").alias("ids"))
 
 
+@query(with_views("select doc_id, line_no, array_to_string(ids, ' ') ids from ids", "ids"))
+def encode_ids_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route of vocabularies that are too large to broadcast."""
+    vocab = vocabulary.prepare(views.vocabulary(spark, sf_dir), limit=0)
+    return views.ids(spark, sf_dir, vocab).select("doc_id", "line_no", shown("ids").alias("ids"))
+
+
 @query(with_views("select doc_id, line_no, array_to_string(ids[1:128], ' ') ids from ids", "ids"))
 def truncate_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = arrays.truncate("ids", 128)
@@ -165,14 +177,14 @@ def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_views(
         """select doc_id, line_no,
-                  array_to_string([case when ids[i] = 2 then -100 else ids[i] end for i in range(1, len(ids) + 1)], ' ') labels,
-                  array_to_string([case when ids[i] = 2 then 0 else ids[i] end for i in range(1, len(ids) + 1)], ' ') unmasked
+                  array_to_string([case when ids[i] = 3 then -100 else ids[i] end for i in range(1, len(ids) + 1)], ' ') labels,
+                  array_to_string([case when ids[i] = 3 then 0 else ids[i] end for i in range(1, len(ids) + 1)], ' ') unmasked
            from ids""",
         "ids",
     )
 )
 def label_unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = views.ids(spark, sf_dir).withColumn("labels", arrays.mask_pads("ids", vocabulary.UNKNOWN_ID))
+    masked = views.ids(spark, sf_dir).withColumn("labels", arrays.mask_pads("ids", vocabulary.FIRST_ID))
     unmasked = arrays.unmask_labels("labels", vocabulary.PAD_ID)
     return masked.select("doc_id", "line_no", shown("labels").alias("labels"), shown(unmasked).alias("unmasked"))
 
@@ -200,7 +212,15 @@ DECODED_SQL = f"""select doc_id, lang, line_no, coalesce(string_agg(tok, ' ' ord
 
 @query(with_views("select doc_id, line_no, text from decoded", "pred_ids", decoded=DECODED_SQL))
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocabulary.prepare(views.vocabulary(spark, sf_dir))
+    return _decoded(spark, sf_dir, vocabulary.prepare(views.vocabulary(spark, sf_dir)))
+
+
+@query(with_views("select doc_id, line_no, text from decoded", "pred_ids", decoded=DECODED_SQL))
+def decode_ids_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir, vocabulary.prepare(views.vocabulary(spark, sf_dir), limit=0))
+
+
+def _decoded(spark: SparkSession, sf_dir: str, vocab: vocabulary.Vocabulary) -> DataFrame:
     rows = damaged_ids(spark, sf_dir, vocab).withColumn("ids", repaired())
     text = vocabulary.decode(rows, "ids", vocab, ["doc_id", "line_no"])
     return text.select("doc_id", "line_no", "text")

@@ -119,6 +119,7 @@ def test_step_predictions(spark, tmp_path):
     for step in (500, 1000):
         put(tmp_path / f"dev.step_{step}.pred", [f"{step} {i}" for i in range(4)])
     put(tmp_path / "eval.pred.trg", ["ignored"])
+    put(tmp_path / "dev.step_500.pred.tmp", ["still being written"])
     found = corpora.find_step_predictions(spark, str(tmp_path))
     assert sorted(found) == [500, 1000]
     rows = {(r["step"], r["line_no"]): r["hyp"] for r in corpora.read_step_predictions(spark, found).collect()}

@@ -189,6 +189,26 @@ def test_ter_never_exceeds_word_edits():
         assert translation_edits(hyp, ref, ShiftLimits(tried=1)) <= plain
 
 
+def test_shifts_scored_from_windows_equal_whole_distances():
+    """Each round of the search against one that computes every shifted hypothesis in full."""
+    draw = random.Random(9)
+    for _ in range(120):
+        ref = [draw.randint(0, 9) for _ in range(draw.randint(1, 24))]
+        at, end = sorted(draw.sample(range(len(ref) + 1), 2))
+        rest = ref[:at] + ref[end:]
+        to = draw.randint(0, len(rest))
+        hyp = rest[:to] + ref[at:end] + rest[to:]
+        edits = translation_edits(hyp, ref)
+        # Moving the block back is one shift; the greedy search needs no more edits than plain editing.
+        assert edits <= plain_edits(hyp, ref) and (edits == 0) == (hyp == ref)
+
+
+def test_a_cap_on_shifts_changes_long_rows():
+    ref = list(range(100))
+    hyp = [x for i in range(0, 100, 8) for x in reversed(ref[i : i + 8])]
+    assert translation_edits(hyp, ref) < translation_edits(hyp, ref, ShiftLimits(tried=1000))
+
+
 def test_ter_case_and_references(spark):
     pair = [("The cat", "the cat")]
     assert scored(spark, pair, Ter())["ter"] == 0

@@ -1,9 +1,12 @@
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from bitextry.functions import arrays
+from bitextry.functions.tokenizers import pluggable
 from bitextry.operators import batching, checkpoints, vocabulary
 from bitextry.operators.align import align, pair_steps_with_references
 from bitextry.operators.inference import predict
@@ -85,11 +88,68 @@ def test_align_is_strict(spark):
             align(a, b, ["line_no"]).count()
 
 
-def test_steps_need_references(spark):
-    steps = spark.createDataFrame([(5, 0, "h"), (5, 1, "i")], "step int, line_no int, hyp string")
-    refs = spark.createDataFrame([(0, "r")], "line_no int, ref string")
-    with pytest.raises(Exception, match="no reference"):
+@pytest.mark.parametrize(
+    "lines",
+    [
+        [(5, 0), (5, 1), (5, 2)],  # one too many
+        [(5, 0)],  # one too few
+        [(5, 0), (5, 0)],  # one twice and one too few
+        [(5, 0), (5, 1), (6, 0)],  # another step too short
+        [(5, 0), (5, 7)],  # one without a reference
+    ],
+)
+def test_every_step_needs_every_reference_once(spark, lines):
+    refs = spark.createDataFrame([(0, "a"), (1, "b")], "line_no bigint, ref string")
+    steps = spark.createDataFrame([(s, n, "h") for s, n in lines], "step int, line_no bigint, hyp string")
+    with pytest.raises(Exception, match="reference|twice"):
         pair_steps_with_references(steps, refs).collect()
+    whole = spark.createDataFrame([(s, n, "h") for s in (5, 6) for n in (0, 1)], "step int, line_no bigint, hyp string")
+    assert pair_steps_with_references(whole, refs).count() == 4
+
+
+def test_align_refuses_repeated_keys(spark):
+    left = spark.createDataFrame([(0, "a"), (0, "b")], "line_no bigint, hyp string")
+    right = spark.createDataFrame([(0, "r")], "line_no bigint, ref string")
+    with pytest.raises(Exception, match="twice"):
+        align(left, right, ["line_no"]).collect()
+
+
+def test_running_and_following_keep_null_keys_and_orders(spark):
+    rows = [(None, 1, 5.0), (None, 2, 4.0), ("a", None, 3.0), ("a", 7, 2.0)]
+    log = spark.createDataFrame(rows, "run string, step int, v double")
+    summed = running(log, ["run"], "step", F.floor(F.col("step") / 2), {"n": ("count", F.lit(1), True)})
+    assert sorted((str(r.run), r.n) for r in summed.collect()) == [("None", 1), ("None", 2), ("a", 1), ("a", 2)]
+    nexts = following(log, ["run"], "step", F.floor(F.col("step") / 2), ["v"])
+    assert sorted((r.v, r.next_v) for r in nexts.collect() if r.next_v) == [(3.0, 2.0), (5.0, 4.0)] and nexts.count() == 4
+
+
+def test_runs_without_values_stay(spark):
+    log = spark.createDataFrame([("a", 1, None), ("b", 1, 2.0)], "run string, step int, eval_loss double")
+    found = {r.run: (r.best_step, r.best_value) for r in checkpoints.best_checkpoint(log).collect()}
+    assert found == {"a": (None, None), "b": (1, 2.0)}
+    counted = {r.run: r.improved for r in checkpoints.patience_counter(log).collect()}
+    assert counted == {"a": True, "b": True}
+
+
+def test_models_and_tokenizers_load_once_per_worker(spark, tmp_path):
+    """More tasks than workers: each process makes the model once."""
+    folder = str(tmp_path)
+
+    def model():
+        open(f"{folder}/model-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda values: [str(v) for v in values]
+
+    def cutter():
+        open(f"{folder}/cutter-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [t.split() for t in texts]
+
+    rows = spark.range(0, 400, 1, 40).select(F.col("id").cast("string").alias("t"))
+    predict(rows, model, "t", "out").write.format("noop").mode("overwrite").save()
+    cut = pluggable(cutter, batched=True)
+    assert rows.select(cut(F.col("t")).alias("k")).filter("size(k) = 1").count() == 400
+    for kind in ("model", "cutter"):
+        made = [name.split("-")[1] for name in os.listdir(folder) if name.startswith(kind)]
+        assert made and len(made) == len(set(made))
 
 
 def test_unknown_prompt(spark):
