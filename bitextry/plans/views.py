@@ -48,12 +48,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "lang", "line_no", degraded(F.col("line")).alias("hyp"), F.col("line").alias("ref"))
 
 
+def predicted(line: Column, step: Column) -> Column:
+    """A made-up prediction at an evaluation step: the line without some words, fewer of them at later steps."""
+    gap = F.lit(4) + F.floor(step / 500).cast("int")
+    return F.array_join(F.filter(F.split(line, " "), lambda w, i: i % gap != 2), " ")
+
+
 def step_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, line_no, step, hyp, ref``: three evaluation steps of growing quality."""
     stepped = lines(spark, sf_dir).withColumn("step", F.explode(F.array(*(F.lit(s) for s in STEPS))))
-    gap = F.lit(4) + F.floor(F.col("step") / 500).cast("int")
-    kept = F.filter(F.split("line", " "), lambda w, i: i % gap != 2)
-    return stepped.select("doc_id", "lang", "line_no", "step", F.array_join(kept, " ").alias("hyp"), F.col("line").alias("ref"))
+    hyp = predicted(F.col("line"), F.col("step"))
+    return stepped.select("doc_id", "lang", "line_no", "step", hyp.alias("hyp"), F.col("line").alias("ref"))
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextry.operators.align import align
 from bitextry.sources.text import read_lines, scan_groups
 
 SPLITS = ("train", "dev")
@@ -51,7 +50,10 @@ def manifest_rows(spark: SparkSession, manifest: Manifest) -> DataFrame:
 
 
 def read_parallel(spark: SparkSession, manifest: Manifest) -> DataFrame:
-    """``split, line_no, src, trg``. All files are numbered in one scan; unequal sides are an error."""
+    """``split, line_no, src, trg``. One scan numbers all files, and one shuffle brings the sides of a line together.
+
+    A line that a side lacks, or has twice, is an error.
+    """
     check_manifest(manifest)
     groups = {f"{split}.{side}": manifest[split][side] for split in SPLITS for side in SIDES}
     lines = scan_groups(spark, groups).select(
@@ -60,10 +62,15 @@ def read_parallel(spark: SparkSession, manifest: Manifest) -> DataFrame:
         "line_no",
         "text",
     )
-    src, trg = (
-        lines.filter(F.col("side") == side).select("split", "line_no", F.col("text").alias(side)) for side in SIDES
+    here = {side: F.col("side") == side for side in SIDES}
+    paired = lines.groupBy("split", "line_no").agg(
+        *(F.max(F.when(here[side], F.col("text"))).alias(side) for side in SIDES),
+        *(F.count(F.when(here[side], 1)).alias(f"_{side}") for side in SIDES),
     )
-    return align(src, trg, ["split", "line_no"])
+    place = F.concat_ws("/", "split", "line_no")
+    wrong = F.raise_error(F.concat(F.lit("sides differ in length: no partner for row "), place)).cast("boolean")
+    both = (F.col("_src") == 1) & (F.col("_trg") == 1)
+    return paired.filter(F.when(both, F.lit(True)).otherwise(wrong)).select("split", "line_no", *SIDES)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = "text string, summary string") -> DataFrame:

@@ -80,12 +80,15 @@ def scan_groups(
         )
     )
     inside = F.col("row_id") - F.col("first_id")
+    # A filter, which no later choice of columns takes away.
     checked = F.when(
         inside.isNull() | (inside < 0) | (inside >= F.col("block_lines")),
-        F.raise_error(F.concat(F.lit("file blocks changed while lines were numbered: "), F.col("file"))).cast("bigint"),
-    ).otherwise(F.col("shift") + F.col("row_id"))
-    placed = rows.join(small(starts, starts.count(), BLOCK_LIMIT), ["file", "block"], "left")
-    return placed.select("group", checked.alias("line_no"), column)
+        F.raise_error(F.concat(F.lit("file blocks changed while lines were numbered: "), F.col("file"))).cast("boolean"),
+    ).otherwise(F.lit(True))
+    placed = rows.join(small(starts, starts.count(), BLOCK_LIMIT), ["file", "block"], "left").filter(checked)
+    # Columns of both sides, so that a later filter on the group cannot turn the join into an inner one.
+    group = F.when(inside.isNotNull(), F.col("group"))
+    return placed.select(group.alias("group"), (F.col("shift") + F.col("row_id")).alias("line_no"), column)
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], column: str = "text") -> DataFrame:

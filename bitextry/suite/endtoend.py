@@ -17,7 +17,7 @@ from bitextry.sources.reports import tall
 from bitextry.streaming.step_metrics import step_scores, watch_steps
 from bitextry.suite import sql
 from bitextry.suite.files import numbered_pairs, written, written_steps
-from bitextry.suite.metrics import BLEU_DOUBLES, STEP_SQL, rounded
+from bitextry.suite.metrics import BLEU_DOUBLES, STEP_METRICS, STEP_SQL, rounded
 from bitextry.suite.registry import query
 from bitextry.suite.selection import COUNTS_SQL, OVERLAP_SQL, TOKENS_SQL, TOP_SQL
 from bitextry.suite.texts import CHAT_INSTRUCTION, INSTRUCTION
@@ -251,6 +251,6 @@ def score_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's answer after it has caught up; the batch answer is ``metrics_by_step``."""
     base, refs = written_steps(spark, sf_dir, "stream")
-    metrics, state = [Bleu(), Chrf()], scratch_path(spark, "state")
-    watch_steps(base, refs, metrics, state, scratch_path(spark, "progress")).awaitTermination()
-    return rounded(step_scores(spark, state, metrics))
+    state = scratch_path(spark, "state")
+    watch_steps(base, refs, STEP_METRICS, state, scratch_path(spark, "progress")).awaitTermination()
+    return rounded(step_scores(spark, state, STEP_METRICS))

@@ -10,7 +10,7 @@ from bitextry.operators.numbering import with_ordinal
 from bitextry.operators.scoring import Bleu, Chrf, corpus_scores
 from bitextry.plans import views
 from bitextry.plans.views import with_views
-from bitextry.session import scratch_path
+from bitextry.session import checkpointed, scratch_path
 from bitextry.sources import corpora, reports, text
 from bitextry.suite.registry import query
 
@@ -127,11 +127,11 @@ def written_steps(spark: SparkSession, sf_dir: str, label: str) -> tuple[str, Da
     """A folder of ``dev.step_{N}.pred`` and the references ``line_no, ref``."""
     base = scratch_path(spark, label)
     rows = with_ordinal(views.lines(spark, sf_dir).select("doc_id", "line_no"), ["doc_id", "line_no"])
-    steps = views.step_pairs(spark, sf_dir).join(rows, ["doc_id", "line_no"])
+    numbered = checkpointed(views.lines(spark, sf_dir).join(rows, ["doc_id", "line_no"]).select("row_no", "line"))
     for step in views.STEPS:
-        text.write_lines(steps.filter(F.col("step") == step), "hyp", f"{base}/dev.step_{step}.pred", "row_no")
-    refs = views.lines(spark, sf_dir).join(rows, ["doc_id", "line_no"])
-    return base, refs.select(F.col("row_no").alias("line_no"), F.col("line").alias("ref"))
+        made = numbered.select("row_no", views.predicted(F.col("line"), F.lit(step)).alias("hyp"))
+        text.write_lines(made, "hyp", f"{base}/dev.step_{step}.pred", "row_no")
+    return base, numbered.select(F.col("row_no").alias("line_no"), F.col("line").alias("ref"))
 
 
 @query(

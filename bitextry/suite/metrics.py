@@ -192,9 +192,14 @@ def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metric_report(spark, sf_dir)
 
 
+STEP_METRICS = (Bleu(), Chrf(), Ter())
 STEP_SQL = with_views(
-    f"select step, {sql.rounded(BLEU_DOUBLES)}, ref_len, sys_len, round(chrf, 6) chrf from bleu join c_chrf using (step)",
+    f"""select step, {sql.rounded(BLEU_DOUBLES)}, ref_len, sys_len, round(chrf, 6) chrf,
+               round(100.0 * edits / words, 6) ter, edits::bigint ter_edits, words::double ter_ref_words
+        from bleu join c_chrf using (step) join edited using (step)""",
     "step_pairs",
+    edited=f"""select step, sum(len(r) - {_KEPT}) edits, sum(len(r)) words
+               from (select step, {sql.words('hyp')} h, {sql.words('ref')} r from step_pairs) group by step""",
     **sql.bleu("step_pairs", "step", "doc_id, line_no"),
     **sql.chrf("step_pairs", "step", "doc_id, line_no"),
 )
@@ -204,7 +209,7 @@ STEP_SQL = with_views(
 def metrics_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, refs = written_steps(spark, sf_dir, "metrics")
     files = corpora.find_step_predictions(spark, base)
-    return rounded(jobs.score_step_files(spark, files, refs, [Bleu(), Chrf()]))
+    return rounded(jobs.score_step_files(spark, files, refs, STEP_METRICS))
 
 
 @query(_edits_sql("step", "ter", "step_pairs"))
