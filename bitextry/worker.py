@@ -17,17 +17,19 @@ SHELF = "_bitextry_worker_shelf"
 KEPT = 2
 
 
-def once(kind: str, key: str, build: Callable[[], T]) -> T:
+def once(kind: str, key: str, build: Callable[[], T], kept: int = KEPT) -> T:
     """The value of ``build()``, made at the first call with ``kind`` and ``key`` in this process and kept.
 
-    A worker serves many jobs; of each kind it keeps the ``KEPT`` values that were used last.
+    A worker serves many jobs; of each kind it keeps the ``kept`` values that were used last.
     """
     shelves = sys.modules.setdefault(SHELF, types.ModuleType(SHELF)).__dict__.setdefault("kinds", {})
     shelf = shelves.setdefault(kind, {})
-    value = shelf.pop(key) if key in shelf else build()
-    shelf[key] = value
-    while len(shelf) > KEPT:
+    found, value = key in shelf, shelf.pop(key, None)
+    # Room is made first, so that the old and the new value need not fit side by side.
+    while len(shelf) >= kept:
         shelf.pop(next(iter(shelf)))
+    shelf[key] = value if found else build()
+    value = shelf[key]
     return value
 
 
