@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitextry.session import checkpointed
+from bitextry.worker import once
 
+# Rows of whole texts that an Arrow batch may hold: workers have a few copies of a batch at once.
+TEXTS_PER_BATCH = 2000
+T = TypeVar("T")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``TEXTS_PER_BATCH`` rows, for the jobs that follow too."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= TEXTS_PER_BATCH:
+        spark.conf.set(setting, str(TEXTS_PER_BATCH))
+
+
+def held(operator: str, key: str, build: Callable[[], T]) -> T:
+    """What an operator keeps in a worker. The next operator takes its place: word caches are large."""
+    return once("corpus", f"{operator}-{key}", build, kept=1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

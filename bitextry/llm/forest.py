@@ -19,11 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import by_group, frozen, whole_groups
+from bitextry.llm.common import by_group, frozen, held, short_batches, whole_groups
 from bitextry.llm.components import components
 from bitextry.llm.shingles import WordNumbers, minhash, multipliers, shingle_set
 from bitextry.session import checkpointed
-from bitextry.worker import once
 
 
 @dataclass(frozen=True)
@@ -62,10 +61,11 @@ class ForestSpec:
 def sketched(docs: DataFrame, spec: ForestSpec) -> DataFrame:
     """Frozen ``docs`` with ``_row``, a 128-bit text hash ``_a, _b``, ``_words``, ``_sketch`` and one key per tree."""
     prefix = spec.prefix()
+    short_batches(docs.sparkSession)
 
     @F.pandas_udf("_words int, _sketch binary, _keys array<bigint>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        numbers = once("words", "forest", WordNumbers)
+        numbers = held("forest", "words", WordNumbers)
         factors = multipliers(spec.trees * spec.depth, spec.seed)
         for texts in batches:
             rows = []
@@ -152,7 +152,7 @@ def verified(texts: DataFrame, spec: ForestSpec) -> DataFrame:
     keys = ["group", "_i", "_j"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = once("words", "forest", WordNumbers)
+        numbers = held("forest", "words", WordNumbers)
         for frame, bounds in whole_groups(batches, keys):
             ids, copies, block, texts = (frame[c].to_numpy() for c in ("node", "copies", "_mine", "text"))
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import fresh_name
-from bitextry.worker import content_key, once
+from bitextry.llm.common import fresh_name, held, short_batches
+from bitextry.worker import content_key
 
 UNDETERMINED = "und"
 
@@ -154,10 +154,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], spec: LanguageSpec
     with more training rows, are narrow, and so rejected. Columns of the same names are replaced.
     """
     key = content_key(dictionaries, spec)
+    short_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        classifier = once("language", key, lambda: Classifier(dictionaries, spec))
+        classifier = held("language", key, lambda: Classifier(dictionaries, spec))
         for texts in batches:
             found = [classifier.predict(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])

@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import without
-from bitextry.worker import once
+from bitextry.llm.common import held, short_batches, without
 
 UNKNOWN, START = 0, 1
 
@@ -106,6 +105,7 @@ def fit(docs: DataFrame, spec: ModelSpec = ModelSpec()) -> tuple[dict[str, int],
     ``docs`` has text and target. Background counts are scaled to the number of the target's words, so that both
     models are equally sure of what they have seen. Without rows of one kind, its model is the uniform one.
     """
+    short_batches(docs.sparkSession)
     numbers = {word: 2 + k for k, word in enumerate(shared_vocabulary(docs, spec))}
     background, target = pair_counts(docs, numbers, spec)
     if background.sum() and target.sum():
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray], spec: Model
 
     @F.pandas_udf("n_words bigint, target_loss double, background_loss double, score double")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        numbers, (background, target) = once("likelihood", key, lambda: shared.value)
+        numbers, (background, target) = held("likelihood", key, lambda: shared.value)
         for texts in batches:
             rows = []
             for text in texts:

@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import frozen, without
-from bitextry.worker import content_key, once
+from bitextry.llm.common import frozen, held, short_batches, without
+from bitextry.worker import content_key
 
 
 @dataclass(frozen=True)
@@ -215,12 +215,13 @@ def cut(codes: bytes, length: int) -> list[tuple[int, int, int]]:
 def pieces(docs: DataFrame, encoder: Callable[[], Encode], spec: PackingSpec, ids: bool = False) -> DataFrame:
     """Frozen pieces: doc_id, start, length, ids_crc32, doc_tokens, ``_class``, ``_row``, ``_part``, and ``ids`` if asked for."""
     key = content_key(encoder, spec)
+    short_batches(docs.sparkSession)
     end = int(spec.end_id).to_bytes(4, "little")
     fields = "start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint" + (",ids:binary" if ids else "")
 
     @F.pandas_udf(f"array<struct<{fields}>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codes = once("packing", key, lambda: WordCodes(encoder(), spec.cache))
+        codes = held("packing", key, lambda: WordCodes(encoder(), spec.cache))
         for texts in batches:
             rows = []
             for low in range(0, len(texts), 256):

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitextry.llm import recurrent
-from bitextry.llm.common import fresh_name
-from bitextry.worker import once
+from bitextry.llm.common import fresh_name, held, short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end in code points
@@ -314,11 +313,12 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray], spec: PersonalSpec = P
     text has none. Spans of the network overlap no others. A column ``spans`` of ``docs`` is replaced.
     """
     key = uuid.uuid4().hex
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # some ten thousand numbers
 
     @F.pandas_udf(SPANS)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = once("personal", key, lambda: shared.value)
+        own = held("personal", key, lambda: shared.value)
         for texts in batches:
             rows = all_spans(own, [t or "" for t in texts], spec)
             yield pd.Series(

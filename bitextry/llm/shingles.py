@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WORD_CACHE = 200_000
-CHUNK = 65_536
+CHUNK = 8_192
 
 
 class WordNumbers(dict):

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import without
-from bitextry.worker import content_key, once
+from bitextry.llm.common import held, short_batches, without
+from bitextry.worker import content_key
 
 SPACE = "▁"  # how the model writes a blank
 RUNS = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
@@ -127,6 +127,7 @@ def count_tokens(docs: DataFrame, measure: Callable[[], Measure], spec: CountSpe
 
     ``measure`` makes the counting function in a process. A column ``n_tokens`` of ``docs`` is replaced.
     """
+    short_batches(docs.sparkSession)
     top = frequent(docs, spec)
     key = content_key(top, measure, spec)
     # At most spec.table short words.
@@ -134,7 +135,7 @@ def count_tokens(docs: DataFrame, measure: Callable[[], Measure], spec: CountSpe
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lookup = once("tokens", key, lambda: Lookup(table.value, measure(), spec.cache))
+        lookup = held("tokens", key, lambda: Lookup(table.value, measure(), spec.cache))
         for texts in batches:
             totals: list[int] = []
             for low in range(0, len(texts), 256):
