@@ -32,6 +32,39 @@ MTEVAL_13A_LITERALS = (
     ("&gt;", ">"),
 )
 
+# The rules of the international tokenizer of mteval-v14 (NIST), as (pattern, replacement).
+INTERNATIONAL_RULES = (
+    (r"(\P{N})(\p{P})", "$1 $2 "),
+    (r"(\p{P})(\P{N})", " $1 $2"),
+    (r"(\p{S})", " $1 "),
+)
+# Code points that the Chinese tokenizer takes as tokens of their own, first and last.
+CHINESE_RANGES = (
+    (0x3400, 0x4DB5),
+    (0x4E00, 0x9FA5),
+    (0x9FA6, 0x9FBB),
+    (0xF900, 0xFA2D),
+    (0xFA30, 0xFA6A),
+    (0xFA70, 0xFAD9),
+    (0x20000, 0x2A6D6),
+    (0x2F800, 0x2FA1D),
+    (0xFF00, 0xFFEF),
+    (0x2E80, 0x2EFF),
+    (0x3000, 0x303F),
+    (0x31C0, 0x31EF),
+    (0x2F00, 0x2FDF),
+    (0x2FF0, 0x2FFF),
+    (0x3100, 0x312F),
+    (0x31A0, 0x31BF),
+    (0xFE10, 0xFE1F),
+    (0xFE30, 0xFE4F),
+    (0x2600, 0x26FF),
+    (0x2700, 0x27BF),
+    (0x3200, 0x32FF),
+    (0x3300, 0x33FF),
+)
+CHINESE = "([" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in CHINESE_RANGES) + "])"
+
 
 def whitespace_tokens(text: Column | str) -> Column:
     """Split on runs of Unicode white space; no empty tokens."""
@@ -62,6 +95,17 @@ def mteval_13a_tokens(text: Column | str) -> Column:
     return whitespace_tokens(exact)
 
 
+def international_tokens(text: Column | str) -> Column:
+    """Words, with punctuation apart unless a digit is beside it, and with symbols apart, in any script."""
+    return whitespace_tokens(_rewrite(as_column(text), INTERNATIONAL_RULES))
+
+
+def chinese_tokens(text: Column | str) -> Column:
+    """Chinese characters one by one, the rest by the 13a rules; entities and line ends are left alone."""
+    apart = F.regexp_replace(as_column(text), CHINESE, " $1 ")
+    return whitespace_tokens(_rewrite(apart, MTEVAL_13A_RULES))
+
+
 def character_tokens(text: Column | str) -> Column:
     """Every code point that is not white space."""
     return F.array_remove(F.split(F.regexp_replace(as_column(text), f"(?U){WHITESPACE}+", ""), ""), "")
@@ -100,6 +144,8 @@ TOKENIZERS: dict[str, Tokenizer] = {
     "none": whitespace_tokens,
     "13a": mteval_13a_tokens,
     "char": character_tokens,
+    "intl": international_tokens,
+    "zh": chinese_tokens,
 }
 
 

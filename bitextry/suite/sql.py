@@ -31,6 +31,14 @@ def tokens_13a(column: str) -> str:
     return words(out)
 
 
+def rewritten(column: str, rules) -> str:
+    """Words of ``column`` after replacing all matches of each rule in turn."""
+    out = column
+    for pattern, replacement in rules:
+        out = f"regexp_replace({out}, {literal(pattern)}, {literal(replacement.replace('$', chr(92)))}, 'g')"
+    return words(out)
+
+
 def alphanumeric(column: str) -> str:
     return f"regexp_extract_all(lower({column}), '[a-z0-9]+')"
 

@@ -46,6 +46,16 @@ def tok_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir, tokenizers.character_tokens("line"))
 
 
+@query(_tokens_sql(sql.rewritten("line", tokenizers.INTERNATIONAL_RULES)))
+def tok_intl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir, tokenizers.international_tokens("line"))
+
+
+@query(_tokens_sql(sql.rewritten("line", ((tokenizers.CHINESE, " $1 "), *tokenizers.MTEVAL_13A_RULES))))
+def tok_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir, tokenizers.chinese_tokens("line"))
+
+
 def four_characters():
     """A toy subword tokenizer: pieces of four code points."""
     return lambda text: [text[i : i + 4] for i in range(0, len(text), 4)]

@@ -96,3 +96,18 @@ def test_chat_template(spark):
     assert column(spark, ["hi"], template.render(prompt)) == ["[user] Translate:\nhi\n[assistant] "]
     both = F.concat(prompt, chat.assistant_completion(F.lit("salut")))
     assert column(spark, ["hi"], template.render(both, False)) == ["[user] Translate:\nhi\n[assistant] salut\n"]
+
+
+@pytest.mark.parametrize(
+    "name, text, tokens",
+    [
+        ("zh", "我有3.5个apples,真的。don't", ["我", "有", "3.5", "个", "apples", ",", "真", "的", "。", "don't"]),
+        ("zh", "全角，２", ["全", "角", "，", "２"]),
+        ("zh", "", []),
+        ("intl", "«Ça va?» 3,5€ x²-1", ["«", "Ça", "va", "?", "»", "3,5", "€", "x²-1"]),
+        ("intl", "price:$4.20, ok…", ["price", ":", "$", "4.20", ",", "ok", "…"]),
+    ],
+)
+def test_chinese_and_international_tokens(spark, name, text, tokens):
+    row = spark.createDataFrame([(text,)], "t string").select(tokenizers.tokenizer(name)(F.col("t")).alias("k")).first()
+    assert row.k == tokens
