@@ -13,7 +13,9 @@ from bitextry.operators.bootstrap import DRAWS, poisson_thresholds
 from bitextry.suite import sql
 from bitextry.suite.files import _metric_report, written_steps
 from bitextry.suite.registry import query
+from bitextry.functions.strings import percent
 from bitextry.sources import corpora
+from bitextry.sources.reports import formatted_record
 
 BLEU_DOUBLES = "bleu bleu_p1 bleu_p2 bleu_p3 bleu_p4 bleu_bp"
 
@@ -192,6 +194,24 @@ def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metric_report(spark, sf_dir)
 
 
+@query(
+    with_views(
+        """select lang, round(bleu, 2) bleu, round(chrf, 2) chrf, round(bleu_bp, 2) bp,
+                  concat_ws('/', round(bleu_p1, 1), round(bleu_p2, 1), round(bleu_p3, 1), round(bleu_p4, 1)) precisions,
+                  ref_len, sys_len, round(100.0 * sys_len / ref_len)::bigint || '%' share from both_scores""",
+        "pairs",
+        **sql.bleu("pairs", "lang", "doc_id, line_no", "exp"),
+        **sql.chrf("pairs", "lang", "doc_id, line_no"),
+        both_scores="select * from bleu join c_chrf using (lang)",
+    )
+)
+def formatted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounded record of each language, with the generated share of the reference length in whole percent."""
+    scores = corpus_scores(views.pairs(spark, sf_dir), [Bleu(smooth="exp"), Chrf()], by=["lang"])
+    record = formatted_record(scores, ["lang"]).withColumn("precisions", F.array_join(F.col("precisions").cast("array<string>"), "/"))
+    return record.withColumn("share", percent(F.col("sys_len") / F.col("ref_len")))
+
+
 STEP_METRICS = (Bleu(), Chrf(), Ter())
 STEP_SQL = with_views(
     f"""select step, {sql.rounded(BLEU_DOUBLES)}, ref_len, sys_len, round(chrf, 6) chrf,
