@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.operators.numbering import with_ordinal
-from bitextry.session import BROADCAST_ROW_LIMIT, checkpointed
+from bitextry.session import checkpointed
 
 # Ids of the special tokens, then the first id of an ordinary one.
 PAD_ID, END_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2, 3
 SPECIAL_IDS = (PAD_ID, END_ID, UNKNOWN_ID)
+# A vocabulary that takes more is joined.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Copies of a vocabulary that does not fit a broadcast, so that frequent tokens spread over tasks.
 LOOKUP_SALTS = 16
 
@@ -135,17 +137,21 @@ class Vocabulary:
     tokens: Broadcast | None
 
 
-def prepare(vocabulary: DataFrame | Vocabulary, limit: int = BROADCAST_ROW_LIMIT) -> Vocabulary:
-    """Compute a ``token, id`` vocabulary once; broadcast it if it has at most ``limit`` rows.
+def prepare(vocabulary: DataFrame | Vocabulary, limit: int = BROADCAST_BYTES) -> Vocabulary:
+    """Compute a ``token, id`` vocabulary once; broadcast it if it takes at most ``limit`` bytes.
 
     Ids must run from the first ordinary id without gaps to be looked up by position.
     """
     if isinstance(vocabulary, Vocabulary):
         return vocabulary
     frame = checkpointed(vocabulary.select("token", "id"))
-    table = frame.limit(limit + 1).toArrow().sort_by("id")
+    # A token takes its bytes, an offset and an id.
+    size = frame.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
+    if size > limit:
+        return Vocabulary(frame, None)
+    table = frame.toArrow().sort_by("id")
     ids = table.column("id").to_numpy()
-    if table.num_rows > limit or not (ids == np.arange(FIRST_ID, FIRST_ID + len(ids))).all():
+    if not (ids == np.arange(FIRST_ID, FIRST_ID + len(ids))).all():
         return Vocabulary(frame, None)
     tokens = table.column("token").combine_chunks().cast(pa.string())
     return Vocabulary(frame, vocabulary.sparkSession.sparkContext.broadcast(tokens))

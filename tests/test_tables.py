@@ -217,7 +217,7 @@ def test_vocabulary_paths_agree(spark):
     assert sorted(r["id"] for r in whole.collect()) == list(range(3, 3 + whole.count()))
     looked_up = vocabulary.encode(df, "tokens", vocab, ["k"])
     as_table = vocabulary.prepare(vocab, limit=5)
-    assert as_table.tokens is None and vocabulary.prepare(vocab, limit=20).tokens is not None
+    assert as_table.tokens is None and vocabulary.prepare(vocab, limit=2000).tokens is not None
     joined = vocabulary.encode(df, "tokens", as_table, ["k"])
     assert sorted(looked_up.collect()) == sorted(joined.collect())
     back = vocabulary.decode(looked_up, "ids", vocab, ["k"])
