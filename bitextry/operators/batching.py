@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.functions.arrays import attention_mask, pad
 from bitextry.operators.numbering import shuffled_ordinal
+from bitextry.session import checkpointed
 
 
 def head(df: DataFrame, n: int, line_no: str = "line_no") -> DataFrame:
@@ -20,6 +22,16 @@ def head(df: DataFrame, n: int, line_no: str = "line_no") -> DataFrame:
     return picked
 
 
+def ordered_head(df: DataFrame, order_by: Sequence[str], n: int, line_no: str = "line_no") -> DataFrame:
+    """The first ``n`` rows in ``order_by`` order with their numbers; fewer of them is an error.
+
+    Each task sends its own first rows at most, so nothing is sorted or written as a whole.
+    """
+    picked = checkpointed(df.orderBy(*order_by).limit(n))
+    numbered = picked.withColumn(line_no, F.row_number().over(Window.orderBy(*order_by)) - 1)
+    return head(numbered, n, line_no)
+
+
 def batch_id(line_no: Column | str, size: int) -> Column:
     """Consecutive batches of ``size`` rows; the last one may be short."""
     line_no = F.col(line_no) if isinstance(line_no, str) else line_no

@@ -20,8 +20,8 @@ BATCH = 16
 
 @query(with_views(f"select doc_id, line_no, row_no, line from ({sql.NUMBERED}) where row_no < 64", "lines"))
 def head_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = with_ordinal(views.lines(spark, sf_dir), ["doc_id", "line_no"])
-    return batching.head(numbered, 64, "row_no").select("doc_id", "line_no", "row_no", "line")
+    first = batching.ordered_head(views.lines(spark, sf_dir), ["doc_id", "line_no"], 64, "row_no")
+    return first.select("doc_id", "line_no", F.col("row_no").cast("bigint"), "line")
 
 
 @query(

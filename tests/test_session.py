@@ -11,6 +11,9 @@ class Fake:
         self.sparkContext = self
         self.setting, self.master, self.applicationId = setting, master, f"{setting}-{master}"
 
+    def getCheckpointDir(self):
+        return "hdfs://set/on/context" if self.master == "k8s" else None
+
     def get(self, key, default=None):
         assert key == "spark.checkpoint.dir"
         return self.setting or default
@@ -18,6 +21,7 @@ class Fake:
 
 def test_shared_folder_is_the_cluster_s_own():
     assert session.shared_dir(Fake("hdfs://x/check/", "yarn")) == "hdfs://x/check"
+    assert session.shared_dir(Fake(None, "k8s")) == "hdfs://set/on/context"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Fake(None, "yarn"))
 
