@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitextry.functions import arrays
 from bitextry.functions.chat import ChatTemplate, user_prompt
@@ -87,8 +88,16 @@ def score_ids(
     pad_id: int | None = vocabulary.PAD_ID,
     end_id: int | None = vocabulary.END_ID,
 ) -> DataFrame:
-    """Validation record from predicted ``ids`` and ``labels``: BLEU, chrF, lengths and id health."""
+    """Validation record from predicted ``ids`` and ``labels``: BLEU, chrF, lengths and id health.
+
+    ``ids`` may also be the scores of all ids at each position, of which the best is taken, or floats, which are rounded.
+    """
     by, vocab = list(by), vocabulary.prepare(vocab)
+    element = df.schema["ids"].dataType.elementType
+    if isinstance(element, T.ArrayType):
+        df = df.withColumn("ids", arrays.argmax_ids("ids"))
+    elif isinstance(element, (T.FloatType, T.DoubleType)):
+        df = df.withColumn("ids", arrays.round_ids("ids"))
     pad_id = arrays.resolve_pad_id(pad_id, end_id)
     health = scoring.health_aggregates()
     rows = df.withColumns(scoring.health_columns("ids", vocab_size)).withColumns(

@@ -243,7 +243,12 @@ def _decoded(ids: str) -> str:
 )
 def score_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = prepare(views.vocabulary(spark, sf_dir))
-    rows = damaged_ids(spark, sf_dir, vocab).select("doc_id", "lang", "line_no", "ids", F.col("true_ids").alias("labels"))
+    # Ids as a model's floats, and labels that end in masked positions.
+    floats = F.transform("ids", lambda x: x + F.lit(0.4).cast("double"))
+    masked = F.concat("true_ids", F.array(F.lit(-100), F.lit(-100)))
+    rows = damaged_ids(spark, sf_dir, vocab).select(
+        "doc_id", "lang", "line_no", floats.alias("ids"), masked.alias("labels")
+    )
     return rounded(jobs.score_ids(rows, vocab, ["doc_id", "line_no"], VOCAB_SIZE, ["lang"]))
 
 

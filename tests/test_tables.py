@@ -281,3 +281,17 @@ def test_predict_batches_and_checks_length(spark):
     assert all(r["y"] == f"True:{r['x']}" for r in got) and len(got) == 100
     with pytest.raises(Exception, match="one output per input"):
         predict(rows, lambda: lambda batch: batch[1:], "x", "y").collect()
+
+
+def test_scores_from_ids_floats_and_logits_agree(spark):
+    from bitextry.plans import jobs
+
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(3, 13)], "token string, id int")
+    rows = [(k, [3 + (k + i) % 10 for i in range(6)], [3 + (k + i) % 9 for i in range(6)] + [-100]) for k in range(8)]
+    ids = spark.createDataFrame(rows, "k int, ids array<int>, labels array<int>")
+    floats = ids.withColumn("ids", F.transform("ids", lambda x: x - F.lit(0.3).cast("double")))
+    one_hot = F.transform("ids", lambda x: F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: (i == x).cast("float")))
+    scores = [
+        jobs.score_ids(df, vocab, ["k"], 13).collect() for df in (ids, floats, ids.withColumn("ids", one_hot))
+    ]
+    assert scores[0] == scores[1] == scores[2] and scores[0][0]["bleu"] > 0
