@@ -27,8 +27,8 @@ class SearchSpec:
     k: int = 5
     data_block: int = 16_384
     query_block: int = 2_048
-    fanout: int = 12
-    leaf: int = 96
+    fanout: int = 6
+    leaf: int = 512
 
 
 @dataclass
@@ -43,22 +43,30 @@ class Node:
 
 
 def grow(vectors: np.ndarray, rows: np.ndarray, center: np.ndarray, spec: SearchSpec) -> Node:
-    """The tree over ``rows``: each level covers its vectors from farthest-first centres with smaller radii."""
+    """The tree over ``rows``: a node's vectors go to the nearest of its centre, the farthest vector, and some others.
+
+    A few vectors that lie far out would make a tree as deep as they are many. Where the centres leave nearly all
+    vectors together, the node is cut into leaves instead.
+    """
     apart = np.sqrt(((vectors[rows] - center) ** 2).sum(axis=1))
     node = Node(center, float(apart.max(initial=0.0)), float(np.sqrt((center**2).sum())), rows)
     if len(rows) <= spec.leaf or node.radius == 0 or not np.isfinite(node.radius):
         return node
+    others = rows[np.linspace(0, len(rows) - 1, spec.fanout - 1).astype(np.int64)]
+    centers = [center, vectors[rows[int(apart.argmax())]], *vectors[others[1:]]]
     nearest, owner = apart, np.zeros(len(rows), np.int64)
-    centers = [center]
-    while len(centers) < spec.fanout and nearest.max() > node.radius / 2:
-        centers.append(vectors[rows[int(nearest.argmax())]])
-        here = np.sqrt(((vectors[rows] - centers[-1]) ** 2).sum(axis=1))
+    for k, other in enumerate(centers[1:], 1):
+        here = np.sqrt(((vectors[rows] - other) ** 2).sum(axis=1))
         closer = here < nearest
         nearest = np.where(closer, here, nearest)
-        owner[closer] = len(centers) - 1
-    parts = [rows[owner == i] for i in range(len(centers))]
-    if max(map(len, parts)) < len(rows):
+        owner[closer] = k
+    parts = [rows[owner == k] for k in range(len(centers))]
+    if max(map(len, parts)) <= 0.9 * len(rows):
         node.children = [grow(vectors, p, c, spec) for p, c in zip(parts, centers, strict=True) if len(p)]
+    else:
+        order = rows[np.argsort(apart, kind="stable")]
+        cuts = [order[low : low + spec.leaf] for low in range(0, len(order), spec.leaf)]
+        node.children = [grow(vectors, cut, vectors[cut].mean(axis=0), spec) for cut in cuts]
     return node
 
 
