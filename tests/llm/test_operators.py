@@ -507,3 +507,19 @@ def test_language_model_edges(crowded, none):
     assert found[4].score == found[5].score == found[6].n_words == 0 and found[1].score < found[7].score
     empty = likelihood.fit(none.withColumn("target", F.lit(True)))
     assert likelihood.score(none, empty).count() == 0
+
+
+def test_trees_over_outliers_stay_shallow():
+    vectors = np.stack([1.01 ** np.arange(3000), np.arange(3000.0) % 7], axis=1)
+    spec = covertree.SearchSpec(leaf=8, fanout=4)
+    depths = []
+
+    def walk(node, depth):
+        depths.append(depth)
+        inside = np.sqrt(((vectors[node.rows] - node.center) ** 2).sum(axis=1))
+        assert (inside <= node.radius + 1e-6).all()
+        for child in node.children:
+            walk(child, depth + 1)
+        return sum(len(c.rows) for c in node.children) in (0, len(node.rows))
+
+    assert walk(covertree.grow(vectors, np.arange(3000), vectors.mean(axis=0), spec), 0) and max(depths) < 100
