@@ -135,9 +135,9 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("target"))
     )
     marked = docs.join(small(good, good.count()), "doc_id", "left").select(
-        "text", F.coalesce("target", F.lit(False)).alias("target")
+        "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")
     )
-    return likelihood.score(docs, likelihood.fit(marked)).drop("text")
+    return likelihood.fit_score(marked).drop("text", "target")
 
 
 @query

@@ -500,6 +500,40 @@ def test_language_model_equals_brute_force(spark):
         assert abs(r.score - expected) < 1e-4
 
 
+def test_language_model_has_all_words(spark):
+    """Rare words and their pairs count as themselves, in and beyond the shortcuts for frequent ones."""
+    docs = sf(spark, "documents").select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("target"))
+    new = spark.createDataFrame([(-1, "the unheardofword the"), (-2, None)], "doc_id bigint, text string")
+    cut = lambda text: (text or "").lower().split()
+    rows = docs.collect()
+    ngrams, singles, firsts = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for r in rows:
+        ids = [None, *cut(r.text)]
+        ngrams[r.target].update(zip(ids, ids[1:]))
+        singles[r.target].update(ids[1:])
+        firsts[r.target].update(ids[:-1])
+    size = len({*singles[0], *singles[1]}) + 2
+    assert size > 2048
+    total = [sum(s.values()) for s in singles]
+    scale = [total[1] / total[0], 1.0]
+
+    def mean_loss(k, text):
+        ids = [None, *cut(text)]
+        uni = lambda w: (scale[k] * singles[k][w] + 1) / (total[1] + size)
+        chance = [
+            (scale[k] * ngrams[k][a, b] + 16 * uni(b)) / (scale[k] * firsts[k][a] + 16) for a, b in zip(ids, ids[1:])
+        ]
+        return -sum(map(np.log, chance)) / max(1, len(chance))
+
+    for spec in (likelihood.ModelSpec(), likelihood.ModelSpec(frequent=500, dense=20, group=9000, rows=7)):
+        own = likelihood.fit_score(docs, spec).collect()
+        assert sorted(r.doc_id for r in own) == sorted(r.doc_id for r in rows)
+        for r in [*own, *likelihood.score(docs.drop("target").union(new), likelihood.fit(docs, spec), spec).collect()]:
+            assert r.n_words == len(cut(r.text))
+            for k, loss in enumerate((r.background_loss, r.target_loss)):
+                assert abs(loss - mean_loss(k, r.text)) < 1e-5
+
+
 def test_language_model_edges(crowded, none):
     marked = crowded.withColumn("target", F.coalesce(F.col("doc_id") == 1, F.lit(False)))
     model = likelihood.fit(marked)
