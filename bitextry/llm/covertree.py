@@ -122,20 +122,20 @@ class Search:
     def compare(self, q: Node, r: Node) -> None:
         scores = products(self.queries[q.rows], self.data[r.rows])
         scores_ids = self.data_ids[r.rows]
-        promising = scores >= self.worst[q.rows][:, None]
+        # Rows of the query's own id must not take the places of others.
+        promising = (scores >= self.worst[q.rows][:, None]) & (scores_ids != self.query_ids[q.rows][:, None])
         for i in np.flatnonzero(promising.any(axis=1)):
             row = q.rows[i]
-            own, found = self.query_ids[row], self.best[row]
+            found = self.best[row]
             hits = np.flatnonzero(promising[i])
-            if len(hits) > self.spec.k + 1:
-                hits = hits[np.lexsort((scores_ids[hits], -scores[i, hits]))[: self.spec.k + 1]]
+            if len(hits) > self.spec.k:
+                hits = hits[np.lexsort((scores_ids[hits], -scores[i, hits]))[: self.spec.k]]
             for j in hits:
-                if scores_ids[j] != own:
-                    entry = (int(scores[i, j]), -int(scores_ids[j]))
-                    if len(found) < self.spec.k:
-                        heapq.heappush(found, entry)
-                    elif entry > found[0]:
-                        heapq.heapreplace(found, entry)
+                entry = (int(scores[i, j]), -int(scores_ids[j]))
+                if len(found) < self.spec.k:
+                    heapq.heappush(found, entry)
+                elif entry > found[0]:
+                    heapq.heapreplace(found, entry)
             if len(found) == self.spec.k:
                 self.worst[row] = found[0][0]
 

@@ -474,6 +474,23 @@ def test_search_over_blocks_ties_and_bad_vectors(spark, none):
     assert covertree.nearest(vectors.filter("vec_id in (0, 950)"), F.lit(True)).count() == 2
 
 
+@pytest.mark.parametrize("copies", ["twice", "hot"])
+def test_search_with_repeated_ids(spark, copies):
+    """All rows of a query's id score best, and leave all places to the others."""
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(150)]
+    rows += rows if copies == "twice" else [rows[0]] * 40
+    rows = [(i, [8 * x for x in v] if i % 50 == 0 else v) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", vectors.toArrow())
+    # The first of the rows of an id is the query, so each pair of rows is asked for once.
+    one = suite.ORACLES["op9_nearest_vectors"].replace("from whole q join", "from (select distinct * from whole) q join")
+    expected = con.execute(one).fetchall()
+    found = [tuple(r) for r in covertree.nearest(vectors, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(found) == sorted(expected) and len(found) == 15
+
+
 # Language model
 
 
