@@ -158,7 +158,8 @@ def verified(texts: DataFrame, spec: ForestSpec) -> DataFrame:
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 at = slice(low, high)
                 sets = [shingle_set(t, spec.shingle, numbers) for t in texts[at]]
-                yield links(ids[at], copies[at], block[at], sets, spec.numerator, spec.denominator)
+                crossing = frame["_i"].iloc[low] != frame["_j"].iloc[low]
+                yield links(ids[at], copies[at], block[at], sets, crossing, spec.numerator, spec.denominator)
 
     placed = members.withColumnRenamed("root", "group").select(*keys, "_mine", "node", "copies", "text")
     found = by_group(placed, keys).mapInPandas(compare, "node bigint, root bigint, links bigint, copies bigint")
@@ -166,11 +167,20 @@ def verified(texts: DataFrame, spec: ForestSpec) -> DataFrame:
 
 
 def links(
-    ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int
+    ids: np.ndarray,
+    copies: np.ndarray,
+    block: np.ndarray,
+    sets: list[np.ndarray],
+    crossing: bool,
+    numerator: int,
+    denominator: int,
 ) -> pd.DataFrame:
-    """For each document its links in this pair of blocks and the root of those it is connected to."""
+    """For each document its links in this pair of blocks and the root of those it is connected to.
+
+    ``crossing`` pairs are of two blocks, one of which may be empty; links inside a block are not theirs.
+    """
     n = len(ids)
-    if n < 2:
+    if n < 2 or crossing and block.min() == block.max():
         return pd.DataFrame(columns=["node", "root", "links", "copies"])
     lengths = np.array([len(s) for s in sets])
     owners = np.repeat(np.arange(n), lengths)
@@ -193,7 +203,7 @@ def links(
     joint = lengths[:, None] + lengths[None, :] - common
     similar = (common > 0) & (denominator * common >= numerator * joint)
     np.fill_diagonal(similar, False)
-    if block.min() != block.max():
+    if crossing:
         similar &= block[:, None] != block[None, :]
     root = np.arange(n)
     left = np.arange(n)

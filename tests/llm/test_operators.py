@@ -152,6 +152,16 @@ def test_near_duplicates_in_small_blocks(spark):
     assert {(r.class_id, r.n_links, r.n_texts) for r in found} == {(0, 59, 59)}
 
 
+def test_near_duplicates_in_empty_blocks(spark):
+    """More blocks than texts: links inside a block are counted once, whatever blocks are empty."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(4)]
+    used = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for words_block in (900, 600, 300, 100):
+        found = forest.similar_documents(used, forest.ForestSpec(words_block=words_block))[1].collect()
+        assert {(r.class_id, r.n_links, r.n_texts) for r in found} == {(0, 3, 3)}, words_block
+
+
 def test_near_duplicates_edges(crowded, none):
     rows, outcome = forest.similar_documents(crowded.drop("keys"))
     assert outcome.count() == len(ROWS)
