@@ -210,6 +210,12 @@ def test_rules_equal_plain_patterns():
     assert personal.base_spans("a1" * 200_000 + "@" + "1" * 200_000) == []
 
 
+def test_phones_have_no_length_limit():
+    for mark in " .-(":
+        text = f"call +1{mark * 5000}5551234567 now"
+        assert personal.base_spans(text) == [(3, 5, 5017)] == naive_spans(text)
+
+
 def test_gradients_equal_differences():
     weights = {k: v.astype(float) for k, v in recurrent.start(recurrent.Shape(7, 3, 4, 3), 1).items()}
     rng = np.random.default_rng(0)
