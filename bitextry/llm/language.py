@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.llm.common import fresh_name, held, short_batches
+from bitextry.session import small
 from bitextry.worker import content_key
 
 UNDETERMINED = "und"
@@ -26,13 +27,12 @@ UNDETERMINED = "und"
 class LanguageSpec:
     """Bounds of the fitted sample, and how texts are compared.
 
-    ``max_languages`` languages with the most training rows are learned, each from ``samples`` different
-    texts of at most ``sample_chars`` characters; ``dictionary_bytes`` of words are kept. The words of a text are
+    Every language with training rows is learned, each from ``samples`` different texts of at most
+    ``sample_chars`` characters; ``dictionary_bytes`` of words are kept. The words of a text are
     compressed in pieces of ``piece_bytes``, all of them, so that its length does not drown the dictionaries'
     share. ``margin`` is the relative gain over the second language below which a prediction is rejected.
     """
 
-    max_languages: int = 64
     samples: int = 256
     sample_chars: int = 2048
     dictionary_bytes: int = 16 * 1024
@@ -77,28 +77,34 @@ def fit(docs: DataFrame, trained: Column, spec: LanguageSpec = LanguageSpec()) -
         "lang", "text", F.xxhash64("text").alias("h")
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
-    languages = [r.lang for r in sizes.limit(spec.max_languages).collect()]
+    languages = [r.lang for r in sizes.collect()]
     if not languages:
         return {}
     rank = Window.partitionBy("lang").orderBy("h")
     chosen = (
-        rows.filter(F.col("lang").isin(languages))
-        .select("lang", "h")
+        rows.select("lang", "h")
         .distinct()
         .withColumn("r", F.row_number().over(rank))
         .filter(F.col("r") <= spec.samples)
         .drop("r")
     )
-    # At most max_languages * samples rows of two short columns, then as many short texts.
+    # At most so many rows of two short columns, then as many short texts.
     picked = (
-        rows.join(F.broadcast(chosen), ["lang", "h"])
+        rows.join(small(chosen, len(languages) * spec.samples), ["lang", "h"])
         .groupBy("lang", "h")
         .agg(F.min(F.substring("text", 1, spec.sample_chars)).alias("text"))
     )
-    counts = {name: Counter() for name in languages}
-    for row in picked.toLocalIterator():
-        counts[row.lang].update(words(row.text))
-    return {name: dictionary(counts[name], spec.dictionary_bytes) for name in languages}
+
+    def learn(texts: pd.DataFrame) -> pd.DataFrame:
+        counts: Counter[bytes] = Counter()
+        for text in texts["text"]:
+            counts.update(words(text))
+        content = dictionary(counts, spec.dictionary_bytes)
+        return pd.DataFrame({"lang": [texts["lang"].iloc[0]], "content": [content]})
+
+    learned = picked.groupBy("lang").applyInPandas(learn, "lang string, content binary").collect()
+    contents = {row.lang: bytes(row.content) for row in learned}
+    return {name: contents[name] for name in languages}
 
 
 def dictionary(counts: Counter[bytes], size: int) -> bytes:
@@ -155,10 +161,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], spec: LanguageSpec
     """
     key = content_key(dictionaries, spec)
     short_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        classifier = held("language", key, lambda: Classifier(dictionaries, spec))
+        classifier = held("language", key, lambda: Classifier(shared.value, spec))
         for texts in batches:
             found = [classifier.predict(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])

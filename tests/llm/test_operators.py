@@ -84,6 +84,15 @@ def test_language_held_out_accuracy(spark):
     assert found.filter("score < 0 or score > 1").count() == 0
 
 
+def test_all_languages_are_learned(spark):
+    """Each of 80 labels has words of its own, and is found by them."""
+    rows = [(k, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + i)}word" for i in range(20)), f"l{k:02}") for k in range(80)]
+    used = spark.createDataFrame([r for r in rows for _ in range(1 + r[0] % 3)], "doc_id int, text string, lang string")
+    learned = language.fit(used, F.lit(True))
+    assert list(learned) == sorted((r[2] for r in rows), key=lambda x: (-(int(x[1:]) % 3), x))
+    assert all(r.lang_pred == r.lang for r in language.identify(used, learned).collect())
+
+
 def test_language_edges(docs, crowded, none):
     learned = language.fit(docs, F.lit(True))
     found = {r.text: r for r in language.identify(crowded, learned).collect()}
