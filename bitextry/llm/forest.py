@@ -1,8 +1,7 @@
-"""N-gram Jaccard self join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self join with MinHash banding and exact verification.
 
-Every tree of the forest sorts the documents by a sequence of MinHash values. Documents that share a prefix in some
-tree are candidates; the prefix is shortened, from the full sequence down, until pairs at the threshold
-meet with the target probability. Sketches connect the candidates within a trie node, and every pair of a
+Each of the ``trees`` is a band: documents that share a prefix of its MinHash values are candidates. The prefix has a
+fixed length, the longest at which pairs at the threshold meet with the target probability; no tries are built. Sketches connect the candidates within a trie node, and every pair of a
 connected group is then compared on its exact shingle sets.
 
 Nothing here makes a row per pair. Equal texts are one node with a count; trie nodes and groups return one
