@@ -1,7 +1,7 @@
-"""Exact top-k by inner product with two cover trees, traversed together.
+"""Exact top-k by inner product with two ball trees of several pivots a node.
 
-Data and queries are cut into blocks; a task indexes one block of each, and visits pairs of nodes, most promising
-first. A pair is skipped when even the best inner product that its centres and covering radii allow is below
+Data and queries are cut into blocks; a task indexes one block of each, and visits for each leaf of queries the
+nodes of the data, most promising first. A pair is skipped when even the best inner product that its centres and covering radii allow is below
 the worst k-th score among the queries of the query node. The blocks' answers are merged per query.
 """
 
