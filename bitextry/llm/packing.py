@@ -241,7 +241,10 @@ def pieces(docs: DataFrame, encoder: Callable[[], Encode], spec: PackingSpec, id
                     )
             yield pd.Series(rows)
 
-    cut_up = docs.select("doc_id", F.explode(split("text")).alias("p")).select("doc_id", "p.*")
+    # Tells rows with the same doc_id apart; frozen with the pieces.
+    number = [F.monotonically_increasing_id().alias("take_id")] if ids else []
+    cut_up = docs.select("doc_id", *number, split("text").alias("p"))
+    cut_up = cut_up.select(*cut_up.columns[:-1], F.explode("p").alias("p")).select(*cut_up.columns[:-1], "p.*")
     return frozen(cut_up.withColumn("_class", F.ceil(F.col("length") / spec.unit).cast("int")), part="_part")
 
 
@@ -267,7 +270,8 @@ def pack(
 
     A document's ids are those of its text and the end id, so a null or empty text is a piece of one id. Every id is
     in one piece; ``ids_crc32`` is over little-endian unsigned 32-bit ids. Repeated rows are documents
-    of their own. An empty table gives no rows.
+    of their own. An empty table gives no rows. With ``ids``, pieces carry their ids, and ``take_id``, a number of the
+    row of ``docs`` that they are cut from.
     """
     rows = pieces(without(docs.select("doc_id", "text"), "_row", "_part"), encoder, spec, ids)
     spark = docs.sparkSession
@@ -301,5 +305,5 @@ def pack(
         "sequence_id",
         "offset",
         "slot",
-        *(["ids"] if ids else []),
+        *(["ids", "take_id"] if ids else []),
     )

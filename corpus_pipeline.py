@@ -39,8 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, word_encoder)
+    """The pieces of all takes with their token ids, and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, word_encoder, ids=True)
 
 
 STAGES = [

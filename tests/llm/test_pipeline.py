@@ -1,5 +1,7 @@
 """The pipeline: each stage works on what its predecessor kept, and its decisions take effect."""
 
+import zlib
+
 import corpus_pipeline
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,6 +31,14 @@ def test_run_equals_stages(spark):
     assert packed.count() > 0 and packed.select("sequence_id", "offset").distinct().count() == packed.count()
 
 
+def test_sequences_can_be_built(spark):
+    docs = spark.createDataFrame([(1, "some words " * 1500), (1, "some words"), (1, "some words " * 1500)], "doc_id bigint, text string")
+    found = corpus_pipeline.packing_stage(spark, docs, SF_DIR).toPandas()
+    assert (found.ids.map(zlib.crc32) == found.ids_crc32).all() and not found.duplicated(["take_id", "start"]).any()
+    whole = found.groupby("take_id").agg({"length": "sum", "doc_tokens": "first"})
+    assert len(whole) == 3 and (whole.length == whole.doc_tokens).all()
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
