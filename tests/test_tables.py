@@ -267,7 +267,7 @@ def test_patience_against_a_loop(spark, greater, chunk_steps):
 
 def test_best_checkpoint_takes_the_first_on_ties(spark):
     log = spark.createDataFrame([("a", 3, 1.0), ("a", 2, 1.0), ("a", 1, 2.0), ("b", 1, None)], "run string, step int, eval_loss double")
-    assert [tuple(r) for r in checkpoints.best_checkpoint(log).collect()] == [("a", 2, 1.0)]
+    assert [tuple(r) for r in checkpoints.best_checkpoint(log).collect()] == [("a", 2, 1.0), ("b", None, None)]
     assert checkpoints.best_checkpoint(log, greater_is_better=True).first()["best_step"] == 1
 
 
