@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.llm.common import frozen, without
+from bitextry.session import checkpointed
 
 LOWEST = -(1 << 63)
 
@@ -47,80 +48,77 @@ def digit(key: Column, low: int, high: int, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(above, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
-def place(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The rows of one block with ``_pos``, their destination. The block's offsets come before its rows."""
+def place(batches: Iterator[pa.RecordBatch], tag: str, width: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one block with their destinations as positions. The block's offsets come before its rows."""
     held = list(batches)
     if not held:
         return
     table = pa.Table.from_batches(held)
-    found = table["_digit"].to_numpy()
-    heads = int((table["_pos"].to_numpy() < 0).sum())
+    found = table[f"{tag}digit"].to_numpy()
+    heads = int((table[f"{tag}pos"].to_numpy() < 0).sum())
     offsets = np.zeros(1 << width, np.int64)
-    offsets[found[:heads]] = table["_offset"].to_numpy()[:heads]
+    offsets[found[:heads]] = table[f"{tag}offset"].to_numpy()[:heads]
     rows, found = table.slice(heads), found[heads:]
     order = np.argsort(found, kind="stable")
     ordered = found[order]
     first = np.searchsorted(ordered, ordered)
     destination = np.empty(len(found), np.int64)
     destination[order] = offsets[ordered] + np.arange(len(found)) - first
-    rows = rows.drop_columns(["_block", "_digit", "_offset"])
-    at = rows.schema.get_field_index("_pos")
-    yield from rows.set_column(at, "_pos", pa.array(destination)).to_batches()
+    rows = rows.drop_columns([f"{tag}block", f"{tag}digit", f"{tag}offset"])
+    at = rows.schema.get_field_index(f"{tag}pos")
+    yield from rows.set_column(at, f"{tag}pos", pa.array(destination)).to_batches()
 
 
-def one_pass(rows: DataFrame, width: int, blocks: int) -> DataFrame:
-    """Rows (``_block``, ``_pos``, ``_digit`` and others) with new positions: a stable counting sort by digit."""
-    counts = rows.groupBy("_block", "_digit").agg(F.count(F.lit(1)).alias("_n"))
+def one_pass(rows: DataFrame, tag: str, width: int, blocks: int) -> DataFrame:
+    """Rows with block, position and digit, and others: new positions by a stable counting sort by digit."""
+    block, pos, found, offset = (f"{tag}{c}" for c in ("block", "pos", "digit", "offset"))
+    counts = rows.groupBy(block, found).agg(F.count(F.lit(1)).alias("n"))
     # One row per digit goes through a task here; the rows of a digit below are one per block.
-    below = Window.orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.groupBy("_digit").agg(F.sum("_n").alias("_all"))
-    bases = bases.select("_digit", F.coalesce(F.sum("_all").over(below), F.lit(0)).alias("_base"))
-    earlier = Window.partitionBy("_digit").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy(found).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.groupBy(found).agg(F.sum("n").alias("all"))
+    bases = bases.select(found, F.coalesce(F.sum("all").over(below), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy(found).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(F.broadcast(bases), "_digit")
-        .select("_block", F.lit(-1).cast("long").alias("_pos"), "_digit", (F.col("_base") + F.col("_before")).alias("_offset"))
+        counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .join(F.broadcast(bases), found)
+        .select(block, F.lit(-1).cast("long").alias(pos), found, (F.col("base") + F.col("before")).alias(offset))
     )
-    stacked = rows.withColumn("_offset", F.lit(0).cast("long")).unionByName(offsets, allowMissingColumns=True)
-    dealt = stacked.repartitionById(blocks, F.col("_block").cast("int")).sortWithinPartitions("_pos")
-    schema = rows.drop("_block", "_digit").schema
-    return dealt.mapInArrow(lambda batches: place(batches, width), schema)
+    stacked = rows.withColumn(offset, F.lit(0).cast("long")).unionByName(offsets, allowMissingColumns=True)
+    dealt = stacked.repartitionById(blocks, F.col(block).cast("int")).sortWithinPartitions(pos)
+    schema = rows.drop(block, found).schema
+    return dealt.mapInArrow(lambda batches: place(batches, tag, width), schema)
 
 
 def ranked(rows: DataFrame, keys: Sequence[Column], rank: str = "rank", spec: RadixSpec = RadixSpec()) -> DataFrame:
     """Add ``rank``, from 1 in ascending order of the integer ``keys``, the most significant key first.
 
-    A null in a key comes after all numbers. Rows with equal keys keep the order in which they are read.
-    A column named ``rank`` and inner columns of ``rows`` (``_k0``, ``_pos``, ...) are replaced. An empty table stays empty.
+    A null in a key comes after all numbers. Rows with equal keys keep the order in which they are read. All columns
+    of ``rows`` stay, but for one named ``rank``, which is replaced. An empty table stays empty.
     """
-    names = [f"_k{i}" for i in range(len(keys))]
-    rows = without(
-        rows.select("*", *(k.cast("long").alias(f"_radix_key_{i}") for i, k in enumerate(keys))),
-        rank, *names, *(f"_n{i}" for i in range(len(keys))), "_pos", "_block", "_digit", "_offset",
-    )
-    for i, name in enumerate(names):
-        held = F.col(f"_radix_key_{i}")
-        rows = rows.withColumn(name, F.coalesce(held, F.lit(0))).withColumn(f"_n{i}", held.isNull().cast("long"))
-        rows = rows.drop(f"_radix_key_{i}")
-    placed = frozen(rows, row="_pos", part="_block")
-    # A null key counts as two: whether it is null, then its number.
-    parts = [name for i in range(len(keys)) for name in (f"_n{i}", f"_k{i}")]
-    ends = [f(name).alias(f"{tag}{name}") for name in parts for f, tag in ((F.min, "low"), (F.max, "high"))]
-    found = placed.agg(F.count(F.lit(1)).alias("n"), F.max("_block").alias("last"), *ends).first()
+    tag = "_radix_"
+    while any(c.lower().startswith(tag) for c in rows.columns):
+        tag += "_"
+    # A key that may be null counts as two: whether it is null, then its number.
+    columns = [c for key in keys for c in (key.isNull().cast("long"), F.coalesce(key.cast("long"), F.lit(0)))]
+    names = [f"{tag}{i}" for i in range(len(columns))]
+    named = rows.select("*", *(c.alias(n) for c, n in zip(columns, names, strict=True)))
+    block, pos = f"{tag}block", f"{tag}pos"
+    placed = frozen(without(named, rank), row=pos, part=block)
+    ends = [f(name).alias(f"{word}{name}") for name in names for f, word in ((F.min, "low"), (F.max, "high"))]
+    found = placed.agg(F.count(F.lit(1)).alias("n"), F.max(block).alias("last"), *ends).first()
     n, blocks = found["n"], (found["last"] or 0) + 1
     wanted = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // spec.block_rows))
     size = max(1, -(-n // wanted))
     steps = [
         (name, found[f"low{name}"], found[f"high{name}"], shift, width)
-        for name in reversed(parts)
+        for name in reversed(names)
         if n
         for shift, width in digits(found[f"low{name}"], found[f"high{name}"], spec.bits)
     ]
     # Without a digit all keys are equal, and one pass gives positions without gaps.
-    for name, low, high, shift, width in steps or [(parts[0], 0, 0, 0, 1)]:
-        digit_here = digit(F.col(name), low, high, shift, width).alias("_digit")
-        passed = one_pass(placed.select("*", digit_here), width, blocks)
-        placed = frozen(passed, row="_row").drop("_row")
-        placed = placed.withColumn("_block", F.floor(F.col("_pos") / size).cast("int"))
+    for name, low, high, shift, width in steps or [(names[0], 0, 0, 0, 1)]:
+        digit_here = digit(F.col(name), low, high, shift, width).alias(f"{tag}digit")
+        passed = one_pass(placed.select("*", digit_here), tag, width, blocks)
+        placed = checkpointed(passed).withColumn(block, F.floor(F.col(pos) / size).cast("int"))
         blocks = -(-n // size) if n else 1
-    return placed.withColumn(rank, F.col("_pos") + 1).drop("_pos", "_block", *parts)
+    return placed.withColumn(rank, F.col(pos) + 1).drop(pos, block, *names)
