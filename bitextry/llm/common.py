@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,21 @@ def held(operator: str, key: str, build: Callable[[], T]) -> T:
     return once("corpus", f"{operator}-{key}", build, kept=1)
 
 
+def given_back(rows: Iterator[T]) -> Iterator[T]:
+    """``rows``, and then the memory that a task has freed goes back from its worker to the system.
+
+    Idle workers stay alive beside the next jobs, so what one keeps others lack.
+    """
+    try:
+        yield from rows
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

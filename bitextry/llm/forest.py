@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import by_group, frozen, held, short_batches, whole_groups
+from bitextry.llm.common import by_group, frozen, given_back, short_batches, whole_groups, without
 from bitextry.llm.components import components
 from bitextry.llm.shingles import WordNumbers, minhash, multipliers, shingle_set
 from bitextry.session import checkpointed
@@ -61,10 +61,10 @@ def sketched(docs: DataFrame, spec: ForestSpec) -> DataFrame:
     """Frozen ``docs`` with ``_row``, a 128-bit text hash ``_a, _b``, ``_words``, ``_sketch`` and one key per tree."""
     prefix = spec.prefix()
     short_batches(docs.sparkSession)
+    docs = without(docs, "_row", "_a", "_b", "_s", "_words", "_sketch", "_keys")
 
-    @F.pandas_udf("_words int, _sketch binary, _keys array<bigint>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        numbers = held("forest", "words", WordNumbers)
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        numbers = WordNumbers()
         factors = multipliers(spec.trees * spec.depth, spec.seed)
         for texts in batches:
             rows = []
@@ -81,6 +81,10 @@ def sketched(docs: DataFrame, spec: ForestSpec) -> DataFrame:
                 rows.append((len(found), values.tobytes(), keys))
             yield pd.DataFrame(rows, columns=["_words", "_sketch", "_keys"])
 
+    @F.pandas_udf("_words int, _sketch binary, _keys array<bigint>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from given_back(sketches(batches))
+
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumn("_a", F.xxhash64(text)).withColumn("_b", F.xxhash64(F.lit("b"), text))
     return frozen(marked.withColumn("_s", sketch(text)).select("*", "_s.*").drop("_s"))
@@ -151,7 +155,7 @@ def verified(texts: DataFrame, spec: ForestSpec) -> DataFrame:
     keys = ["group", "_i", "_j"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = held("forest", "words", WordNumbers)
+        numbers = WordNumbers()
         for frame, bounds in whole_groups(batches, keys):
             ids, copies, block, texts = (frame[c].to_numpy() for c in ("node", "copies", "_mine", "text"))
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
@@ -161,7 +165,7 @@ def verified(texts: DataFrame, spec: ForestSpec) -> DataFrame:
                 yield links(ids[at], copies[at], block[at], sets, crossing, spec.numerator, spec.denominator)
 
     placed = members.withColumnRenamed("root", "group").select(*keys, "_mine", "node", "copies", "text")
-    found = by_group(placed, keys).mapInPandas(compare, "node bigint, root bigint, links bigint, copies bigint")
+    found = by_group(placed, keys).mapInPandas(lambda batches: given_back(compare(batches)), "node bigint, root bigint, links bigint, copies bigint")
     return checkpointed(found)
 
 

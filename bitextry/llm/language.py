@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import fresh_name, held, short_batches
+from bitextry.llm.common import fresh_name, given_back, held, short_batches
 from bitextry.session import small
 from bitextry.worker import content_key
 
@@ -163,13 +163,16 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], spec: LanguageSpec
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def classes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classifier = held("language", key, lambda: Classifier(shared.value, spec))
         for texts in batches:
             found = [classifier.predict(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])
 
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from given_back(classes(batches))
+
     outcome = fresh_name(docs, "_language")
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     named = docs.withColumn(outcome, classify("text"))

@@ -16,7 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import without
+from bitextry.llm.common import fresh_name, frozen, without
+from bitextry.session import checkpointed
 
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -158,9 +159,17 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def training_rows(mixed: DataFrame) -> DataFrame:
-    """A row for each take, sorted by ``position`` in ranges; a take of some of the words has only those, from the first."""
-    rows = mixed.drop("position").withColumn("_take", F.explode("takes")).withColumn("position", F.col("_take.position"))
+def training_rows(docs: DataFrame, spec: Curriculum = Curriculum()) -> DataFrame:
+    """A row of ``docs`` (doc_id, text, source) for each take of the mix, sorted by ``position`` in ranges.
+
+    A take of some of the words has only those, from the first. The mix is planned without the texts, which then join
+    their takes by row number and move to the range of their position.
+    """
+    row = fresh_name(docs, "_mix_row")
+    kept = frozen(without(docs, *OUTPUTS, *INNER), row=row)
+    planned = mix(kept.select("doc_id", "text", "source", row), spec).drop("text")
+    takes = checkpointed(planned.select(row, "size", F.explode("takes").alias("_take")))
+    rows = kept.join(takes.hint("shuffle_hash"), row).withColumn("position", F.col("_take.position")).drop(row)
 
     @F.pandas_udf("string")
     def first_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -176,5 +185,8 @@ def training_rows(mixed: DataFrame) -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     part = F.when(F.col("_take.words") < F.col("size"), F.col("_take.words"))
-    cut = rows.withColumn("text", first_words("text", part)).drop("_take", "takes")
-    return in_order(cut)
+    cut = rows.withColumn("text", first_words("text", part)).drop("_take", "size")
+    # Demand is spread over all of training time, so ranges of equal length serve.
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.least(F.floor(F.col("position") * ranges), F.lit(ranges - 1)).cast("int")
+    return cut.repartitionById(ranges, at).sortWithinPartitions("position", "source", "doc_id")

@@ -8,19 +8,22 @@ its rank among the pieces of its class. The program depends on the histogram onl
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import frozen, held, short_batches, without
-from bitextry.worker import content_key
+from bitextry.llm.common import frozen, given_back, short_batches, without
+from bitextry.llm.pairmerge import PairMerges
+from bitextry.worker import content_key, once
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,7 @@ class PackingSpec:
     rounds: int = 6000
     end_id: int = 1
     cache: int = 250_000
+    chunk: int = 1 << 21
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -124,82 +128,141 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[
     return plan
 
 
-Encode = Callable[[list[str]], list[bytes]]
+class Encoder(Protocol):
+    """Ids, as little-endian unsigned 32-bit numbers, of pre-tokens (UTF-8) in lower case and of any text."""
 
+    def words(self, words: list[bytes]) -> list[bytes]: ...
 
-class WordCodes(dict):
-    """Encoded ids of the stretches between blanks, as bytes; encodes the unknown ones of some texts at once.
+    def text(self, text: str) -> bytes: ...
 
-    When it has ``limit`` words, they become the old generation, and those that are met again come back from there.
-    """
 
-    def __init__(self, encode: Encode, limit: int) -> None:
-        super().__init__()
-        self.encode, self.limit = encode, limit
-        self.old: dict[str, bytes] = {}
+# Classes of characters. Only those are plain whose lower case, composition and class are the same for every library:
+# no blanks beyond ASCII, no marks that combine, no letter whose lower case is two characters.
+ODD, BLANK, LETTER, DIGIT, OTHER = range(5)
+SPANS = ((0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x17F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC))
+HIGHEST = SPANS[-1][1] + 1
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[""] = b""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = [word for word in set(chain.from_iterable(parts)) if word not in self]
-        self.update((word, self.old[word]) for word in unknown if word in self.old)
-        new = [word for word in unknown if word not in self.old]
-        # "The," has the ids of "the" and of ",": fewer words are left to encode.
-        plain = {word: lowered(word) for word in new}
-        stems = {word: word[:-1] if ends_in_mark(word) else word for word in plain.values()}
-        wanted = list({w for word, stem in stems.items() for w in (stem, word[len(stem) :]) if w and w not in self})
-        self.update(zip(wanted, self.encode(wanted), strict=True))
-        for word, low in plain.items():
-            if word not in self:
-                stem = stems[low]
-                self[word] = self[stem] + self[low[len(stem) :]] if len(stem) < len(low) else self[stem]
-        return [b"".join(map(self.__getitem__, words)) for words in parts]
 
+def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, lower case and bytes in UTF-8 of each character up to the last plain one; what lies beyond is odd."""
+    kinds, lower = np.zeros(HIGHEST + 1, np.uint8), np.arange(HIGHEST + 1, dtype=np.uint32)
+    for c in (9, 10, 13, *(c for low, high in SPANS for c in range(low, high + 1))):
+        group = unicodedata.category(chr(c))[0]
+        kinds[c] = BLANK if chr(c).isspace() else LETTER if group == "L" else DIGIT if group == "N" else OTHER
+        lower[c] = ord(chr(c).lower())
+    width = 1 + (lower > 0x7F) + (lower > 0x7FF)
+    return kinds, lower, width
 
-def lowered(word: str) -> str:
-    """The word in lower case where that is plain: Latin letters only, no part of a special token."""
-    return word.lower() if "<" not in word and "\u0130" not in word and max(word) < "\u0250" else word
 
+KINDS, LOWER, WIDTH = character_tables()
 
-def ends_in_mark(word: str) -> bool:
-    """Whether the last character is a full stop or comma after a letter, and so a token of its own."""
-    return word[-1] in ".," and word[-2:-1].lower().isalpha()
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
-    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = (b for b in range(256) if b not in prints)
-    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
 
+def is_plain(text: str) -> bool:
+    """Whether all characters are plain, and no special token can stand in the text."""
+    return "<|" not in text and (text.isprintable() and text.isascii() or bool(KINDS[np.minimum(code_points(text), HIGHEST)].all()))
 
-def word_encoder(path: str) -> Encode:
-    """Encode by a ``tokenizers`` file that lower-cases, drops white space, and splits letters from all else.
 
-    A word of plain lower-case letters is a single pre-token, and goes to the file's merges at once. All other words
-    pass the whole file.
+def pre_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of plain texts in lower case, and where each text's begin: runs of letters, single digits, runs of all
+    else but blanks, and the endings 's 't 're 've 'm 'll 'd where an apostrophe begins a run.
     """
-    import os
+    points = code_points("\n".join([*texts, ""]))
+    kinds, points = KINDS[points], LOWER[points]
+    starts = kinds == DIGIT
+    starts[:1] = True
+    starts[1:] |= kinds[1:] != kinds[:-1]
+    for mark in np.flatnonzero((points[:-1] == ord("'")) & starts[:-1] & (kinds[1:] == LETTER)).tolist():
+        first, second = chr(points[mark + 1]), chr(points[mark + 2])
+        size = 2 if first in "stmd" else 3 if first + second in ("re", "ve", "ll") else 0
+        if size:
+            starts[mark + 1] = False
+            starts[mark + size] = True
+    inked = kinds != BLANK
+    starts &= inked
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    before = np.concatenate([[0], np.cumsum(starts)])
+    bounds = before[np.concatenate([[0], np.cumsum(lengths)])]
+    points, starts = points[inked], starts[inked]
+    ends = np.concatenate([[0], np.cumsum(WIDTH[points])])
+    offsets = ends[np.append(np.flatnonzero(starts), len(points))]
+    data = points.tobytes().decode("utf-32-le").encode()
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    return words, bounds
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    merges = tokenizer.model
-    letters = byte_letters()
+class WordCodes(dict):
+    """Encoded ids of pre-tokens; encodes the unknown ones of some texts at once.
 
-    def encode_one(word: str) -> bytes:
-        # Latin letters, which are composed already and have single lower-case forms.
-        if word.isalpha() and word.lower() == word and max(word) < "\u0250":
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(letters)
-            return array("I", [token.id for token in merges.tokenize(word)]).tobytes()
-        return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+    When it has ``limit`` of them, they become the old generation, and those that are met again come back from there.
+    """
 
-    return lambda words: list(map(encode_one, words))
+    def __init__(self, encoder: Encoder, limit: int) -> None:
+        super().__init__()
+        self.encoder, self.limit = encoder, limit
+        self.old: dict[bytes, bytes] = {}
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of these different pre-tokens."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        codes = list(map(self.get, words))
+        missing = [i for i, code in enumerate(codes) if code is None]
+        if missing:
+            met = [(words[i], self.old.get(words[i])) for i in missing]
+            new = [word for word, code in met if code is None]
+            self.update((word, code) for word, code in met if code is not None)
+            self.update(zip(new, self.encoder.words(new), strict=True))
+            for i in missing:
+                codes[i] = self[words[i]]
+        return codes
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts. Plain ones are split and looked up together, without a step of Python for each word."""
+        out = [b""] * len(texts)
+        chosen = []
+        for i, text in enumerate(texts):
+            if is_plain(text):
+                chosen.append(i)
+            else:
+                out[i] = self.encoder.text(text)
+        words, bounds = pre_tokens([texts[i] for i in chosen])
+        different = words.dictionary_encode()
+        codes = self.known(different.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum([0, *map(len, codes)]) // 4
+        lists = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(codes), np.uint32))
+        found = lists.take(different.indices)
+        places = (4 * found.offsets.to_numpy()[bounds]).tolist()
+        flat = memoryview(found.values.to_numpy()).cast("B")
+        for i, low, high in zip(chosen, places[:-1], places[1:], strict=True):
+            out[i] = bytes(flat[low:high])
+        return out
+
+
+class WordEncoder:
+    """A ``tokenizers`` file that lower-cases, drops white space, and splits letters, digits and all else apart."""
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = PairMerges(self.tokenizer.to_str())
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens in lower case: the file's merges alone."""
+        found = self.merges.encode(words)
+        return [self.text(word.decode()) if ids is None else ids for word, ids in zip(words, found, strict=True)]
+
+    def text(self, text: str) -> bytes:
+        """The ids of any text by the whole file."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def cut(codes: bytes, length: int) -> list[tuple[int, int, int]]:
@@ -212,34 +275,48 @@ def cut(codes: bytes, length: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def pieces(docs: DataFrame, encoder: Callable[[], Encode], spec: PackingSpec, ids: bool = False) -> DataFrame:
+def in_chunks(texts: pd.Series, size: int) -> Iterator[list[str]]:
+    """The texts in order, null as empty, in lists that end when they have ``size`` characters."""
+    part, length = [], 0
+    for text in texts:
+        part.append(text or "")
+        length += len(part[-1])
+        if length >= size:
+            yield part
+            part, length = [], 0
+    if part:
+        yield part
+
+
+def pieces(docs: DataFrame, encoder: Callable[[], Encoder], spec: PackingSpec, ids: bool = False) -> DataFrame:
     """Frozen pieces: doc_id, start, length, ids_crc32, doc_tokens, ``_class``, ``_row``, ``_part``, and ``ids`` if asked for."""
     key = content_key(encoder, spec)
     short_batches(docs.sparkSession)
     end = int(spec.end_id).to_bytes(4, "little")
     fields = "start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint" + (",ids:binary" if ids else "")
 
+    def rows(code: bytes) -> list[dict]:
+        whole = code + end
+        return [
+            {
+                "start": a,
+                "length": n,
+                "ids_crc32": crc,
+                "doc_tokens": len(whole) // 4,
+                **({"ids": whole[4 * a : 4 * (a + n)]} if ids else {}),
+            }
+            for a, n, crc in cut(whole, spec.length)
+        ]
+
+    def split_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # The file is read once per worker; the cache of words goes with the task.
+        codes = WordCodes(once("pieces", key, encoder, kept=1), spec.cache)
+        for texts in batches:
+            yield pd.Series([rows(code) for part in in_chunks(texts, spec.chunk) for code in codes.ids(part)])
+
     @F.pandas_udf(f"array<struct<{fields}>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codes = held("packing", key, lambda: WordCodes(encoder(), spec.cache))
-        for texts in batches:
-            rows = []
-            for low in range(0, len(texts), 256):
-                for code in codes.ids([t or "" for t in texts[low : low + 256]]):
-                    whole = code + end
-                    rows.append(
-                        [
-                            {
-                                "start": a,
-                                "length": n,
-                                "ids_crc32": crc,
-                                "doc_tokens": len(whole) // 4,
-                                **({"ids": whole[4 * a : 4 * (a + n)]} if ids else {}),
-                            }
-                            for a, n, crc in cut(whole, spec.length)
-                        ]
-                    )
-            yield pd.Series(rows)
+        yield from given_back(split_all(batches))
 
     # Tells rows with the same doc_id apart; frozen with the pieces.
     number = [F.monotonically_increasing_id().alias("take_id")] if ids else []
@@ -264,7 +341,7 @@ def places(plan: list[tuple[int, np.ndarray]], sizes: np.ndarray) -> list[tuple[
 
 
 def pack(
-    docs: DataFrame, encoder: Callable[[], Encode], spec: PackingSpec = PackingSpec(), ids: bool = False
+    docs: DataFrame, encoder: Callable[[], Encoder], spec: PackingSpec = PackingSpec(), ids: bool = False
 ) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with ``sequence_id`` from 0, ``slot``, and ``offset`` in the sequence, gapless from 0.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitextry.llm import recurrent
-from bitextry.llm.common import fresh_name, held, short_batches
+from bitextry.llm.common import fresh_name, given_back, held, short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end in code points
@@ -316,8 +316,7 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray], spec: PersonalSpec = P
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # some ten thousand numbers
 
-    @F.pandas_udf(SPANS)
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def searched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = held("personal", key, lambda: shared.value)
         for texts in batches:
             rows = all_spans(own, [t or "" for t in texts], spec)
@@ -333,6 +332,10 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray], spec: PersonalSpec = P
                 ]
             )
 
+    @F.pandas_udf(SPANS)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from given_back(searched(batches))
+
     name = fresh_name(docs, "_spans")
     found = docs.withColumn(name, search("text"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "spans"]

@@ -79,10 +79,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "position", "takes")
 
 
-def word_encoder() -> packing.Encode:
+def word_encoder() -> packing.WordEncoder:
     import public_tokenizers
 
-    return packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query

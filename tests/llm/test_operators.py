@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,9 +323,9 @@ def test_positions_invert_demand(spark):
 
 def test_training_rows_take_whole_and_part(docs, none):
     mixed = mixing.mix(docs)
-    rows = mixing.training_rows(mixed).toPandas()
+    rows = mixing.training_rows(docs).toPandas()
     assert rows.text.map(lambda t: len(t.split())).sum() == mixed.agg(F.sum("taken")).first()[0]
-    assert mixing.training_rows(mixing.mix(none)).count() == 0
+    assert mixing.training_rows(none).count() == 0
 
 
 # Packing
@@ -355,7 +356,7 @@ def test_packing_round_trip(spark, docs, table):
     from tokenizers import Tokenizer
 
     used = docs if table == "hand" else sf(spark, "documents")
-    tokenizer = Tokenizer.from_file(f"{suite.TOKENIZERS}/word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     found = packing.pack(used, suite.word_encoder, ids=True).toPandas()
     expected = collections.Counter(
         np.asarray([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r in used.collect()
@@ -378,6 +379,24 @@ def test_packing_round_trip(spark, docs, table):
     assert sorted(set(found.sequence_id)) == list(range(found.sequence_id.max() + 1))
 
 
+def test_word_codes_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(11)
+    plain = [*"aZéß9 \n\t\r.,'-_<>²ªµ½×÷…“”—€ŉſ", "'s", "'re", "'LL", "''ve", "don't", " word", "Wörter", "x" * 40]
+    odd = [*"|İǅΣ\u0301\u00a0\u2028\x0b\x1c漢🙂", "<|endoftext|>"]
+    texts = ["".join(rng.choice(plain, rng.integers(0, 60))) for _ in range(4000)]
+    texts += ["".join(rng.choice(plain + odd, rng.integers(0, 30))) for _ in range(4000)]
+    assert sum(map(packing.is_plain, texts)) > 4000
+    codes = packing.WordCodes(suite.word_encoder(), 300)
+    for low in range(0, len(texts), 500):
+        part = texts[low : low + 500]
+        for text, found in zip(part, codes.ids(part), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert codes.ids([]) == [] and codes.ids(["", " "]) == [b"", b""]
+
+
 def test_packing_nothing(none):
     assert packing.pack(none, suite.word_encoder).count() == 0
 
@@ -388,7 +407,7 @@ def test_packing_nothing(none):
 def test_token_counts_equal_the_library(spark, crowded, none):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=f"{suite.TOKENIZERS}/piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for used in (crowded, sf(spark, "documents")):
         for row in tokencount.count_tokens(used, suite.piece_measure).collect():
             assert row.n_tokens == len(model.encode(row.text or ""))
