@@ -34,7 +34,7 @@ def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document for each time that the mix takes it; one that is taken in part has its first words only."""
-    rows = mixing.training_rows(mixing.mix(docs))
+    rows = mixing.training_rows(docs)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
