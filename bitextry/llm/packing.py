@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import frozen, given_back, short_batches, without
+from bitextry.llm.common import frozen, given_back, held, short_batches, without
 from bitextry.llm.pairmerge import PairMerges
-from bitextry.worker import content_key, once
+from bitextry.worker import content_key
 
 
 @dataclass(frozen=True)
@@ -150,13 +150,31 @@ def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         group = unicodedata.category(chr(c))[0]
         kinds[c] = BLANK if chr(c).isspace() else LETTER if group == "L" else DIGIT if group == "N" else OTHER
         lower[c] = ord(chr(c).lower())
-    width = 1 + (lower > 0x7F) + (lower > 0x7FF)
+    width = (1 + (lower > 0x7F) + (lower > 0x7FF)).astype(np.uint8)
     return kinds, lower, width
 
 
 KINDS, LOWER, WIDTH = character_tables()
 
 
+# Characters that are split at once; a longer text is taken in parts, which end before blanks.
+LONG = 1 << 22
+
+
+def parted(text: str, size: int) -> Iterator[str]:
+    """The text in parts of at most ``size`` characters that begin with a blank, where it has one."""
+    low = 0
+    while len(text) - low > size:
+        high = text.rfind(" ", low + 1, low + size)
+        if high < 0:
+            high = text.find(" ", low + size)
+        if high < 0:
+            break
+        yield text[low:high]
+        low = high
+    yield text[low:]
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -184,10 +202,10 @@ def pre_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     inked = kinds != BLANK
     starts &= inked
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    before = np.concatenate([[0], np.cumsum(starts)])
+    before = np.concatenate([[0], np.cumsum(starts, dtype=np.int32)])
     bounds = before[np.concatenate([[0], np.cumsum(lengths)])]
     points, starts = points[inked], starts[inked]
-    ends = np.concatenate([[0], np.cumsum(WIDTH[points])])
+    ends = np.concatenate([[0], np.cumsum(WIDTH[points], dtype=np.int32)])
     offsets = ends[np.append(np.flatnonzero(starts), len(points))]
     data = points.tobytes().decode("utf-32-le").encode()
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
@@ -226,10 +244,12 @@ class WordCodes(dict):
         out = [b""] * len(texts)
         chosen = []
         for i, text in enumerate(texts):
-            if is_plain(text):
-                chosen.append(i)
-            else:
+            if not is_plain(text):
                 out[i] = self.encoder.text(text)
+            elif len(text) > LONG and " " in text[1:]:
+                out[i] = b"".join(self.ids([part])[0] for part in parted(text, LONG))
+            else:
+                chosen.append(i)
         words, bounds = pre_tokens([texts[i] for i in chosen])
         different = words.dictionary_encode()
         codes = self.known(different.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -309,8 +329,7 @@ def pieces(docs: DataFrame, encoder: Callable[[], Encoder], spec: PackingSpec, i
         ]
 
     def split_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        # The file is read once per worker; the cache of words goes with the task.
-        codes = WordCodes(once("pieces", key, encoder, kept=1), spec.cache)
+        codes = held("packing", key, lambda: WordCodes(encoder(), spec.cache))
         for texts in batches:
             yield pd.Series([rows(code) for part in in_chunks(texts, spec.chunk) for code in codes.ids(part)])
 

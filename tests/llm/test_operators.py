@@ -379,10 +379,12 @@ def test_packing_round_trip(spark, docs, table):
     assert sorted(set(found.sequence_id)) == list(range(found.sequence_id.max() + 1))
 
 
-def test_word_codes_equal_the_library():
+@pytest.mark.parametrize("long", [packing.LONG, 9])
+def test_word_codes_equal_the_library(monkeypatch, long):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "LONG", long)
     rng = np.random.default_rng(11)
     plain = [*"aZéß9 \n\t\r.,'-_<>²ªµ½×÷…“”—€ŉſ", "'s", "'re", "'LL", "''ve", "don't", " word", "Wörter", "x" * 40]
     odd = [*"|İǅΣ\u0301\u00a0\u2028\x0b\x1c漢🙂", "<|endoftext|>"]
