@@ -342,25 +342,51 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray], spec: PersonalSpec = P
     return found.select(*kept, F.col(name).alias("spans"))
 
 
-def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans`` cut out of ``text``, each replaced by its kind in brackets.
+def blanked(content: str, found: list[tuple[int, int, str]]) -> str:
+    """The text with each (start, end, kind) replaced by its kind in brackets.
 
     Of spans that overlap, the one that starts first is replaced, and what remains of the others with it.
     """
+    parts, done = [], 0
+    for start, end, kind in sorted(found):
+        if start >= done:
+            parts += [content[done:start], f"[{kind.upper()}]"]
+        done = max(done, end)
+    return "".join([*parts, content[done:]])
+
+
+def masked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``spans`` cut out of ``text``, each replaced by its kind in brackets; see :func:`blanked`."""
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for content, found in zip(texts, spans, strict=True):
-            if content is None or found is None or not len(found):
-                out.append(content)
-                continue
-            parts, done = [], 0
-            for start, end, kind in sorted((s["start"], s["end"], s["kind"]) for s in found):
-                if start >= done:
-                    parts += [content[done:start], f"[{kind.upper()}]"]
-                done = max(done, end)
-            out.append("".join([*parts, content[done:]]))
+            whole = content is None or found is None or not len(found)
+            out.append(content if whole else blanked(content, [(s["start"], s["end"], s["kind"]) for s in found]))
         return pd.Series(out, dtype=object)
 
     return docs.withColumn(text, mask(text, "spans"))
+
+
+def redacted(docs: DataFrame, weights: dict[str, np.ndarray], spec: PersonalSpec = PersonalSpec()) -> DataFrame:
+    """``docs`` with what :func:`find` finds in ``text`` masked, in one step, so that a task has one worker. Null stays null."""
+    key = uuid.uuid4().hex
+    short_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = held("personal", key, lambda: shared.value)
+        for texts in batches:
+            rows = all_spans(own, [t or "" for t in texts], spec)
+            out = [
+                text if text is None else blanked(text, [(a, b, KINDS[kind]) for kind, a, b in [*base, *added]])
+                for text, (base, added) in zip(texts, rows, strict=True)
+            ]
+            yield pd.Series(out, dtype=object)
+
+    @F.pandas_udf("string")
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from given_back(cleaned(batches))
+
+    return docs.withColumn("text", redact("text"))

@@ -379,6 +379,14 @@ def test_packing_round_trip(spark, docs, table):
     assert sorted(set(found.sequence_id)) == list(range(found.sequence_id.max() + 1))
 
 
+def test_redacted_equals_find_and_masked(docs):
+    weights = personal.fit(docs)
+    two = personal.masked(personal.find(docs, weights)).select("doc_id", "text").collect()
+    one = personal.redacted(docs, weights).select("doc_id", "text").collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
+    assert any("[EMAIL]" in (r.text or "") for r in one)
+
+
 @pytest.mark.parametrize("long", [packing.LONG, 9])
 def test_word_codes_equal_the_library(monkeypatch, long):
     from tokenizers import Tokenizer
