@@ -28,7 +28,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind of data in brackets in the place of personal data."""
-    masked = personal.masked(personal.find(docs, personal.fit(docs)))
+    masked = personal.redacted(docs, personal.fit(docs))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
