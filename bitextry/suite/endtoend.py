@@ -14,6 +14,7 @@ from bitextry.plans.views import with_views
 from bitextry.session import scratch_path
 from bitextry.sources import text
 from bitextry.sources.reports import tall
+from bitextry.streaming.early_stop import run_outcomes, watch_runs
 from bitextry.streaming.step_metrics import step_scores, watch_steps
 from bitextry.suite import sql
 from bitextry.suite.files import numbered_pairs, written, written_steps
@@ -259,3 +260,23 @@ def stream_step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = scratch_path(spark, "state")
     watch_steps(base, refs, STEP_METRICS, state, scratch_path(spark, "progress")).awaitTermination()
     return rounded(step_scores(spark, state, STEP_METRICS))
+
+
+@query(
+    with_views(
+        f"""select run, min_by(step, (eval_loss, step))::bigint best_step, min(eval_loss) best_value,
+                   coalesce(min(case when counter >= {PATIENCE} then step end), -1)::bigint stop_step,
+                   count(*) evaluations, max_by(counter, step) counter
+            from counted group by run""",
+        "metric_log",
+        counted=_counted_sql("metric_log", "run", "eval_loss"),
+    )
+)
+def stream_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric log as a stream whose micro-batches mix early and late steps; the batch answers are the checkpoint queries."""
+    log, state = scratch_path(spark, "log"), scratch_path(spark, "runs")
+    views.metric_log(spark, sf_dir).repartition(4, F.xxhash64("run", "step")).write.parquet(log)
+    schema = spark.read.parquet(log).schema
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(log)
+    watch_runs(arriving, state, scratch_path(spark, "progress"), threshold=THRESHOLD, patience=PATIENCE).awaitTermination()
+    return run_outcomes(spark, state).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))
