@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bitextry.operators.numbering import with_ordinal
 from bitextry.session import checkpointed
+from bitextry.worker import once
 
 # Ids of the special tokens, then the first id of an ordinary one.
 PAD_ID, END_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2, 3
@@ -135,6 +137,45 @@ class Vocabulary:
 
     frame: DataFrame
     tokens: Broadcast | None
+    key: str = ""
+
+
+class TokenIndex:
+    """Places of tokens by hash, 16 bytes each. Built once per worker, so that a batch pays for its own tokens only."""
+
+    def __init__(self, tokens: pa.Array) -> None:
+        self.tokens = tokens
+        hashes = self._hashes(tokens)
+        self.places = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.places]
+        # Different tokens with one hash are looked up by name.
+        twins = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+        shared = self.places[np.union1d(twins, twins + 1)] if len(twins) else twins
+        self.named = {tokens[i].as_py(): i for i in shared.tolist()}
+
+    def _hashes(self, tokens: pa.Array) -> np.ndarray:
+        return np.fromiter(map(hash, tokens.to_numpy(zero_copy_only=False)), np.int64, len(tokens))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among the tokens, -1 for an unknown one."""
+        if not len(self.tokens) or not len(words):
+            return np.full(len(words), -1)
+        hashes = self._hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.where(self.hashes[at] == hashes, self.places[at], -1)
+        same = pc.equal(self.tokens.take(pa.array(np.maximum(found, 0))), words)
+        found[~same.to_numpy(zero_copy_only=False)] = -1
+        if self.named:
+            for i, word in enumerate(words.to_pylist()):
+                found[i] = self.named.get(word, found[i])
+        return found
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The id of each of many words, nulls and repeats among them."""
+        different = words.dictionary_encode()
+        places = self.find(different.dictionary)
+        ids = np.append(np.where(places < 0, UNKNOWN_ID, places + FIRST_ID), UNKNOWN_ID).astype(np.int32)
+        return pa.array(ids).take(pc.fill_null(different.indices, len(ids) - 1))
 
 
 def prepare(vocabulary: DataFrame | Vocabulary, limit: int = BROADCAST_BYTES) -> Vocabulary:
@@ -154,7 +195,7 @@ def prepare(vocabulary: DataFrame | Vocabulary, limit: int = BROADCAST_BYTES) ->
     if not (ids == np.arange(FIRST_ID, FIRST_ID + len(ids))).all():
         return Vocabulary(frame, None)
     tokens = table.column("token").combine_chunks().cast(pa.string())
-    return Vocabulary(frame, vocabulary.sparkSession.sparkContext.broadcast(tokens))
+    return Vocabulary(frame, vocabulary.sparkSession.sparkContext.broadcast(tokens), uuid.uuid4().hex)
 
 
 def encode(
@@ -168,13 +209,12 @@ def encode(
     vocabulary = prepare(vocabulary)
     if vocabulary.tokens is None:
         return _encode_by_join(df, tokens, vocabulary.frame, keys, ids)
-    known = vocabulary.tokens
+    known, key = vocabulary.tokens, vocabulary.key
 
     @F.arrow_udf("array<int>")
     def look_up(rows: pa.Array) -> pa.Array:
-        at = pc.index_in(rows.flatten().cast(pa.string()), value_set=known.value)
-        found = pc.fill_null(pc.add(at, pa.scalar(FIRST_ID, pa.int32())), UNKNOWN_ID)
-        return _nested(rows, found.cast(pa.int32()))
+        index = once("vocabulary", key, lambda: TokenIndex(known.value))
+        return _nested(rows, index.ids(rows.flatten().cast(pa.string())))
 
     return df.withColumn(ids, look_up(tokens)).drop(*({tokens} - {ids}))
 
