@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextry.llm.common import fresh_name, frozen, without
+from bitextry.llm.common import fresh_name, without
 from bitextry.session import checkpointed
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -163,13 +163,20 @@ def training_rows(docs: DataFrame, spec: Curriculum = Curriculum()) -> DataFrame
     """A row of ``docs`` (doc_id, text, source) for each take of the mix, sorted by ``position`` in ranges.
 
     A take of some of the words has only those, from the first. The mix is planned without the texts, which then join
-    their takes by row number and move to the range of their position.
+    their takes and move to the range of their position. Rows are told apart by 128 bits of hash of all their
+    columns; equal rows have the same text, so it need not be known which of them a take is of.
     """
-    row = fresh_name(docs, "_mix_row")
-    kept = frozen(without(docs, *OUTPUTS, *INNER), row=row)
-    planned = mix(kept.select("doc_id", "text", "source", row), spec).drop("text")
-    takes = checkpointed(planned.select(row, "size", F.explode("takes").alias("_take")))
-    rows = kept.join(takes.hint("shuffle_hash"), row).withColumn("position", F.col("_take.position")).drop(row)
+    docs = without(docs, *OUTPUTS, *INNER)
+    keys = [fresh_name(docs, "_mix_a"), fresh_name(docs, "_mix_b")]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # A hash skips nulls, so it is told where they are.
+    parts = [*columns, *(c.isNull() for c in columns)]
+    hashes = [F.xxhash64(F.lit(k), *parts).alias(name) for k, name in enumerate(keys)]
+    kept = docs.select("*", *hashes)
+    planned = mix(kept.select("doc_id", "text", "source", *keys), spec).drop("text")
+    takes = checkpointed(planned.select(*keys, "size", F.explode("takes").alias("_take")))
+    once = kept.dropDuplicates(keys)
+    rows = once.join(takes.hint("shuffle_hash"), keys).withColumn("position", F.col("_take.position")).drop(*keys)
 
     @F.pandas_udf("string")
     def first_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

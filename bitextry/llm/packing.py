@@ -382,7 +382,9 @@ def pack(
     earlier = Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = in_part.select("_class", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_shift"))
     here = Window.partitionBy("_class", "_part").orderBy("_row")
-    ranked = rows.join(shifts, ["_class", "_part"]).withColumn(
+    # Places are found without the ids, which then move once.
+    light = rows.drop("ids")
+    ranked = light.join(shifts, ["_class", "_part"]).withColumn(
         "_rank", F.col("_shift") + F.row_number().over(here) - 1
     )
     # The runs are as many as patterns have classes, whatever the number of pieces.
@@ -392,14 +394,9 @@ def pack(
         "slot", (F.col("slot0") + at % F.col("copies")).cast("int")
     )
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return sequenced.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(
-        "doc_id",
-        "start",
-        "length",
-        "ids_crc32",
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-        "slot",
-        *(["ids", "take_id"] if ids else []),
-    )
+    placed = sequenced.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "slot"]
+    if not ids:
+        return placed.select(*columns)
+    moved = placed.select("_row", "sequence_id", "offset", "slot").hint("shuffle_hash")
+    return rows.join(moved, "_row").select(*columns, "ids", "take_id")
