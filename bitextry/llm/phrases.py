@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.llm.common import short_batches
-from bitextry.llm.hattrie import MOST_WORDS, WORD_BITS, HatTrie, packed, unpacked
+from bitextry.llm.hattrie import MOST_WORDS, HatTrie, packed, unpacked
 from bitextry.session import checkpointed
 
 NO_LANGUAGE = "und"
