@@ -1,14 +1,19 @@
-"""Exact top-k by inner product with two ball trees of several pivots a node.
+"""Exact top-k by inner product with two cover trees, which are searched together.
 
-Data and queries are cut into blocks; a task indexes one block of each, and visits for each leaf of queries the
-nodes of the data, most promising first. A pair is skipped when even the best inner product that its centres and covering radii allow is below
-the worst k-th score among the queries of the query node. The blocks' answers are merged per query.
+The trees keep the invariants of simplified cover trees (Izbicki and Shelton 2015): a node of level ``i`` covers its
+rows within ``base ** i``, and its children are more than ``base ** (i - 1)`` apart. A pair of nodes is skipped, inner
+nodes of queries included, when even the best inner product that centres and covering radii allow is below the worst
+k-th score among the queries below the query node.
+
+Large tables are cut by the top of a cover tree over a bounded sample: every row goes to its nearest cell, and a query
+goes only to cells that can still hold one of its k best. Cells beyond a block are cut into blocks.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,56 +23,107 @@ from pyspark.sql import functions as F
 from bitextry.session import checkpointed
 
 EXACT = 2.0**53
+LEAST = np.iinfo(np.int64).min
 
 
 @dataclass(frozen=True)
 class SearchSpec:
-    """Neighbours per query, vectors in a data and a query block, and children and vectors of a tree node."""
+    """Neighbours per query, vectors in a data and a query block, vectors of a leaf, and the ratio of tree levels.
+
+    ``cells`` bounds the cells that a table is cut into, ``sample`` the rows that their centres are chosen from; both
+    change the work only, never the result. ``batch`` vectors are compared with a leaf of queries at once.
+    """
 
     k: int = 5
-    data_block: int = 16_384
+    data_block: int = 8_192
     query_block: int = 2_048
-    fanout: int = 6
-    leaf: int = 512
+    leaf: int = 16
+    base: float = 1.3
+    cells: int = 1024
+    sample: int = 8192
+    batch: int = 512
+
 
+def whole(vectors: np.ndarray) -> bool:
+    """Whether products and squared distances of the vectors are exact as doubles."""
+    reach = 4 * vectors.shape[1] * np.abs(vectors).max(initial=0.0) ** 2
+    return bool(reach < EXACT and (vectors == np.rint(vectors)).all())
 
-@dataclass
-class Node:
-    """A centre, the covering radius of all vectors below it, and its children or its rows."""
 
-    center: np.ndarray
-    radius: float
-    norm: float
-    rows: np.ndarray
-    children: list["Node"] = field(default_factory=list)
+def distances(vectors: np.ndarray, center: np.ndarray, exact: bool) -> np.ndarray:
+    """Euclidean distances; by one matrix product where that is ``exact``."""
+    if not exact:
+        return np.sqrt(((vectors - center) ** 2).sum(axis=1))
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors) + center @ center - 2 * (vectors @ center))
 
 
-def grow(vectors: np.ndarray, rows: np.ndarray, center: np.ndarray, spec: SearchSpec) -> Node:
-    """The tree over ``rows``: a node's vectors go to the nearest of its centre, the farthest vector, and some others.
+class CoverTree:
+    """Nodes as arrays: ``center`` (a row), ``radius``, ``norm``, ``level``, ``children``, and rows ``order[low:high]``.
 
-    A few vectors that lie far out would make a tree as deep as they are many. Where the centres leave nearly all
-    vectors together, the node is cut into leaves instead.
+    Node 0 is the root, and a node's first child has its centre. A node of up to ``leaf`` rows, or of equal ones, is a
+    leaf. Levels at which a node would have itself as its only child are left out, so the depth is bounded by the ratio
+    of the largest and the smallest distance.
     """
-    apart = np.sqrt(((vectors[rows] - center) ** 2).sum(axis=1))
-    node = Node(center, float(apart.max(initial=0.0)), float(np.sqrt((center**2).sum())), rows)
-    if len(rows) <= spec.leaf or node.radius == 0 or not np.isfinite(node.radius):
-        return node
-    others = rows[np.linspace(0, len(rows) - 1, spec.fanout - 1).astype(np.int64)]
-    centers = [center, vectors[rows[int(apart.argmax())]], *vectors[others[1:]]]
-    nearest, owner = apart, np.zeros(len(rows), np.int64)
-    for k, other in enumerate(centers[1:], 1):
-        here = np.sqrt(((vectors[rows] - other) ** 2).sum(axis=1))
-        closer = here < nearest
-        nearest = np.where(closer, here, nearest)
-        owner[closer] = k
-    parts = [rows[owner == k] for k in range(len(centers))]
-    if max(map(len, parts)) <= 0.9 * len(rows):
-        node.children = [grow(vectors, p, c, spec) for p, c in zip(parts, centers, strict=True) if len(p)]
-    else:
-        order = rows[np.argsort(apart, kind="stable")]
-        cuts = [order[low : low + spec.leaf] for low in range(0, len(order), spec.leaf)]
-        node.children = [grow(vectors, cut, vectors[cut].mean(axis=0), spec) for cut in cuts]
-    return node
+
+    def __init__(self, vectors: np.ndarray, spec: SearchSpec) -> None:
+        self.vectors, self.order, self.exact = vectors, np.arange(len(vectors)), whole(vectors)
+        self.center: list[int] = []
+        self.radius: list[float] = []
+        self.level: list[int] = []
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.children: list[np.ndarray] = []
+        apart = distances(vectors, vectors[0], self.exact)
+        waiting = [(self.add(0, apart, 0, len(vectors), spec), apart)]
+        while waiting:
+            node, apart = waiting.pop()
+            if self.high[node] - self.low[node] <= spec.leaf or self.radius[node] == 0:
+                continue
+            made = self.split(node, apart, spec)
+            self.children[node] = np.array([child for child, _ in made])
+            waiting.extend(made)
+        self.center, self.radius = np.array(self.center), np.array(self.radius)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", vectors[self.center], vectors[self.center]))
+        self.inner = np.array([len(c) > 0 for c in self.children])
+
+    def add(self, center: int, apart: np.ndarray, low: int, high: int, spec: SearchSpec) -> int:
+        radius = float(apart.max(initial=0.0))
+        self.center.append(center)
+        self.radius.append(radius)
+        self.level.append(math.ceil(math.log(radius, spec.base)) if radius else 0)
+        self.low.append(low)
+        self.high.append(high)
+        self.children.append(np.array([], np.int64))
+        return len(self.center) - 1
+
+    def split(self, node: int, apart: np.ndarray, spec: SearchSpec) -> list[tuple[int, np.ndarray]]:
+        """The children: a net of the node's rows, each row with the first centre that covers it on the next level."""
+        low, high = self.low[node], self.high[node]
+        left, held = self.order[low:high].copy(), spec.base ** (self.level[node] - 1)
+        # Rounding must not leave all rows with the node's own centre.
+        held = min(held, np.nextafter(self.radius[node], 0))
+        made, center, at = [], self.center[node], low
+        while len(left):
+            near = apart <= held
+            mine = left[near]
+            self.order[at : at + len(mine)] = mine
+            made.append((self.add(center, apart[near], at, at + len(mine), spec), apart[near]))
+            at += len(mine)
+            left = left[~near]
+            if len(left):
+                center = left[0]
+                apart = distances(self.vectors[left], self.vectors[center], self.exact)
+        return made
+
+    def rows(self, node: int) -> np.ndarray:
+        return self.order[self.low[node] : self.high[node]]
+
+
+def best_products(dots: np.ndarray, norm: float, radius: float, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """No inner product of two vectors within the radii of the centres is larger; with room for rounding."""
+    top = dots + norm * radii + radius * norms + radius * radii
+    # Scores end at the least 64-bit number, so a bound below it must not tell them apart.
+    return np.maximum(top + 1e-9 * (norm + radius) * (norms + radii) + 1e-6, LEAST)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,63 +137,163 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The k best data vectors of each query, found over pairs of nodes."""
+    """The k best data vectors of each query, found over pairs of nodes.
+
+    ``floor`` is a score per query that its k best reach at the least, or minus infinity.
+    """
 
-    def __init__(self, queries, query_ids, data, data_ids, spec: SearchSpec) -> None:
+    def __init__(self, queries, query_ids, data, data_ids, spec: SearchSpec, floor=None) -> None:
         self.queries, self.query_ids, self.data, self.data_ids, self.spec = queries, query_ids, data, data_ids, spec
         self.best: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # (score, -id), a heap of k
-        self.worst = np.full(len(query_ids), -np.inf)
-
-    def bound(self, q: Node, r: Node) -> float:
-        """No inner product of vectors below the nodes is larger."""
-        with np.errstate(over="ignore", invalid="ignore"):
-            top = float(q.center @ r.center) + q.norm * r.radius + q.radius * r.norm + q.radius * r.radius
-            slack = 1e-9 * (q.norm + q.radius) * (r.norm + r.radius)
-        return top + slack if np.isfinite(top) else np.inf
+        self.worst = np.full(len(query_ids), -np.inf) if floor is None else np.asarray(floor, np.float64).copy()
+        self.compared = 0
 
     def run(self) -> None:
-        top = [grow(v, np.arange(len(v)), v.mean(axis=0), self.spec) for v in (self.queries, self.data)]
-        self.visit(*top)
-
-    def visit(self, q: Node, r: Node) -> None:
-        """Pairs below ``q`` and ``r``, the most promising first for each part of the queries."""
-        if q.children:
-            for child in sorted(q.children, key=lambda c: -self.bound(c, r)):
-                self.visit(child, r)
-            return
-        order = 0
-        heap = [(-self.bound(q, r), order, r)]
+        self.asked, self.held = CoverTree(self.queries, self.spec), CoverTree(self.data, self.spec)
+        self.prime()
+        self.visit(0, np.array([0]))
+
+    def prime(self) -> None:
+        """A first k-th score for each leaf of queries, from the part of the data that promises most.
+
+        It is a bound only: what reaches it is found again by :meth:`visit`.
+        """
+        for q in np.flatnonzero(~self.asked.inner):
+            node = 0
+            while self.held.inner[node] and self.held.high[node] - self.held.low[node] > self.spec.batch:
+                children = self.held.children[node]
+                size = np.array([self.held.high[c] - self.held.low[c] for c in children])
+                children = children[size > self.spec.k] if (size > self.spec.k).any() else children
+                node = children[int(self.bounds(q, children).argmax())]
+            rows, own = self.asked.rows(q), self.held.rows(node)[: self.spec.batch]
+            scores = products(self.queries[rows], self.data[own]).astype(np.float64)
+            scores[self.data_ids[own] == self.query_ids[rows][:, None]] = -np.inf
+            self.compared += scores.size
+            if scores.shape[1] >= self.spec.k:
+                self.raise_floor(rows, np.partition(scores, -self.spec.k, axis=1)[:, -self.spec.k])
+
+    def raise_floor(self, rows: np.ndarray, scores: np.ndarray) -> None:
+        # A score as a double may be rounded up, and a floor must not be.
+        big = np.abs(scores) >= EXACT
+        self.worst[rows] = np.maximum(self.worst[rows], np.where(big, np.nextafter(scores, -np.inf), scores))
+
+    def bounds(self, q: int, nodes: np.ndarray) -> np.ndarray:
+        dots = self.data[self.held.center[nodes]] @ self.queries[self.asked.center[q]]
+        return best_products(dots, self.asked.norm[q], self.asked.radius[q], self.held.norm[nodes], self.held.radius[nodes])
+
+    def visit(self, q: int, nodes: np.ndarray) -> None:
+        """Answers the queries below ``q`` from the data below ``nodes``, of which those out of reach are skipped."""
+        asked, held = self.asked, self.held
+        while True:
+            bounds = self.bounds(q, nodes)
+            reach = bounds >= self.worst[asked.rows(q)].min()
+            nodes, bounds = nodes[reach], bounds[reach]
+            if not len(nodes):
+                return
+            if not asked.inner[q]:
+                return self.finish(q, nodes, bounds)
+            large = held.inner[nodes] & (held.radius[nodes] > asked.radius[q])
+            if not large.any():
+                break
+            nodes = np.concatenate([nodes[~large], *(held.children[r] for r in nodes[large])])
+        for child in asked.children[q]:
+            self.visit(child, nodes)
+
+    def finish(self, q: int, nodes: np.ndarray, bounds: np.ndarray) -> None:
+        """The nodes in reach of a leaf of queries, the most promising first."""
+        rows = self.asked.rows(q)
+        heap: list[tuple[float, int]] = []
+
+        def take(nodes: np.ndarray, bounds: np.ndarray) -> None:
+            inner = self.held.inner[nodes]
+            for bound, node in zip(bounds[inner], nodes[inner], strict=True):
+                heapq.heappush(heap, (-float(bound), int(node)))
+            nodes, bounds = nodes[~inner], bounds[~inner]
+            order = np.argsort(-bounds, kind="stable")
+            nodes, bounds = nodes[order], bounds[order]
+            sizes = np.cumsum([self.held.high[r] - self.held.low[r] for r in nodes], dtype=np.int64)
+            low = 0
+            while low < len(nodes) and bounds[low] >= self.worst[rows].min():
+                done = sizes[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(sizes, done + self.spec.batch, side="right")))
+                self.compare(rows, np.concatenate([self.held.rows(r) for r in nodes[low:high]]))
+                low = high
+
+        take(nodes, bounds)
         while heap:
-            negative, _, node = heapq.heappop(heap)
+            negative, node = heapq.heappop(heap)
             # At equal scores a smaller id may still enter.
-            if -negative < self.worst[q.rows].min():
+            if -negative < self.worst[rows].min():
                 return
-            if not node.children:
-                self.compare(q, node)
-                continue
-            for child in node.children:
-                order += 1
-                heapq.heappush(heap, (-self.bound(q, child), order, child))
-
-    def compare(self, q: Node, r: Node) -> None:
-        scores = products(self.queries[q.rows], self.data[r.rows])
-        scores_ids = self.data_ids[r.rows]
+            children = self.held.children[node]
+            bounds = self.bounds(q, children)
+            reach = bounds >= self.worst[rows].min()
+            take(children[reach], bounds[reach])
+
+    def compare(self, asking: np.ndarray, rows: np.ndarray) -> None:
+        for low in range(0, len(rows), 4 * self.spec.batch):
+            self.compare_some(asking, rows[low : low + 4 * self.spec.batch])
+
+    def compare_some(self, asking: np.ndarray, rows: np.ndarray) -> None:
+        self.compared += len(asking) * len(rows)
+        scores = products(self.queries[asking], self.data[rows])
+        ids = self.data_ids[rows]
         # Rows of the query's own id must not take the places of others.
-        promising = (scores >= self.worst[q.rows][:, None]) & (scores_ids != self.query_ids[q.rows][:, None])
+        promising = (scores >= self.worst[asking][:, None]) & (ids != self.query_ids[asking][:, None])
         for i in np.flatnonzero(promising.any(axis=1)):
-            row = q.rows[i]
+            row = asking[i]
             found = self.best[row]
             hits = np.flatnonzero(promising[i])
             if len(hits) > self.spec.k:
-                hits = hits[np.lexsort((scores_ids[hits], -scores[i, hits]))[: self.spec.k]]
+                hits = hits[np.lexsort((ids[hits], -scores[i, hits]))[: self.spec.k]]
             for j in hits:
-                entry = (int(scores[i, j]), -int(scores_ids[j]))
+                entry = (int(scores[i, j]), -int(ids[j]))
                 if len(found) < self.spec.k:
                     heapq.heappush(found, entry)
                 elif entry > found[0]:
                     heapq.heapreplace(found, entry)
             if len(found) == self.spec.k:
-                self.worst[row] = found[0][0]
+                self.raise_floor(np.array([row]), np.array([float(found[0][0])]))
+
+
+class Cells:
+    """The top of a cover tree over a sample: centres that rows are placed by. Their number is bounded."""
+
+    def __init__(self, sample: np.ndarray, number: int, spec: SearchSpec) -> None:
+        tree, open_nodes, closed = CoverTree(sample, spec), [], []
+        heapq.heappush(open_nodes, (-tree.radius[0], 0))
+        while open_nodes and len(open_nodes) + len(closed) < number:
+            _, node = heapq.heappop(open_nodes)
+            if not tree.inner[node]:
+                closed.append(node)
+                continue
+            for child in tree.children[node]:
+                heapq.heappush(open_nodes, (-tree.radius[child], int(child)))
+        nodes = sorted([*closed, *(node for _, node in open_nodes)], key=lambda n: -tree.radius[n])[: spec.cells]
+        self.centers = sample[np.sort(tree.center[nodes])]
+
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each vector and the distance to it."""
+        centers = widened(self.centers, vectors.shape[1])
+        cell, apart = np.zeros(len(vectors), np.int32), np.full(len(vectors), np.inf)
+        vectors, exact = widened(vectors, centers.shape[1]), whole(vectors) and whole(centers)
+        for number, center in enumerate(centers):
+            here = distances(vectors, center, exact)
+            closer = here < apart
+            cell[closer], apart[closer] = number, here[closer]
+        return cell, apart
+
+    def reach(self, vector: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """The best inner product that a row of each cell can have with ``vector``."""
+        centers = widened(self.centers, len(vector))
+        norms = np.sqrt(np.einsum("ij,ij->i", centers, centers))
+        vector = widened(vector[None, :], centers.shape[1])[0]
+        return best_products(centers @ vector, float(np.sqrt(vector @ vector)), 0.0, norms, radii)
+
+
+def widened(vectors: np.ndarray, width: int) -> np.ndarray:
+    """Vectors that end in zeros up to ``width``."""
+    return np.pad(vectors, ((0, 0), (0, max(0, width - vectors.shape[1]))))
 
 
 def quantised(vector: Column) -> Column:
@@ -167,43 +323,100 @@ def nearest(vectors: DataFrame, is_query: Column, spec: SearchSpec = SearchSpec(
     Components become floor(256 x); the score is the exact inner product, limited to 64 bits. Ties go to the smaller
     vec_id. Rows without an id or with an unusable vector take no part; vectors of different lengths are
     compared as if the shorter one ended in zeros. Rows that share an id are not neighbours of each other, and the
-    first of their vectors is the query. A query without other rows has no result.
+    first of their vectors is the query. A query without other rows has no result, and an empty table has none.
+    Other columns, whatever their names, take no part.
     """
-    rows = checkpointed(
-        vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
-            F.col("vec_id").cast("bigint"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks")
-        )
+    rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
+        F.col("vec_id").cast("bigint"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks")
     )
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
     queries = rows.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
-    count, asked = rows.count(), queries.count()
-    blocks = max(1, -(-count // spec.data_block))
-    groups = max(1, -(-asked // spec.query_block))
-
-    def spread(df: DataFrame, mine: str, number: int, other: str, others: int) -> DataFrame:
-        return df.select(
-            "vec_id",
-            "v",
-            F.pmod(F.xxhash64("vec_id"), F.lit(number)).cast("int").alias(mine),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
-        )
+    count = rows.count()
+    if count <= spec.data_block:
+        floor = F.lit(None).cast("bigint").alias("floor")
+        return ranked(meet(queries.select("*", floor, F.lit(0).alias("block")), rows.withColumn("block", F.lit(0)), spec), spec)
+
+    # The sample is bounded, and so are the centres and the sizes of the cells.
+    sample = rows.orderBy(F.xxhash64("vec_id", "row")).limit(spec.sample).select("v").toPandas()["v"]
+    cells = Cells(matrix(sample, max(map(len, sample))), min(spec.cells, -(-count // spec.data_block)), spec)
+
+    @F.pandas_udf("cell int, apart double")
+    def place(batch: pd.Series) -> pd.DataFrame:
+        cell, apart = cells.place(matrix(batch, max(map(len, batch), default=0)))
+        return pd.DataFrame({"cell": cell, "apart": apart})
+
+    placed = checkpointed(rows.select("vec_id", "v", "row", place("v").alias("at")).select("vec_id", "v", "row", "at.*"))
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("radius")).toPandas()
+    radii, pieces = np.full(len(cells.centers), -np.inf), np.zeros(len(cells.centers), np.int64)
+    radii[sizes["cell"]] = sizes["radius"]
+    pieces[sizes["cell"]] = -(-sizes["n"] // spec.data_block)
+    first = np.cumsum(pieces) - pieces
+    used = np.flatnonzero(pieces)
+    cut = rows.sparkSession.createDataFrame(
+        pd.DataFrame({"cell": used.astype(np.int32), "first": first[used], "pieces": pieces[used]})
+    )
+    piece = F.pmod(F.xxhash64("row"), F.col("pieces"))
+    data = checkpointed(placed.join(F.broadcast(cut), "cell").select("vec_id", "v", (F.col("first") + piece).alias("block")))
+
+    @F.pandas_udf("bigint")
+    def home(batch: pd.Series) -> pd.Series:
+        # A block of the cell whose centre scores best; the answer there bounds the k-th score from below.
+        best = (used[int(cells.reach(np.array(v), np.zeros(len(radii)))[used].argmax())] for v in batch)
+        return pd.Series([first[c] for c in best], dtype="int64")
+
+    @F.pandas_udf("array<bigint>")
+    def in_reach(batch: pd.Series, floors: pd.Series) -> pd.Series:
+        out = []
+        for vector, floor in zip(batch, floors, strict=True):
+            reach = used[cells.reach(np.array(vector), radii)[used] >= (LEAST if pd.isna(floor) else np.nextafter(float(floor), -np.inf))]
+            out.append(np.concatenate([np.arange(first[c], first[c] + pieces[c]) for c in reach] or [np.array([], np.int64)]))
+        return pd.Series(out)
 
-    left = spread(queries, "_a", groups, "_b", blocks)
-    right = spread(rows, "_b", blocks, "_a", groups)
+    started = queries.select("*", F.lit(None).cast("bigint").alias("floor"), home("v").alias("block"))
+    kth = ranked(meet(started, data, spec), spec).filter(F.col("rank") == spec.k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    asking = checkpointed(queries.join(kth, "vec_id", "left"))
+    return ranked(meet(asking.withColumn("block", F.explode(in_reach("v", "floor"))), data, spec), spec)
+
+
+def meet(queries: DataFrame, data: DataFrame, spec: SearchSpec) -> DataFrame:
+    """``query_id, vec_id, score``: up to k rows of each block for each query (vec_id, v, floor, block) sent to it.
+
+    Blocks that many queries ask for are searched by groups of queries, each with a copy of the block.
+    """
+    asked = queries.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.ceil(F.col("n") / spec.query_block).alias("groups"))
+    left = queries.join(asked, "block").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("groups")))
+    right = data.join(asked, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
 
     def search(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asking.empty or held.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = max(map(len, [*asking["v"], *held["v"]]))
+        width = max(1, max(map(len, [*asking["v"], *held["v"]])))
+        floor = asking["floor"].astype("float64").fillna(-np.inf).to_numpy()
         task = Search(
-            matrix(asking["v"], width), asking["vec_id"].to_numpy(), matrix(held["v"], width), held["vec_id"].to_numpy(), spec
+            matrix(asking["v"], width),
+            asking["vec_id"].to_numpy(),
+            matrix(held["v"], width),
+            held["vec_id"].to_numpy(),
+            spec,
+            np.where(np.abs(floor) >= EXACT, np.nextafter(floor, -np.inf), floor),
         )
         task.run()
         found = [(int(q), -i, s) for q, best in zip(task.query_ids, task.best, strict=True) for s, i in best]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(
-        search, "query_id bigint, vec_id bigint, score bigint"
+    def renewed(df: DataFrame, *names: str) -> DataFrame:
+        # Both sides may come from one table, and a cogroup must tell their columns apart.
+        return df.select(*(F.col(n).alias(n) for n in names))
+
+    return (
+        renewed(left, "vec_id", "v", "block", "part", "floor")
+        .groupBy("block", "part")
+        .cogroup(renewed(right, "vec_id", "v", "block", "part").groupBy("block", "part"))
+        .applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
     )
-    # Each block offers k rows per query.
+
+
+def ranked(found: DataFrame, spec: SearchSpec) -> DataFrame:
+    """The k best of what the blocks offer; each offers at most k rows per query."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")

@@ -515,7 +515,7 @@ def test_search_over_blocks_ties_and_bad_vectors(spark, none):
     rows += [(400 + i, rows[0][1]) for i in range(30)]  # ties
     rows += [(900, None), (901, [1.0, None]), (902, [float("nan")]), (903, [float("inf")]), (904, [1.0]), (None, [1.0]), (950, [1e300, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    spec = covertree.SearchSpec(data_block=60, query_block=4, leaf=8, fanout=4)
+    spec = covertree.SearchSpec(data_block=60, query_block=4, leaf=8)
     found = collections.defaultdict(list)
     for r in covertree.nearest(vectors.filter("vec_id <> 950 or vec_id is null"), F.col("vec_id") % 50 == 0, spec).orderBy("rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
@@ -614,17 +614,71 @@ def test_language_model_edges(crowded, none):
     assert likelihood.score(none, empty).count() == 0
 
 
-def test_trees_over_outliers_stay_shallow():
-    vectors = np.stack([1.01 ** np.arange(3000), np.arange(3000.0) % 7], axis=1)
-    spec = covertree.SearchSpec(leaf=8, fanout=4)
-    depths = []
+def assert_cover_tree(tree, spec):
+    """Covering, separation and nesting of every node; the depth of the tree."""
+    depth, waiting = 0, [(0, 1)]
+    while waiting:
+        node, here = waiting.pop()
+        depth = max(depth, here)
+        rows, center = tree.rows(node), tree.vectors[tree.center[node]]
+        assert np.sqrt(((tree.vectors[rows] - center) ** 2).sum(axis=1)).max() <= tree.radius[node] + 1e-6
+        assert tree.radius[node] <= spec.base ** tree.level[node] * (1 + 1e-9)
+        children = tree.children[node]
+        if len(children):
+            assert tree.center[children[0]] == tree.center[node]
+            assert sorted(np.concatenate([tree.rows(c) for c in children])) == sorted(rows)
+            centers = tree.vectors[tree.center[children]]
+            for i in range(1, len(children)):
+                apart = np.sqrt(((centers[:i] - centers[i]) ** 2).sum(axis=1)).min()
+                assert apart > min(spec.base ** (tree.level[node] - 1), tree.radius[node]) * (1 - 1e-9)
+            waiting += [(c, here + 1) for c in children]
+        else:
+            assert len(rows) <= spec.leaf or tree.radius[node] == 0
+    return depth
+
+
+def clustered(rng, clusters, each, width=16):
+    centers = rng.normal(size=(clusters, width)) * 10
+    return np.floor(256 * (np.repeat(centers, each, axis=0) + rng.normal(size=(clusters * each, width)) * 0.5))
+
+
+def test_cover_trees_keep_their_invariants():
+    spec = covertree.SearchSpec(leaf=8)
+    outliers = np.stack([1.01 ** np.arange(3000), np.arange(3000.0) % 7], axis=1)
+    tree = covertree.CoverTree(outliers, spec)
+    # One level for each power of the base between the largest and the smallest distance.
+    assert assert_cover_tree(tree, spec) <= 3 + np.log(tree.radius[0]) / np.log(spec.base)
+    rng = np.random.default_rng(3)
+    for vectors in (clustered(rng, 12, 40), np.zeros((50, 4)), np.array([[3.0, 4.0]]), rng.integers(-9, 9, (300, 3)) * 1e17):
+        assert_cover_tree(covertree.CoverTree(vectors, spec), spec)
 
-    def walk(node, depth):
-        depths.append(depth)
-        inside = np.sqrt(((vectors[node.rows] - node.center) ** 2).sum(axis=1))
-        assert (inside <= node.radius + 1e-6).all()
-        for child in node.children:
-            walk(child, depth + 1)
-        return sum(len(c.rows) for c in node.children) in (0, len(node.rows))
 
-    assert walk(covertree.grow(vectors, np.arange(3000), vectors.mean(axis=0), spec), 0) and max(depths) < 100
+def test_dual_search_skips_pairs_of_clustered_vectors():
+    rng = np.random.default_rng(4)
+    data, spec = clustered(rng, 40, 50), covertree.SearchSpec(leaf=8, batch=64)
+    asked = np.arange(0, len(data), 10)
+    task = covertree.Search(data[asked], asked, data, np.arange(len(data)), spec)
+    task.run()
+    assert task.asked.inner.any() and task.compared < 0.5 * len(asked) * len(data)
+    scores = (data[asked] @ data.T).astype(np.int64)
+    for row, q in enumerate(asked):
+        best = sorted((-int(s), i) for i, s in enumerate(scores[row]) if i != q)[: spec.k]
+        assert sorted((-s, -i) for s, i in task.best[row]) == best
+
+
+def test_search_sends_queries_only_to_cells_in_reach(spark):
+    rng = np.random.default_rng(5)
+    data = clustered(rng, 20, 60) / 256
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    spec = covertree.SearchSpec(data_block=100, query_block=10, leaf=4, batch=16)
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in covertree.nearest(vectors, F.col("vec_id") % 50 == 0, spec).collect()}
+    whole = np.floor(256 * data)
+    for q in range(0, len(data), 50):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(len(data)) if i != q)[:5]
+        assert [found[q, k] for k in range(1, 6)] == [(i, -s) for s, i in best]
+    cells = covertree.Cells(whole, 12, spec)
+    cell, apart = cells.place(whole)
+    radii = np.array([apart[cell == c].max(initial=0.0) for c in range(len(cells.centers))])
+    sent = sum(int((cells.reach(whole[q], radii) >= found[q, 5][1]).sum()) for q in range(0, len(data), 50))
+    assert sent < 0.8 * len(cells.centers) * len(range(0, len(data), 50))
