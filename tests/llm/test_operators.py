@@ -647,7 +647,8 @@ def test_cover_trees_keep_their_invariants():
     outliers = np.stack([1.01 ** np.arange(3000), np.arange(3000.0) % 7], axis=1)
     tree = covertree.CoverTree(outliers, spec)
     # One level for each power of the base between the largest and the smallest distance.
-    assert assert_cover_tree(tree, spec) <= 3 + np.log(tree.radius[0]) / np.log(spec.base)
+    smallest = np.sqrt(((outliers[7] - outliers[0]) ** 2).sum())
+    assert assert_cover_tree(tree, spec) <= 3 + np.log(tree.radius[0] / smallest) / np.log(spec.base)
     rng = np.random.default_rng(3)
     for vectors in (clustered(rng, 12, 40), np.zeros((50, 4)), np.array([[3.0, 4.0]]), rng.integers(-9, 9, (300, 3)) * 1e17):
         assert_cover_tree(covertree.CoverTree(vectors, spec), spec)
