@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextry.functions.arrays import attention_mask, pad
+from bitextry.functions.draws import permute, round_keys
 from bitextry.operators.numbering import shuffled_ordinal
 from bitextry.session import checkpointed
 
@@ -67,3 +70,33 @@ def seeded_batches(df: DataFrame, key: Column, batch_size: int, max_steps: int,
         repeated, F.concat_ws(":", "epoch", key), seed, "position", ["epoch"], F.lit(wanted) - done, epochs
     )
     return shuffled.withColumn("step", batch_id(F.col("position") + done, batch_size))
+
+
+def permuted_batches(
+    df: DataFrame, batch_size: int, max_steps: int, seed: int = 42, line_no: str = "line_no", rows: int | None = None
+) -> DataFrame:
+    """Shuffled training batches of numbered rows: ``epoch, position, step``, repeating the data as needed.
+
+    Each epoch's order is a keyed permutation of the row numbers, so nothing is sorted or shuffled, and a row is copied
+    only to epochs in which it has a place before ``max_steps`` batches are full. ``rows`` is the number of rows, which
+    are numbered from 0; other numbers are errors.
+    """
+    rows = df.count() if rows is None else rows
+    wanted = batch_size * max_steps
+    if not rows or not wanted:
+        raise ValueError("no rows to batch")
+    keys = [round_keys(seed, epoch) for epoch in range(math.ceil(wanted / rows))]
+
+    @F.pandas_udf("array<struct<epoch int, position bigint>>")
+    def places(numbers: pd.Series) -> pd.Series:
+        if numbers.isna().any() or ((numbers < 0) | (numbers >= rows)).any():
+            raise ValueError(f"rows must be numbered from 0 to {rows - 1}")
+        out: list[list[dict]] = [[] for _ in range(len(numbers))]
+        for epoch, epoch_keys in enumerate(keys):
+            positions = permute(numbers.to_numpy(np.uint64), rows, epoch_keys)
+            for i in np.flatnonzero(positions < wanted - epoch * rows):
+                out[i].append({"epoch": epoch, "position": int(positions[i])})
+        return pd.Series(out)
+
+    placed = df.withColumn("_place", F.explode(places(F.col(line_no).cast("bigint")))).select("*", "_place.*").drop("_place")
+    return placed.withColumn("step", batch_id(F.col("position") + F.col("epoch").cast("bigint") * rows, batch_size))

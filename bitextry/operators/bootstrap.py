@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -12,34 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A hash has four draws of this many hexadecimal digits.
-HASH_HEX = 8
-DRAWS = 4
+from bitextry.functions.draws import counter_draws
 
 
 def poisson_thresholds(terms: int = 12) -> list[int]:
-    """Cumulative Poisson(1) probabilities on the scale of a ``HASH_HEX``-digit draw."""
-    scale, total, out = 16**HASH_HEX, 0.0, []
+    """Cumulative Poisson(1) probabilities on the scale of a 32-bit draw."""
+    scale, total, out = 2**32, 0.0, []
     for k in range(terms):
         total += math.exp(-1) / math.factorial(k)
         out.append(min(int(total * scale), scale))
     return out
 
 
-def poisson_weights(keys: Sequence[str], seed: int, replicates: int) -> np.ndarray:
-    """How often each row is drawn in each replicate (row, replicate): Poisson(1) counts fixed by seed, key and replicate.
-
-    Replicate ``b`` from 0 reads draw ``b % 4`` of the hash of ``seed:key:(b // 4)``.
-    """
-    blocks = [str(b).encode() for b in range(-(-replicates // DRAWS))]
-    digests = []
-    for key in keys:
-        start = hashlib.md5(f"{seed}:{key}:".encode("utf-8", "surrogatepass"))
-        for block in blocks:
-            hashed = start.copy()
-            hashed.update(block)
-            digests.append(hashed.digest())
-    drawn = np.frombuffer(b"".join(digests), ">u4").reshape(len(keys), -1)[:, :replicates]
+def poisson_weights(first: np.ndarray, second: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each row is drawn in each replicate (row, replicate): Poisson(1) counts fixed by the row's two words."""
+    drawn = counter_draws(first, second, replicates)
     return np.searchsorted(np.array(poisson_thresholds(), np.int64), drawn.astype(np.int64), side="right")
 
 
@@ -49,10 +35,15 @@ def bootstrap_replicates(
     """``by..., replicate, <score>...``: the weighted mean of every score in every replicate.
 
     Rows are weighted and added up batch by batch, so that a batch sends one row per replicate and group. A null score
-    adds nothing to its mean.
+    adds nothing to its mean. The draws of a row follow from ``seed`` and its ``key``: one hash gives two words, which
+    number its draws.
     """
     by, scores = list(by), list(scores)
-    rows = df.select(*by, *(F.col(s).cast("double") for s in scores), F.coalesce(key.cast("string"), F.lit("")).alias("_key"))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    words = {
+        name: F.conv(F.substring(hashed, at, 8), 16, 10).cast("bigint") for name, at in (("_first", 1), ("_second", 9))
+    }
+    rows = df.select(*by, *(F.col(s).cast("double") for s in scores), *(w.alias(n) for n, w in words.items()))
     sums = [*(f"_sum_{s}" for s in scores), *(f"_mass_{s}" for s in scores)]
     fields = [rows.schema[c] for c in by]
     fields += [T.StructField("replicate", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in sums)]
@@ -64,10 +55,10 @@ def bootstrap_replicates(
                 total = np.zeros((replicates, len(sums)))
                 for low in range(0, len(group), 1024):
                     part = group.iloc[low : low + 1024]
-                    weights = poisson_weights(part["_key"], seed, replicates).astype(np.float64)
+                    weights = poisson_weights(part["_first"].to_numpy(), part["_second"].to_numpy(), replicates)
                     values = part[scores].to_numpy(np.float64)
                     known = ~np.isnan(values)
-                    total += np.einsum("rb,rs->bs", weights, np.hstack([np.where(known, values, 0.0), known]))
+                    total += weights.astype(np.float64).T @ np.hstack([np.where(known, values, 0.0), known])
                 out = pd.DataFrame(total, columns=sums)
                 out.insert(0, "replicate", np.arange(1, replicates + 1, dtype=np.int32))
                 for place, (column, value) in enumerate(zip(by, name, strict=True)):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ class Bleu:
     lowercase: bool = False
     name: str = "bleu"
     fields: Sequence[str] = field(default=tuple(kernels.BLEU_FIELDS), repr=False)
+    greater_is_better: ClassVar[bool] = True
+
+    def signature(self, references: int | str = 1) -> str:
+        """What the score depends on besides the texts."""
+        cut = self.tokenize if isinstance(self.tokenize, str) else getattr(self.tokenize, "__name__", "custom")
+        return f"nrefs:{references}|case:{'lc' if self.lowercase else 'mixed'}|eff:no|tok:{cut}|smooth:{self.smooth}"
 
     def statistics(self, hyp: Column, refs: Column) -> Column:
         cut = tokenizer(self.tokenize)
@@ -76,6 +83,12 @@ class Chrf:
     beta: float = 2.0
     name: str = "chrf"
     fields: Sequence[str] = field(default=tuple(kernels.CHRF_FIELDS), repr=False)
+    greater_is_better: ClassVar[bool] = True
+
+    def signature(self, references: int | str = 1) -> str:
+        """What the score depends on besides the texts."""
+        case, beta = "lc" if self.lowercase else "mixed", "" if self.beta == 2 else f"|beta:{self.beta:g}"
+        return f"nrefs:{references}|case:{case}|eff:yes|nc:{kernels.CHRF_ORDER}|nw:0|space:no{beta}"
 
     def statistics(self, hyp: Column, refs: Column) -> Column:
         case = F.lower if self.lowercase else (lambda x: x)
@@ -109,6 +122,13 @@ class Ter:
     limits: ShiftLimits = ShiftLimits()
     name: str = "ter"
     fields: Sequence[str] = field(default=("edits", "ref_words"), repr=False)
+    greater_is_better: ClassVar[bool] = False
+
+    def signature(self, references: int | str = 1) -> str:
+        """What the score depends on besides the texts."""
+        case, shifts = "mixed" if self.case_sensitive else "lc", "yes" if self.shifts else "no"
+        limits = "" if self.limits == ShiftLimits() or not self.shifts else f"|limits:{self.limits}"
+        return f"nrefs:{references}|case:{case}|tok:none|shifts:{shifts}{limits}"
 
     def statistics(self, hyp: Column, refs: Column) -> Column:
         case = (lambda x: x) if self.case_sensitive else F.lower

@@ -17,7 +17,8 @@ from bitextry.operators.align import pair_steps_with_references
 from bitextry.operators.bootstrap import bootstrap_interval, bootstrap_replicates
 from bitextry.operators.inference import Predictor, predict
 from bitextry.operators.prompts import summary_messages, with_system_prompt
-from bitextry.sources.corpora import read_numbered_jsonl, read_step_predictions
+from bitextry.session import checkpointed
+from bitextry.sources.corpora import find_step_predictions, read_numbered_jsonl, read_step_predictions
 from bitextry.sources.reports import tall
 from bitextry.sources.text import read_lines, write_batch_tagged, write_lines
 
@@ -137,6 +138,28 @@ def score_step_files(spark: SparkSession, files: Mapping[int, Sequence[str]], re
     return metrics_by_step(read_step_predictions(spark, files), references, metrics)
 
 
+def track_step_files(
+    spark: SparkSession, folder: str, references: DataFrame, metrics: Sequence, threshold: float = 0.0, patience: int = 1
+) -> DataFrame:
+    """``metric, best_step, best_value, stop_step`` from the ``dev.step_{N}.pred`` files below ``folder``.
+
+    Each metric is a run of its own and improves in its own direction. The files are scored once.
+    """
+    scores = score_step_files(spark, find_step_predictions(spark, folder), references, metrics)
+    sign = F.when(F.col("metric").isin([m.name for m in metrics if not m.greater_is_better]), -1.0).otherwise(1.0)
+    log = tall(scores.select("step", *(m.name for m in metrics)), ["step"]).withColumn("value", F.col("value") * sign)
+    tracked = track_checkpoints(checkpointed(log), "value", threshold, patience, True, ["metric"])
+    return tracked.withColumn("best_value", F.col("best_value") * sign)
+
+
+def signed_scores(pairs: DataFrame, metrics: Sequence, by: Sequence[str] = (), references: int | str = 1) -> DataFrame:
+    """``by..., metric, value, signature``: each score beside the settings that it depends on."""
+    by = list(by)
+    scores = scoring.corpus_scores(pairs, metrics, by=by).select(*by, *(m.name for m in metrics))
+    signatures = F.create_map(*(F.lit(x) for m in metrics for x in (m.name, m.signature(references))))
+    return tall(scores, by).withColumn("signature", signatures[F.col("metric")])
+
+
 def translate(
     spark: SparkSession,
     source: str | Sequence[str],

@@ -95,6 +95,27 @@ def checkpoint_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tracked).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))
 
 
+@query(
+    with_views(
+        """select metric, best_step, round(case when metric = 'ter' then best else -best end, 6) best_value, stop_step from
+             (select metric, min_by(step, (loss, step)) best_step, min(loss) best from log group by all)
+           join (select metric, coalesce(min(case when counter >= 2 then step end), -1) stop_step from counted group by all)
+           using (metric)""",
+        "step_pairs",
+        scored=f"select * from ({STEP_SQL})",
+        log=" union all ".join(
+            f"select step, '{m.name}' metric, {'-' if m.greater_is_better else ''}{m.name} loss from scored" for m in STEP_METRICS
+        ),
+        counted=_counted_sql("log", "metric", "loss"),
+    )
+)
+def track_step_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best step and early stop of each metric, word edits included, from the prediction files of a folder."""
+    base, refs = written_steps(spark, sf_dir, "tracked")
+    tracked = jobs.track_step_files(spark, base, refs, STEP_METRICS, THRESHOLD, 2)
+    return rounded(tracked).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))
+
+
 def reversing_words():
     """A toy translator: the words of each input in reverse."""
     return lambda batch: [" ".join(reversed(text.split(" "))) for text in batch]

@@ -9,7 +9,8 @@ from bitextry.operators import scoring
 from bitextry.operators.scoring import Bleu, Chrf, Ter, corpus_scores
 from bitextry.plans import jobs, views
 from bitextry.plans.views import with_views
-from bitextry.operators.bootstrap import DRAWS, poisson_thresholds
+from bitextry.functions.draws import COUNTER_STEP
+from bitextry.operators.bootstrap import poisson_thresholds
 from bitextry.suite import sql
 from bitextry.suite.files import _metric_report, written_steps
 from bitextry.suite.registry import query
@@ -152,10 +153,11 @@ def rouge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPLICATES = 1000
-# Four replicates read one hash.
-_HASHED = f"""select *, md5('42:' || doc_id || '-' || line_no || ':' || k) m
-              from rouge, range(0, {REPLICATES // DRAWS}) t(k)"""
-_DRAWN = "('0x' || substr(m, 1 + 8 * d, 8))::ubigint"
+# A row's hash gives the two words that number its draws.
+_WORDS = """select *, ('0x' || substr(m, 1, 8))::ubigint a, ('0x' || substr(m, 9, 8))::ubigint s
+            from (select *, md5('42:' || doc_id || '-' || line_no) m from rouge)"""
+_DRAWS = f"""select *, {sql.mixed(f"((s + k::ubigint * {COUNTER_STEP}::ubigint) & 4294967295::ubigint)", "i")},
+             {sql.mixed("xor(a, i)", "x")} from ({_WORDS}), range(0, {REPLICATES}) t(k)"""
 _WEIGHT = " + ".join(f"(x >= {t})::int" for t in poisson_thresholds())
 _INTERVAL = ", ".join(
     f'round(quantile_cont("{t}", {p}), 6) "{t}_{name}"'
@@ -168,8 +170,7 @@ _INTERVAL = ", ".join(
     _rouge_sql(
         f"select {_INTERVAL} from drawn",
         drawn=f"""select b, sum(w * rouge1) / sum(w) rouge1, sum(w * rouge2) / sum(w) rouge2, sum(w * "rougeL") / sum(w) "rougeL"
-                  from (select *, {_WEIGHT} w from (select *, {DRAWS} * k + d b, {_DRAWN} x
-                        from ({_HASHED}), range(0, {DRAWS}) u(d))) group by b""",
+                  from (select *, k b, {_WEIGHT} w from ({_DRAWS})) group by b""",
     )
 )
 def rouge_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,3 +237,27 @@ def metrics_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ter_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = views.step_pairs(spark, sf_dir)
     return rounded(corpus_scores(steps, [Ter()], by=["step"]))
+
+
+SIGNED = {
+    "bleu": "nrefs:1|case:mixed|eff:no|tok:13a|smooth:exp",
+    "chrf": "nrefs:1|case:mixed|eff:yes|nc:6|nw:0|space:no",
+    "ter": "nrefs:1|case:lc|tok:none|shifts:yes",
+}
+
+
+@query(
+    with_views(
+        " union all ".join(
+            f"select lang, '{m}' metric, round({m}, 6) as \"value\", '{text}' signature from scored" for m, text in SIGNED.items()
+        ),
+        "pairs",
+        **sql.bleu("pairs", "lang", "doc_id, line_no", "exp"),
+        **sql.chrf("pairs", "lang", "doc_id, line_no"),
+        edited=f"""select lang, 100.0 * sum(len(r) - {_KEPT}) / sum(len(r)) ter
+                   from (select lang, {sql.words('hyp')} h, {sql.words('ref')} r from pairs) group by lang""",
+        scored="select * from bleu join c_chrf using (lang) join edited using (lang)",
+    )
+)
+def signed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(jobs.signed_scores(views.pairs(spark, sf_dir), [Bleu(smooth="exp"), Chrf(), Ter()], ["lang"]))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitextry.functions.draws import ROUNDS, round_keys
 from bitextry.functions.tokenizers import mteval_13a_tokens
 from bitextry.operators import batching, vocabulary
 from bitextry.operators.numbering import with_ordinal
@@ -53,6 +54,37 @@ def seeded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "line_no", "epoch", "position", "step")
 
 
+def _permutation_sql() -> str:
+    """Positions of ``seeded_permutation``: rounds of the network, walked on until they are below the number of rows."""
+    rounds = ", ".join(
+        f"""{sql.mixed(f"xor(r{i}, k{i})", f"f{i}")}, xor(l{i}, f{i} & m) r{i + 1}, r{i} l{i + 1}""" for i in range(ROUNDS)
+    )
+    step = f"""select doc_id, line_no, epoch, n, h, m, {", ".join(f"k{i}" for i in range(ROUNDS))}, (l{ROUNDS} << h) | r{ROUNDS} x
+               from (select *, x >> h l0, x & m r0, {rounds} from {{}})"""
+    epochs = ", ".join(f"({e}, {', '.join(f'{k}::ubigint' for k in round_keys(42, e))})" for e in (0, 1))
+    views_sql = with_views(
+        "",
+        "lines",
+        numbered=f"select doc_id, line_no, row_no, count(*) over () n from ({sql.NUMBERED})",
+        first=f"""select *, ((1::ubigint << h) - 1)::ubigint m, row_no::ubigint x from
+                  (select *, greatest(1, (length(bin(n - 1)) + 1) // 2)::ubigint h from numbered)
+                  cross join (values {epochs}) e(epoch, {", ".join(f"k{i}" for i in range(ROUNDS))})""",
+    ).rstrip()
+    return f"""{views_sql.replace("with ", "with recursive ", 1)}, walk as
+        ({step.format("first")} union all {step.format("(select * from walk where x >= n)")})
+        select doc_id, line_no, epoch, x::bigint as "position", (x::bigint + epoch * n) // {BATCH} step from walk
+        where x < n and x::bigint + epoch * n < {BATCH} * ceil(1.5 * n / {BATCH})"""
+
+
+@query(_permutation_sql())
+def seeded_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One and a half epochs of batches in the order of keyed permutations."""
+    rows = with_ordinal(views.lines(spark, sf_dir).select("doc_id", "line_no"), ["doc_id", "line_no"])
+    count = rows.count()
+    made = batching.permuted_batches(rows, BATCH, math.ceil(1.5 * count / BATCH), line_no="row_no", rows=count)
+    return made.select("doc_id", "line_no", "epoch", "position", "step")
+
+
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, hyp = (mteval_13a_tokens(side) for side in ("ref", "hyp"))
     return vocabulary.pair_types(views.pairs(spark, sf_dir), ref, hyp, ["lang"])

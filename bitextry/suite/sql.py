@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from bitextry.functions.draws import FIRST_FACTOR, SECOND_FACTOR
 from bitextry.functions.tokenizers import MTEVAL_13A_RULES
 
 
@@ -163,3 +164,10 @@ def rouge(source: str, key: str, ref: str = "summary", filler: str | None = None
     parts["rouge"] = f"""select {key}, {f1('a.m', 1)} rouge1, {f1('b.m', 2)} rouge2, {f1('l.v', 1)} "rougeL"
         from r_cut left join r_m1 a using ({key}) left join r_m2 b using ({key}) left join r_lcs l using ({key})"""
     return parts
+
+
+def mixed(value: str, name: str) -> str:
+    """Columns of a select list that end in ``name``: the 32-bit mixing of ``functions.draws`` of ``value``."""
+    keep = "4294967295::ubigint"
+    return f"""{value} {name}_0, (xor({name}_0, {name}_0 >> 16) * {FIRST_FACTOR}::ubigint) & {keep} {name}_1,
+        (xor({name}_1, {name}_1 >> 13) * {SECOND_FACTOR}::ubigint) & {keep} {name}_2, xor({name}_2, {name}_2 >> 16) {name}"""

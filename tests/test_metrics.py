@@ -2,14 +2,17 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bitextry.functions import kernels
+from bitextry.functions.draws import counter_draws
 from bitextry.functions.shifts import ShiftLimits, translation_edits
 from bitextry.operators import scoring
 from bitextry.operators.bootstrap import bootstrap_interval, bootstrap_replicates
 from bitextry.operators.scoring import Bleu, Chrf, Ter, corpus_scores
+from bitextry.plans import jobs
 
 
 def scored(spark, pairs, *metrics, schema="hyp string, ref string"):
@@ -253,3 +256,23 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert got["s_high"] - got["s_low"] < 1.2
     again = bootstrap_interval(bootstrap_replicates(rows.repartition(13), ["s"], F.col("k"), 200), ["s"]).first()
     assert tuple(got) == pytest.approx(tuple(again))
+
+
+def test_counter_draws_are_even_and_independent():
+    first, second = (np.random.default_rng(i).integers(0, 2**32, 300) for i in (1, 2))
+    drawn = counter_draws(first, second, 400).astype(np.float64) / 2**32
+    assert drawn.shape == (300, 400) and abs(drawn.mean() - 0.5) < 0.005 and abs(drawn.var() - 1 / 12) < 0.002
+    assert np.abs(np.corrcoef(drawn) - np.eye(300)).max() < 0.3 and np.abs(np.corrcoef(drawn.T) - np.eye(400)).max() < 0.35
+    assert (counter_draws(first, second, 10) == counter_draws(first, second, 400)[:, :10]).all()
+
+
+def test_signatures_name_the_settings():
+    assert scoring.Bleu(lowercase=True, tokenize="zh").signature(2) == "nrefs:2|case:lc|eff:no|tok:zh|smooth:none"
+    assert scoring.Chrf(beta=3).signature("var") == "nrefs:var|case:mixed|eff:yes|nc:6|nw:0|space:no|beta:3"
+    assert scoring.Ter(shifts=False, case_sensitive=True).signature() == "nrefs:1|case:mixed|tok:none|shifts:no"
+
+
+def test_signed_scores_of_a_whole_table(spark):
+    pairs = spark.createDataFrame([("a b c d", "a b c d")], "hyp string, ref string")
+    got = {r["metric"]: (round(r["value"], 6), r["signature"]) for r in jobs.signed_scores(pairs, [scoring.Bleu(), scoring.Ter()]).collect()}
+    assert got == {"bleu": (100.0, scoring.Bleu().signature()), "ter": (0.0, scoring.Ter().signature())}

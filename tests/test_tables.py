@@ -2,10 +2,12 @@ import os
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bitextry.functions import arrays
+from bitextry.functions.draws import permute, round_keys
 from bitextry.functions.tokenizers import pluggable
 from bitextry.operators import batching, checkpoints, vocabulary
 from bitextry.operators.align import align, pair_steps_with_references
@@ -44,6 +46,41 @@ def test_seeded_batches_repeat_and_cap(spark):
     assert orders[0] != orders[1]
 
 
+def test_permutations_are_bijections_of_any_size():
+    for size in (1, 2, 3, 5, 16, 17, 1000, 4097):
+        orders = [permute(np.arange(size), size, round_keys(7, epoch)) for epoch in (0, 1)]
+        assert all(sorted(order) == list(range(size)) for order in orders)
+        assert size < 16 or (orders[0] != orders[1]).any()
+    # Numbers beyond 32 bits stay in range and apart.
+    size = 10**13 + 7
+    some = permute(np.arange(size - 5000, size), size, round_keys(7, 0))
+    assert some.min() >= 0 and some.max() < size and len(set(some)) == 5000
+    # No trace of the old order.
+    order = permute(np.arange(4096), 4096, round_keys(7, 0))
+    assert abs(np.corrcoef(np.arange(4096), order)[0, 1]) < 0.1
+
+
+def test_permuted_batches_repeat_and_cap(spark):
+    rows = spark.range(10).withColumnRenamed("id", "line_no")
+    got = batching.permuted_batches(rows, 4, 6).collect()
+    assert sorted((r["epoch"], r["position"]) for r in got) == [(e, p) for e in range(3) for p in range(10)][:24]
+    for step in range(6):
+        assert sum(r["step"] == step for r in got) == 4
+    for epoch in (0, 1):
+        assert sorted(r["line_no"] for r in got if r["epoch"] == epoch) == list(range(10))
+    again = batching.permuted_batches(rows.repartition(5), 4, 6).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    with pytest.raises(ValueError, match="no rows"):
+        batching.permuted_batches(rows.limit(0), 4, 6)
+    with pytest.raises(Exception, match="numbered from 0 to 4"):
+        batching.permuted_batches(rows, 4, 6, rows=5).collect()
+
+
+def test_permuted_batches_do_not_shuffle(spark):
+    made = batching.permuted_batches(spark.range(100).withColumnRenamed("id", "line_no"), 4, 6, rows=100)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_with_one_hot_key(spark):
     draw = random.Random(1)
     rows = [(1 if i % 3 else i, i, draw.random()) for i in range(900)]
