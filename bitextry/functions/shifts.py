@@ -2,7 +2,9 @@
 
 What a shift is, its size and its distance, is part of the metric. Edit distances use bit-parallel rows. A shifted
 hypothesis differs from the current one only between the block and its target: its distance is the smallest sum of
-a row computed over that window, from the stored state before it, and the stored row of all that follows.
+a row computed over that window, from the state before it, and the row of all that follows. Of both passes every
+``STRIDE``-th state is kept, and those in between are made again when they are asked for, so that memory grows with the
+reference and the hypothesis, not with the matrix.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ class ShiftLimits:
     tried: int | None = None
 
 
+# Bytes of word masks that a prepared reference keeps.
+MASK_BYTES = 4_000_000
+
+
 class _Reference:
     """A reference prepared for edit distances against many hypotheses."""
 
@@ -36,16 +42,29 @@ class _Reference:
         self.bits: dict[int, int] = {}
         self.places: dict[int, list[int]] = {}
         for i, word in enumerate(words):
-            self.bits[word] = self.bits.get(word, 0) | (1 << i)
             self.places.setdefault(word, []).append(i)
 
+    def equal(self, word: int) -> int:
+        """The places of a word as bits; masks are kept up to ``MASK_BYTES``."""
+        mask = self.bits.get(word)
+        if mask is None:
+            size = len(self.words) // 8 + 1
+            marked = bytearray(size)
+            for i in self.places.get(word, ()):
+                marked[i >> 3] |= 1 << (i & 7)
+            mask = int.from_bytes(marked, "little")
+            if len(self.bits) * size >= MASK_BYTES:
+                self.bits.clear()
+            self.bits[word] = mask
+        return mask
+
     def start(self) -> tuple[int, int, int]:
         return self.full, 0, len(self.words)
 
     def advance(self, state: tuple[int, int, int], word: int) -> tuple[tuple[int, int, int], int, int]:
         """The next row of the edit matrix, with its free-diagonal and horizontal-increase bits."""
         up, down, edits = state
-        equal = self.bits.get(word, 0)
+        equal = self.equal(word)
         diagonal = (((equal & up) + up) ^ up) | equal | down
         increase = down | ~(diagonal | up) & self.full
         decrease = up & diagonal
@@ -69,44 +88,67 @@ class _Reference:
         return out
 
 
-class _Suffixes:
-    """Distances of what follows a position in the hypothesis to every suffix of the reference.
+# Rows of the edit matrix between two states that are kept.
+STRIDE = 64
 
-    Every ``STRIDE``-th state of the backward pass is kept, and those in between are made again when they are asked
-    for, so that memory grows with the reference, not with the matrix.
-    """
 
-    STRIDE = 64
+class _States:
+    """The states after each number of words of a hypothesis."""
 
     def __init__(self, ref: _Reference, words: list[int]):
-        self.back = _Reference(ref.words[::-1])
-        self.words = words[::-1]
-        self.kept = [self.back.start()]
+        self.ref, self.words = ref, words
+        self.kept = [ref.start()]
         state = self.kept[0]
-        for k, word in enumerate(self.words, 1):
-            state = self.back.advance(state, word)[0]
-            if k % self.STRIDE == 0:
+        for k, word in enumerate(words, 1):
+            state = ref.advance(state, word)[0]
+            if k % STRIDE == 0:
                 self.kept.append(state)
-        self.segment, self.states = -1, []
+        self.edits = state[2]
+        self.segments: dict[int, list[tuple[int, int, int]]] = {}
+
+    def after(self, count: int) -> tuple[int, int, int]:
+        """The state after ``count`` words. The last few segments asked for stay, as calls come from near places."""
+        number = count // STRIDE
+        if number not in self.segments:
+            if len(self.segments) >= 4:
+                self.segments.pop(next(iter(self.segments)))
+            states = [self.kept[number]]
+            for word in self.words[number * STRIDE : (number + 1) * STRIDE]:
+                states.append(self.ref.advance(states[-1], word)[0])
+            self.segments[number] = states
+        return self.segments[number][count - number * STRIDE]
+
+    def steps(self, number: int) -> list[tuple[int, int]]:
+        """Free-diagonal and horizontal-increase bits of the words of a segment."""
+        state, out = self.kept[number], []
+        for word in self.words[number * STRIDE : (number + 1) * STRIDE]:
+            state, diagonal, increase = self.ref.advance(state, word)
+            out.append((diagonal, increase))
+        return out
+
+
+class _Suffixes:
+    """Distances of what follows a position in the hypothesis to every suffix of the reference."""
+
+    def __init__(self, ref: _Reference, words: list[int]):
+        self.back = _Reference(ref.words[::-1])
+        self.states = _States(self.back, words[::-1])
+        self.size = len(words)
         self.rows: dict[int, np.ndarray] = {}
 
     def row(self, at: int) -> np.ndarray:
         """For each reference position the distance of the words from ``at`` on to the rest from there."""
         if at not in self.rows:
-            done = len(self.words) - at
-            segment = done // self.STRIDE
-            if segment != self.segment:
-                self.segment, self.states = segment, [self.kept[segment]]
-                for word in self.words[segment * self.STRIDE : (segment + 1) * self.STRIDE]:
-                    self.states.append(self.back.advance(self.states[-1], word)[0])
-            if len(self.rows) >= 2 * self.STRIDE:
+            done = self.size - at
+            if len(self.rows) >= 2 * STRIDE:
                 self.rows.clear()
-            self.rows[at] = self.back.row(self.states[done - segment * self.STRIDE], done)[::-1]
+            self.rows[at] = self.back.row(self.states.after(done), done)[::-1]
         return self.rows[at]
 
 
-def _alignment(ref: _Reference, words: list[int], rows: list[tuple[int, int]]):
+def _alignment(ref: _Reference, words: list[int], states: _States):
     """For each reference word its hypothesis position, and flags for the words that need an edit."""
+    segment, steps = -1, []
     ref_wrong, hyp_wrong = [False] * len(ref.words), [False] * len(words)
     aligned = [-1] * len(ref.words)
     i, j = len(words), len(ref.words)
@@ -114,7 +156,10 @@ def _alignment(ref: _Reference, words: list[int], rows: list[tuple[int, int]]):
         take_hyp, take_ref = i > 0, j > 0
         same = False
         if i and j:
-            diagonal, increase = rows[i - 1]
+            if (i - 1) // STRIDE != segment:
+                segment = (i - 1) // STRIDE
+                steps = states.steps(segment)
+            diagonal, increase = steps[i - 1 - segment * STRIDE]
             bit = 1 << (j - 1)
             same = words[i - 1] == ref.words[j - 1]
             if not same and diagonal & bit:
@@ -165,9 +210,9 @@ def _move(words: list[int], at: int, length: int, before: int) -> tuple[int, int
     return min(at, target), max(at, target) + length, rest[:target] + words[at : at + length] + rest[target:]
 
 
-def _best_shift(ref: _Reference, words: list[int], states: list, rows: list, tried: int, limits: ShiftLimits):
+def _best_shift(ref: _Reference, words: list[int], states: _States, tried: int, limits: ShiftLimits):
     """The shift that saves most; then the longest block, the earliest block, the earliest target."""
-    aligned, ref_wrong, hyp_wrong = _alignment(ref, words, rows)
+    aligned, ref_wrong, hyp_wrong = _alignment(ref, words, states)
     rest = _Suffixes(ref, words)
     best = None
     for at, place, length in _blocks(ref, words, ref_wrong, hyp_wrong, limits):
@@ -183,10 +228,10 @@ def _best_shift(ref: _Reference, words: list[int], states: list, rows: list, tri
             # The words between are passed by the block or the block by them: no move saves more than both ways.
             if best is not None and 2 * min(length, end - same - length) < best[0][0]:
                 continue
-            state = states[same]
+            state = states.after(same)
             for word in moved[same:end]:
                 state = ref.advance(state, word)[0]
-            saved = states[-1][2] - int((ref.row(state, end) + rest.row(end)).min())
+            saved = states.edits - int((ref.row(state, end) + rest.row(end)).min())
             rank = (saved, length, -at, -before)
             if best is None or rank > best[0]:
                 best = rank, moved
@@ -201,15 +246,11 @@ def translation_edits(hyp: list[int], reference: list[int], limits: ShiftLimits
         return len(hyp)
     ref, words, shifts, tried = _Reference(reference), hyp, 0, 0
     while True:
-        states, rows = [ref.start()], []
-        for word in words:
-            state, diagonal, increase = ref.advance(states[-1], word)
-            states.append(state)
-            rows.append((diagonal, increase))
-        edits = states[-1][2]
+        states = _States(ref, words)
+        edits = states.edits
         if not edits:
             return shifts
-        best, tried = _best_shift(ref, words, states, rows, tried, limits)
+        best, tried = _best_shift(ref, words, states, tried, limits)
         if best is None or best[0][0] <= 0:
             return shifts + edits
         shifts, words = shifts + 1, best[1]

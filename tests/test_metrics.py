@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -241,6 +242,17 @@ def test_rouge_by_hand(spark):
     assert got[2]["rouge1"] == 0 and got[3]["rougeL"] == 0
 
 
+def test_translation_edits_of_a_long_row_need_little_memory():
+    draw = random.Random(8)
+    ref = [draw.randrange(10**6) for _ in range(24_000)]
+    hyp = ref[:5000] + ref[5008:5020] + ref[5000:5008] + ref[5020:20_000] + [-1] + ref[20_001:]
+    tracemalloc.start()
+    edits = translation_edits(hyp, ref)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert edits == 2 and peak < 40e6
+
+
 def test_registry():
     assert scoring.metric("sacrebleu").smooth == "exp" and scoring.metric("word_edit_rate").shifts is False
     with pytest.raises(ValueError, match="unknown metric"):
