@@ -231,7 +231,7 @@ def decode_ids_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str, vocab: vocabulary.Vocabulary) -> DataFrame:
-    rows = damaged_ids(spark, sf_dir, vocab).withColumn("ids", repaired())
+    rows = damaged_ids(spark, sf_dir, vocab).select("doc_id", "line_no", repaired().alias("ids"))
     text = vocabulary.decode(rows, "ids", vocab, ["doc_id", "line_no"])
     return text.select("doc_id", "line_no", "text")
 
