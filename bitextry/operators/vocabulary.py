@@ -323,7 +323,8 @@ def _in_blocks(
         if held:
             yield from block()
 
-    return checkpointed(df.select(*kept, column).mapInArrow(cut, schema))
+    # The codes are bytes already, so only an entropy coder makes them smaller.
+    return checkpointed(df.select(*kept, column).mapInArrow(cut, schema), "zstd")
 
 
 def _filled(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,18 +65,29 @@ def seq2seq_rows(
     instruction: str = "",
     max_length: int = 128,
     cut: Tokenizer = whitespace_tokens,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add ``input_ids, attention_mask, labels`` to ``src, trg`` rows for sequence-to-sequence training."""
-    tokens = pairs.select("*", cut(instruction_prefix("src", instruction)).alias("_in"), cut(F.col("trg")).alias("_out"))
-    vocab = vocabulary.prepare(vocab)
-    for source, ids in (("_in", "input_ids"), ("_out", "labels")):
-        tokens = vocabulary.encode(tokens, source, vocab, keys, ids)
-    room = max_length - 1
+    """Add ``input_ids, attention_mask, labels`` to ``src, trg`` rows for sequence-to-sequence training.
 
-    def ended(ids: str):
-        return F.concat(arrays.truncate(ids, room), F.array(F.lit(vocabulary.END_ID)))
-
-    cut_rows = tokens.withColumns({"input_ids": ended("input_ids"), "labels": ended("labels")})
+    With ``keep``, only these columns and ``keys`` stay beside the new ones. Tokens beyond ``max_length`` are cut before
+    they are looked up, and both sides are looked up at once, so that rows of a large vocabulary move once.
+    """
+    vocab, room = vocabulary.prepare(vocab), max_length - 1
+    kept = [c for c in pairs.columns if keep is None or c in keep or c in keys]
+    none = F.array().cast("array<string>")
+    sides = (("_in", cut(instruction_prefix("src", instruction))), ("_out", cut(F.col("trg"))))
+    tokens = pairs.select(*kept, *(F.coalesce(arrays.truncate(cells, room), none).alias(name) for name, cells in sides))
+    both = tokens.select(*kept, F.concat("_in", "_out").alias("_ids"), F.size("_in").alias("_size"))
+    coded = vocabulary.encode(both, "_ids", vocab, keys, "_ids")
+
+    def ended(ids: Column) -> Column:
+        return F.concat(ids, F.array(F.lit(vocabulary.END_ID)))
+
+    cut_rows = coded.select(
+        *kept,
+        ended(F.slice("_ids", F.lit(1), F.col("_size"))).alias("input_ids"),
+        ended(F.slice("_ids", F.col("_size") + 1, F.greatest(F.size("_ids") - F.col("_size"), F.lit(0)))).alias("labels"),
+    )
     return cut_rows.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 

@@ -47,14 +47,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/bitextry/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` as a table written to the shared folder, which cuts its lineage.
 
     The table survives the loss of executors, freezes non-deterministic columns such as row ids, and is
     columnar, so later steps read only the columns they use.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

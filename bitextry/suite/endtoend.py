@@ -231,7 +231,7 @@ def translation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seq2seq_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.pairs(spark, sf_dir).select("doc_id", "line_no", F.col("hyp").alias("src"), F.col("ref").alias("trg"))
-    rows = jobs.seq2seq_rows(pairs, views.vocabulary(spark, sf_dir), ["doc_id", "line_no"], INSTRUCTION)
+    rows = jobs.seq2seq_rows(pairs, views.vocabulary(spark, sf_dir), ["doc_id", "line_no"], INSTRUCTION, keep=[])
     return rows.select(
         "doc_id",
         "line_no",
