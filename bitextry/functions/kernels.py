@@ -60,6 +60,83 @@ def clipped_matches(
     """
     sides = [hyp, *refs]
     rows = len(hyp[1])
+    lengths = np.concatenate([n for _, n in sides])
+    codes, different = _dense(np.concatenate([c for c, _ in sides]))
+    bits, side_bits = different.bit_length(), len(refs).bit_length()
+    if max(rows - 1, 0).bit_length() + max_order * bits + side_bits < 64:
+        return _matches_by_sort(codes, lengths, rows, bits, side_bits, max_order)
+    if rows == 1:
+        return _matches_by_hash(hyp, refs, max_order)
+    # Fewer rows have fewer different tokens.
+    half = rows // 2
+    ends = [int(n[:half].sum()) for _, n in sides]
+    first, *firsts = [(c[:end], n[:half]) for (c, n), end in zip(sides, ends)]
+    second, *seconds = [(c[end:], n[half:]) for (c, n), end in zip(sides, ends)]
+    return np.concatenate([clipped_matches(first, firsts, max_order), clipped_matches(second, seconds, max_order)])
+
+
+def _dense(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Codes renumbered from 1 without gaps, and how many different ones there are."""
+    if len(codes) and codes.max() < 1 << 21:
+        seen = np.zeros(int(codes.max()) + 1, dtype=bool)
+        seen[codes] = True
+        numbers = np.cumsum(seen)
+        return numbers[codes], int(numbers[-1])
+    values, codes = np.unique(codes, return_inverse=True)
+    return codes + 1, len(values)
+
+
+def _matches_by_sort(
+    codes: np.ndarray, lengths: np.ndarray, rows: int, bits: int, side_bits: int, max_order: int
+) -> np.ndarray:
+    """Matches of all orders from one sort of the longest n-grams as numbers: row, tokens, side.
+
+    N-grams of every order are runs of the sorted numbers. Tokens past the end of a text are 0.
+    """
+    out = np.zeros((rows, max_order), dtype=np.int64)
+    if not len(codes):
+        return out
+    gap = max_order - 1
+    texts = np.arange(len(lengths))
+    at = np.arange(len(codes)) + np.repeat(texts * gap, lengths)
+    apart = np.zeros(len(codes) + len(lengths) * gap + max_order, dtype=np.int64)
+    apart[at] = codes
+    size = len(apart) - max_order
+    gram = apart[:size].copy()
+    for k in range(1, max_order):
+        gram <<= bits
+        gram |= apart[k : k + size]
+    gram = gram[at]
+    gram <<= side_bits
+    gram |= np.repeat((texts % rows << max_order * bits + side_bits) | texts // rows, lengths)
+    gram.sort()
+    # How many n-grams of each reference come before each place; the others are the hypothesis'.
+    side = gram & (1 << side_bits) - 1
+    sides = len(lengths) // rows
+    before = [np.append(0, np.cumsum(side == k)) for k in range(1, sides)]
+    gram >>= side_bits
+    starts = np.arange(len(gram))
+    for order in range(max_order, 0, -1):
+        first = np.append(0, np.flatnonzero(gram[1:] != gram[:-1]) + 1)
+        gram, starts = gram.take(first), starts.take(first)
+        edges = np.append(starts, len(side))
+        allowed = [np.diff(n.take(edges)) for n in before]
+        found = np.diff(edges) - sum(allowed)
+        matches = np.minimum(found, np.maximum.reduce(allowed) if sides > 2 else allowed[0])
+        matches *= (gram & (1 << bits) - 1) != 0
+        rises = np.searchsorted(gram, np.arange(rows + 1) << order * bits)
+        some = np.flatnonzero(rises[1:] > rises[:-1])
+        out[some, order - 1] = np.add.reduceat(matches, rises[some])
+        gram >>= bits
+    return out
+
+
+def _matches_by_hash(
+    hyp: tuple[np.ndarray, np.ndarray], refs: list[tuple[np.ndarray, np.ndarray]], max_order: int
+) -> np.ndarray:
+    """:func:`clipped_matches` order by order, for tokens of any number."""
+    sides = [hyp, *refs]
+    rows = len(hyp[1])
     codes = np.concatenate([c for c, _ in sides])
     lengths = np.concatenate([n for _, n in sides])
     row = np.tile(np.arange(rows), len(sides))

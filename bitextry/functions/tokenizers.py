@@ -21,6 +21,10 @@ MTEVAL_13A_RULES = (
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 )
+# A mark that those rules set apart: any but ``.``, ``,`` and ``-``; one of the first two not between digits; a dash after a digit.
+MTEVAL_13A_APART = (
+    r"[\{-\~\[-\`!-\&\(-\/\:-\@](?:(?<=[^.,\-])|(?<=[^0-9][.,])|(?<=[.,])(?![0-9])|(?<=[0-9]-))"
+)
 # What mteval-v13a replaces before the rules, as (literal, replacement).
 MTEVAL_13A_LITERALS = (
     ("<skipped>", ""),
@@ -80,19 +84,21 @@ def _rewrite(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def mteval_13a_tokens(text: Column | str) -> Column:
     """The 13a tokenization used by default in machine-translation scoring.
 
-    The second rule pairs each ``.`` or ``,`` with the character before it, which makes the regex engine
-    stop at nearly every character. Looking for the mark first is twice as fast and gives the same
-    tokens, except that in a run of marks before a digit the pairing matters; such lines take the
-    rules as written.
+    Outside a run of marks before a digit, the rules set each mark apart by what is beside it, so one
+    pass gives the same tokens; in such a run the pairing matters, and these lines take the rules as
+    written. The first rule also puts spaces around every space, which changes no token.
     """
     out = as_column(text)
     for literal, replacement in MTEVAL_13A_LITERALS:
         out = F.replace(out, F.lit(literal), F.lit(replacement))
     out = F.concat(F.lit(" "), out, F.lit(" "))
-    punctuation, _, before_other, dash = MTEVAL_13A_RULES
-    faster = (punctuation, (r"[.,](?<=[^0-9].)", " $0 "), before_other, dash)
-    exact = F.when(out.rlike(r"[.,]{2}[0-9]"), _rewrite(out, MTEVAL_13A_RULES)).otherwise(_rewrite(out, faster))
-    return whitespace_tokens(exact)
+
+    def ruled(line: Column) -> Column:
+        once = F.regexp_replace(line, MTEVAL_13A_APART, " $0 ")
+        return whitespace_tokens(F.when(line.rlike(r"[.,]{2}[0-9]"), _rewrite(line, MTEVAL_13A_RULES)).otherwise(once))
+
+    # A lambda binds the line, which would else be made again at each use.
+    return F.transform(F.array(out), ruled)[0]
 
 
 def international_tokens(text: Column | str) -> Column:

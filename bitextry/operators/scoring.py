@@ -94,7 +94,7 @@ class Chrf:
         case = F.lower if self.lowercase else (lambda x: x)
 
         def squeeze(text: Column) -> Column:
-            return F.regexp_replace(case(text), r"(?U)[\s\x1c-\x1f]+", "")
+            return F.regexp_replace(F.replace(case(text), F.lit(" "), F.lit("")), r"(?U)[\s\x1c-\x1f]+", "")
 
         return kernels.chrf_statistics(squeeze(hyp), F.transform(refs, squeeze))
 
