@@ -3,7 +3,8 @@
 The trees keep the invariants of simplified cover trees (Izbicki and Shelton 2015): a node of level ``i`` covers its
 rows within ``base ** i``, and its children are more than ``base ** (i - 1)`` apart. A pair of nodes is skipped, inner
 nodes of queries included, when even the best inner product that centres and covering radii allow is below the worst
-k-th score among the queries below the query node.
+k-th score among the queries below the query node. Leaves of queries that share a parent are answered together, so that
+vectors which trees cannot tell apart, where nothing is out of reach, cost little more than one matrix product.
 
 Large tables are cut by the top of a cover tree over a bounded sample: every row goes to its nearest cell, and a query
 goes only to cells that can still hold one of its k best. Cells beyond a block are cut into blocks.
@@ -24,6 +25,8 @@ from bitextry.session import checkpointed
 
 EXACT = 2.0**53
 LEAST = np.iinfo(np.int64).min
+# Fewer pairs of nodes than this take less time than the calls that would tell them apart.
+PAIRS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,8 @@ class SearchSpec:
     """Neighbours per query, vectors in a data and a query block, vectors of a leaf, and the ratio of tree levels.
 
     ``cells`` bounds the cells that a table is cut into, ``sample`` the rows that their centres are chosen from; both
-    change the work only, never the result. ``batch`` vectors are compared with a leaf of queries at once.
+    change the work only, never the result. ``batch`` vectors are compared with a group of up to ``group`` leaves of
+    queries at once.
     """
 
     k: int = 5
@@ -41,7 +45,8 @@ class SearchSpec:
     base: float = 1.3
     cells: int = 1024
     sample: int = 8192
-    batch: int = 512
+    batch: int = 1024
+    group: int = 256
 
 
 def whole(vectors: np.ndarray) -> bool:
@@ -83,6 +88,7 @@ class CoverTree:
             self.children[node] = np.array([child for child, _ in made])
             waiting.extend(made)
         self.center, self.radius = np.array(self.center), np.array(self.radius)
+        self.low, self.high = np.array(self.low), np.array(self.high)
         self.norm = np.sqrt(np.einsum("ij,ij->i", vectors[self.center], vectors[self.center]))
         self.inner = np.array([len(c) > 0 for c in self.children])
 
@@ -118,8 +124,13 @@ class CoverTree:
     def rows(self, node: int) -> np.ndarray:
         return self.order[self.low[node] : self.high[node]]
 
+    def rows_of(self, nodes: np.ndarray) -> np.ndarray:
+        """The rows of several nodes, one node after the other."""
+        sizes = self.high[nodes] - self.low[nodes]
+        return self.order[np.repeat(self.low[nodes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
-def best_products(dots: np.ndarray, norm: float, radius: float, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+
+def best_products(dots: np.ndarray, norm: float | np.ndarray, radius: float | np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
     """No inner product of two vectors within the radii of the centres is larger; with room for rounding."""
     top = dots + norm * radii + radius * norms + radius * radii
     # Scores end at the least 64-bit number, so a bound below it must not tell them apart.
@@ -144,79 +155,124 @@ class Search:
 
     def __init__(self, queries, query_ids, data, data_ids, spec: SearchSpec, floor=None) -> None:
         self.queries, self.query_ids, self.data, self.data_ids, self.spec = queries, query_ids, data, data_ids, spec
-        self.best: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # (score, -id), a heap of k
+        # The best found so far, in order: score and id in the first ``filled`` places of each query.
+        self.scores = np.zeros((len(query_ids), spec.k), np.int64)
+        self.ids = np.zeros((len(query_ids), spec.k), np.int64)
+        self.filled = np.zeros(len(query_ids), np.int64)
         self.worst = np.full(len(query_ids), -np.inf) if floor is None else np.asarray(floor, np.float64).copy()
+        reach = np.abs(queries).max(initial=0.0) * np.abs(data).max(initial=0.0) * data.shape[1]
+        self.exact = bool(reach < EXACT)
         self.compared = 0
 
+    @property
+    def best(self) -> list[list[tuple[int, int]]]:
+        """Score and negative id of what each query has found."""
+        return [[(int(s), -int(i)) for s, i in zip(self.scores[q, :n], self.ids[q, :n])] for q, n in enumerate(self.filled)]
+
     def run(self) -> None:
         self.asked, self.held = CoverTree(self.queries, self.spec), CoverTree(self.data, self.spec)
-        self.prime()
+        self.asked_centers, self.held_centers = self.queries[self.asked.center], self.data[self.held.center]
+        leaves = np.flatnonzero(~self.asked.inner)
+        unknown = leaves[[bool(np.isneginf(self.worst[self.asked.rows(q)]).any()) for q in leaves]]
+        for part in self.groups(unknown):
+            self.prime(part, 0)
         self.visit(0, np.array([0]))
 
-    def prime(self) -> None:
-        """A first k-th score for each leaf of queries, from the part of the data that promises most.
+    def groups(self, leaves: np.ndarray) -> list[np.ndarray]:
+        return [leaves[low : low + self.spec.group] for low in range(0, len(leaves), self.spec.group)]
+
+    def prime(self, leaves: np.ndarray, node: int) -> None:
+        """A first k-th score for leaves of queries, from the part of the data below ``node`` that promises most.
 
         It is a bound only: what reaches it is found again by :meth:`visit`.
         """
-        for q in np.flatnonzero(~self.asked.inner):
-            node = 0
-            while self.held.inner[node] and self.held.high[node] - self.held.low[node] > self.spec.batch:
-                children = self.held.children[node]
-                size = np.array([self.held.high[c] - self.held.low[c] for c in children])
-                children = children[size > self.spec.k] if (size > self.spec.k).any() else children
-                node = children[int(self.bounds(q, children).argmax())]
-            rows, own = self.asked.rows(q), self.held.rows(node)[: self.spec.batch]
-            scores = products(self.queries[rows], self.data[own]).astype(np.float64)
-            scores[self.data_ids[own] == self.query_ids[rows][:, None]] = -np.inf
+        if self.held.inner[node] and self.held.high[node] - self.held.low[node] > self.spec.batch:
+            children = self.held.children[node]
+            large = self.held.high[children] - self.held.low[children] > self.spec.k
+            children = children[large] if large.any() else children
+            chosen = children[self.bounds(leaves, children).argmax(axis=1)]
+            for child in np.unique(chosen):
+                self.prime(leaves[chosen == child], child)
+            return
+        rows, own = self.asked.rows_of(leaves), self.held.rows(node)[: self.spec.batch]
+        if len(own) < self.spec.k:
+            return
+        # Queries of a leaf may be many, as equal ones are.
+        for low in range(0, len(rows), self.spec.query_block):
+            some = rows[low : low + self.spec.query_block]
+            scores = products(self.queries[some], self.data[own]).astype(np.float64)
+            scores[self.data_ids[own] == self.query_ids[some][:, None]] = -np.inf
             self.compared += scores.size
-            if scores.shape[1] >= self.spec.k:
-                self.raise_floor(rows, np.partition(scores, -self.spec.k, axis=1)[:, -self.spec.k])
+            self.raise_floor(some, np.partition(scores, -self.spec.k, axis=1)[:, -self.spec.k])
 
     def raise_floor(self, rows: np.ndarray, scores: np.ndarray) -> None:
         # A score as a double may be rounded up, and a floor must not be.
         big = np.abs(scores) >= EXACT
         self.worst[rows] = np.maximum(self.worst[rows], np.where(big, np.nextafter(scores, -np.inf), scores))
 
-    def bounds(self, q: int, nodes: np.ndarray) -> np.ndarray:
-        dots = self.data[self.held.center[nodes]] @ self.queries[self.asked.center[q]]
-        return best_products(dots, self.asked.norm[q], self.asked.radius[q], self.held.norm[nodes], self.held.radius[nodes])
+    def bounds(self, asking: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """For each query node of ``asking`` and each data node, what no inner product below them exceeds."""
+        dots = self.asked_centers[asking] @ self.held_centers[nodes].T
+        norm, radius = self.asked.norm[asking][:, None], self.asked.radius[asking][:, None]
+        return best_products(dots, norm, radius, self.held.norm[nodes], self.held.radius[nodes])
 
     def visit(self, q: int, nodes: np.ndarray) -> None:
         """Answers the queries below ``q`` from the data below ``nodes``, of which those out of reach are skipped."""
         asked, held = self.asked, self.held
+        if not asked.inner[q]:
+            return self.finish(np.array([q]), nodes)
         while True:
-            bounds = self.bounds(q, nodes)
-            reach = bounds >= self.worst[asked.rows(q)].min()
-            nodes, bounds = nodes[reach], bounds[reach]
+            nodes = nodes[self.bounds(np.array([q]), nodes)[0] >= self.worst[asked.rows(q)].min()]
             if not len(nodes):
                 return
-            if not asked.inner[q]:
-                return self.finish(q, nodes, bounds)
             large = held.inner[nodes] & (held.radius[nodes] > asked.radius[q])
             if not large.any():
                 break
             nodes = np.concatenate([nodes[~large], *(held.children[r] for r in nodes[large])])
-        for child in asked.children[q]:
+        inner = asked.inner[asked.children[q]]
+        for part in self.groups(asked.children[q][~inner]):
+            self.finish(part, nodes)
+        for child in asked.children[q][inner]:
             self.visit(child, nodes)
 
-    def finish(self, q: int, nodes: np.ndarray, bounds: np.ndarray) -> None:
-        """The nodes in reach of a leaf of queries, the most promising first."""
-        rows = self.asked.rows(q)
+    def finish(self, leaves: np.ndarray, nodes: np.ndarray) -> None:
+        """The nodes in reach of a group of leaves of queries, the most promising first.
+
+        Where less than a tenth of many pairs is in reach, the leaves go on in smaller groups.
+        """
+        sizes = self.asked.high[leaves] - self.asked.low[leaves]
+        rows, starts = self.asked.rows_of(leaves), np.cumsum(sizes) - sizes
+
+        def in_reach(bounds: np.ndarray) -> np.ndarray:
+            return bounds >= np.minimum.reduceat(self.worst[rows], starts)[:, None]
+
+        bounds = self.bounds(leaves, nodes)
+        reach = in_reach(bounds)
+        some = reach.any(axis=0)
+        nodes, bounds, reach = nodes[some], bounds[:, some], reach[:, some]
+        if not len(nodes):
+            return
+        if len(leaves) > 1 and reach.size > PAIRS and reach.mean() < 0.1:
+            for part in np.array_split(leaves, 2):
+                self.finish(part, nodes)
+            return
         heap: list[tuple[float, int]] = []
 
         def take(nodes: np.ndarray, bounds: np.ndarray) -> None:
-            inner = self.held.inner[nodes]
-            for bound, node in zip(bounds[inner], nodes[inner], strict=True):
+            top, inner = bounds.max(axis=0), self.held.inner[nodes]
+            for bound, node in zip(top[inner], nodes[inner], strict=True):
                 heapq.heappush(heap, (-float(bound), int(node)))
-            nodes, bounds = nodes[~inner], bounds[~inner]
-            order = np.argsort(-bounds, kind="stable")
-            nodes, bounds = nodes[order], bounds[order]
-            sizes = np.cumsum([self.held.high[r] - self.held.low[r] for r in nodes], dtype=np.int64)
+            order = np.flatnonzero(~inner)
+            order = order[np.argsort(-top[order], kind="stable")]
+            ends = np.cumsum(self.held.high[nodes[order]] - self.held.low[nodes[order]])
             low = 0
-            while low < len(nodes) and bounds[low] >= self.worst[rows].min():
-                done = sizes[low - 1] if low else 0
-                high = max(low + 1, int(np.searchsorted(sizes, done + self.spec.batch, side="right")))
-                self.compare(rows, np.concatenate([self.held.rows(r) for r in nodes[low:high]]))
+            while low < len(order) and top[order[low]] >= self.worst[rows].min():
+                done = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, done + self.spec.batch, side="right")))
+                batch = order[low:high]
+                reach = in_reach(bounds[:, batch])
+                asking = rows[np.repeat(reach.any(axis=1), sizes)]
+                self.compare(asking, self.held.rows_of(nodes[batch[reach.any(axis=0)]]))
                 low = high
 
         take(nodes, bounds)
@@ -226,34 +282,51 @@ class Search:
             if -negative < self.worst[rows].min():
                 return
             children = self.held.children[node]
-            bounds = self.bounds(q, children)
-            reach = bounds >= self.worst[rows].min()
-            take(children[reach], bounds[reach])
+            bounds = self.bounds(leaves, children)
+            some = in_reach(bounds).any(axis=0)
+            if some.any():
+                take(children[some], bounds[:, some])
 
     def compare(self, asking: np.ndarray, rows: np.ndarray) -> None:
-        for low in range(0, len(rows), 4 * self.spec.batch):
-            self.compare_some(asking, rows[low : low + 4 * self.spec.batch])
+        # Equal vectors are one leaf, however many they are.
+        for first in range(0, len(asking), self.spec.query_block):
+            for low in range(0, len(rows), 2 * self.spec.batch):
+                self.compare_some(asking[first : first + self.spec.query_block], rows[low : low + 2 * self.spec.batch])
 
     def compare_some(self, asking: np.ndarray, rows: np.ndarray) -> None:
+        k = self.spec.k
         self.compared += len(asking) * len(rows)
-        scores = products(self.queries[asking], self.data[rows])
-        ids = self.data_ids[rows]
+        a, b, ids = self.queries[asking], self.data[rows], self.data_ids[rows]
+        scores = a @ b.T if self.exact else products(a, b)
         # Rows of the query's own id must not take the places of others.
         promising = (scores >= self.worst[asking][:, None]) & (ids != self.query_ids[asking][:, None])
-        for i in np.flatnonzero(promising.any(axis=1)):
-            row = asking[i]
-            found = self.best[row]
-            hits = np.flatnonzero(promising[i])
-            if len(hits) > self.spec.k:
-                hits = hits[np.lexsort((ids[hits], -scores[i, hits]))[: self.spec.k]]
-            for j in hits:
-                entry = (int(scores[i, j]), -int(ids[j]))
-                if len(found) < self.spec.k:
-                    heapq.heappush(found, entry)
-                elif entry > found[0]:
-                    heapq.heapreplace(found, entry)
-            if len(found) == self.spec.k:
-                self.raise_floor(np.array([row]), np.array([float(found[0][0])]))
+        many = np.flatnonzero(np.count_nonzero(promising, axis=1) > 4 * k)
+        if len(many):
+            offered = np.where(promising[many], scores[many], LEAST)
+            promising[many] &= scores[many] >= np.partition(offered, -k, axis=1)[:, [-k]]
+        at, hit = np.nonzero(promising)
+        if not len(at):
+            return
+        changed = np.unique(at)
+        kept, place = np.nonzero(np.arange(k) < self.filled[asking[changed]][:, None])
+        row = np.concatenate([asking[at], asking[changed[kept]]])
+        score = np.concatenate([scores[at, hit].astype(np.int64), self.scores[asking[changed[kept]], place]])
+        id_ = np.concatenate([ids[hit], self.ids[asking[changed[kept]], place]])
+        # The complement orders downwards and has no overflow.
+        order = np.lexsort((id_, ~score, row))
+        row = row[order]
+        new = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        place = np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
+        best = place < k
+        self.scores[row[best], place[best]], self.ids[row[best], place[best]] = score[order][best], id_[order][best]
+        self.filled[row[new]] = np.minimum(k, np.diff(np.append(new, len(row))))
+        full = row[new][self.filled[row[new]] == k]
+        self.raise_floor(full, self.scores[full, k - 1].astype(np.float64))
+
+    def found(self) -> pd.DataFrame:
+        """``query_id, vec_id, score`` of what was found."""
+        row, place = np.nonzero(np.arange(self.spec.k) < self.filled[:, None])
+        return pd.DataFrame({"query_id": self.query_ids[row], "vec_id": self.ids[row, place], "score": self.scores[row, place]}).astype("int64")
 
 
 class Cells:
@@ -269,7 +342,8 @@ class Cells:
                 continue
             for child in tree.children[node]:
                 heapq.heappush(open_nodes, (-tree.radius[child], int(child)))
-        nodes = sorted([*closed, *(node for _, node in open_nodes)], key=lambda n: -tree.radius[n])[: spec.cells]
+        # One node may have most of the sample as children; as many as are asked for are enough.
+        nodes = sorted([*closed, *(node for _, node in open_nodes)], key=lambda n: -tree.radius[n])[: min(number, spec.cells)]
         self.centers = sample[np.sort(tree.center[nodes])]
 
     def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +351,15 @@ class Cells:
         centers = widened(self.centers, vectors.shape[1])
         cell, apart = np.zeros(len(vectors), np.int32), np.full(len(vectors), np.inf)
         vectors, exact = widened(vectors, centers.shape[1]), whole(vectors) and whole(centers)
+        if exact:
+            norms = np.einsum("ij,ij->i", centers, centers)
+            for low in range(0, len(vectors), 1024):
+                some = vectors[low : low + 1024]
+                squares = np.einsum("ij,ij->i", some, some)[:, None] + norms - 2 * (some @ centers.T)
+                cell[low : low + 1024], apart[low : low + 1024] = squares.argmin(axis=1), np.sqrt(squares.min(axis=1))
+            return cell, apart
         for number, center in enumerate(centers):
-            here = distances(vectors, center, exact)
+            here = distances(vectors, center, False)
             closer = here < apart
             cell[closer], apart[closer] = number, here[closer]
         return cell, apart
@@ -401,8 +482,7 @@ def meet(queries: DataFrame, data: DataFrame, spec: SearchSpec) -> DataFrame:
             np.where(np.abs(floor) >= EXACT, np.nextafter(floor, -np.inf), floor),
         )
         task.run()
-        found = [(int(q), -i, s) for q, best in zip(task.query_ids, task.best, strict=True) for s, i in best]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        return task.found()
 
     def renewed(df: DataFrame, *names: str) -> DataFrame:
         # Both sides may come from one table, and a cogroup must tell their columns apart.

@@ -667,6 +667,42 @@ def test_dual_search_skips_pairs_of_clustered_vectors():
         assert sorted((-s, -i) for s, i in task.best[row]) == best
 
 
+def test_search_of_unclustered_vectors_compares_groups_of_leaves():
+    """Where no two vectors are near, each is a leaf of its own, and leaves are not compared one by one."""
+    rng = np.random.default_rng(8)
+    data = np.floor(256 * rng.normal(size=(1500, 64)) / 8)
+    asked, calls = np.arange(0, len(data), 5), []
+
+    class Counted(covertree.Search):
+        def compare_some(self, asking, rows):
+            calls.append(len(asking))
+            super().compare_some(asking, rows)
+
+    task = Counted(data[asked], asked, data, np.arange(len(data)), covertree.SearchSpec())
+    task.run()
+    assert len(calls) < 0.5 * len(asked)
+    scores = (data[asked] @ data.T).astype(np.int64)
+    for row, q in enumerate(asked):
+        best = sorted((-int(s), i) for i, s in enumerate(scores[row]) if i != q)[:5]
+        assert sorted((-s, -i) for s, i in task.best[row]) == best
+    # The sample's tree has nearly all of it below the root, and a table is still cut into no more cells than asked for.
+    assert len(covertree.Cells(data, 7, covertree.SearchSpec()).centers) == 7
+
+
+def test_search_over_equal_vectors_and_ties():
+    """Large leaves of equal vectors on both sides: all scores tie, and the smallest ids are best."""
+    data = np.concatenate([np.full((3000, 3), 5.0), np.full((700, 3), -5.0)])
+    ids = np.random.default_rng(9).permutation(len(data))
+    spec = covertree.SearchSpec(batch=64, query_block=100)
+    task = covertree.Search(data[:300], ids[:300], data, ids, spec)
+    task.run()
+    for row, q in enumerate(ids[:300]):
+        assert sorted(-i for _, i in task.best[row]) == sorted(i for i in ids[:3000] if i != q)[:5]
+    few = covertree.Search(data[:2], ids[:2], data[:4], ids[:4], spec)
+    few.run()
+    assert sorted(-i for _, i in few.best[0]) == sorted(ids[1:4]) and [s for s, _ in few.best[1]] == [75] * 3
+
+
 def test_search_sends_queries_only_to_cells_in_reach(spark):
     rng = np.random.default_rng(5)
     data = clustered(rng, 20, 60) / 256
