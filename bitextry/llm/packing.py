@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -28,14 +28,17 @@ from bitextry.worker import content_key
 
 @dataclass(frozen=True)
 class PackingSpec:
-    """Tokens in a sequence, tokens in a length class, and the relative gap at which the program may stop."""
+    """Tokens in a sequence, tokens in a length class, and the relative gap at which the program may stop.
+
+    ``chunk`` characters are split at once, and of what they hold up to ``words`` different words are encoded at once.
+    """
 
     length: int = 2048
     unit: int = 8
     gap: float = 3e-4
     rounds: int = 6000
     end_id: int = 1
-    cache: int = 250_000
+    words: int = 250_000
     chunk: int = 1 << 21
 
 
@@ -129,9 +132,12 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[
 
 
 class Encoder(Protocol):
-    """Ids, as little-endian unsigned 32-bit numbers, of pre-tokens (UTF-8) in lower case and of any text."""
+    """Ids of pre-tokens (UTF-8) in lower case, as how many each has and all of them; and of any text, as bytes.
+
+    Ids are little-endian unsigned 32-bit numbers.
+    """
 
-    def words(self, words: list[bytes]) -> list[bytes]: ...
+    def words(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]: ...
 
     def text(self, text: str) -> bytes: ...
 
@@ -159,6 +165,8 @@ KINDS, LOWER, WIDTH = character_tables()
 
 # Characters that are split at once; a longer text is taken in parts, which end before blanks.
 LONG = 1 << 22
+# Characters of short texts that are split together: what is made of them stays in a core's own cache.
+NEAR = 1 << 17
 
 
 def parted(text: str, size: int) -> Iterator[str]:
@@ -202,42 +210,30 @@ def pre_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     inked = kinds != BLANK
     starts &= inked
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    before = np.concatenate([[0], np.cumsum(starts, dtype=np.int32)])
-    bounds = before[np.concatenate([[0], np.cumsum(lengths)])]
-    points, starts = points[inked], starts[inked]
-    ends = np.concatenate([[0], np.cumsum(WIDTH[points], dtype=np.int32)])
-    offsets = ends[np.append(np.flatnonzero(starts), len(points))]
+    bounds = np.searchsorted(np.flatnonzero(starts), np.concatenate([[0], np.cumsum(lengths)]))
+    points, first = points[inked], np.flatnonzero(starts[inked])
+    sizes = np.add.reduceat(WIDTH[points], first, dtype=np.int64) if len(first) else first
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
     data = points.tobytes().decode("utf-32-le").encode()
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
     return words, bounds
 
 
-class WordCodes(dict):
-    """Encoded ids of pre-tokens; encodes the unknown ones of some texts at once.
+class WordCodes:
+    """Encodes texts by their different pre-tokens, up to ``limit`` at once.
 
-    When it has ``limit`` of them, they become the old generation, and those that are met again come back from there.
+    Nothing is kept from one call to the next: most different words of a large corpus are rare ones, and to look each of
+    them up as an object of Python takes longer than to merge it again.
     """
 
     def __init__(self, encoder: Encoder, limit: int) -> None:
-        super().__init__()
         self.encoder, self.limit = encoder, limit
-        self.old: dict[bytes, bytes] = {}
 
-    def known(self, words: list[bytes]) -> list[bytes]:
+    def known(self, words: pa.LargeBinaryArray) -> pa.LargeListArray:
         """The ids of these different pre-tokens."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        codes = list(map(self.get, words))
-        missing = [i for i, code in enumerate(codes) if code is None]
-        if missing:
-            met = [(words[i], self.old.get(words[i])) for i in missing]
-            new = [word for word, code in met if code is None]
-            self.update((word, code) for word, code in met if code is not None)
-            self.update(zip(new, self.encoder.words(new), strict=True))
-            for i in missing:
-                codes[i] = self[words[i]]
-        return codes
+        found = [self.encoder.words(words[low : low + self.limit]) for low in range(0, len(words), self.limit)]
+        ends = np.cumsum(np.concatenate([[0], *(counts for counts, _ in found)]), dtype=np.int64)
+        return pa.LargeListArray.from_arrays(ends, np.concatenate([np.array([], np.uint32), *(ids for _, ids in found)]))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts. Plain ones are split and looked up together, without a step of Python for each word."""
@@ -250,12 +246,12 @@ class WordCodes(dict):
                 out[i] = b"".join(self.ids([part])[0] for part in parted(text, LONG))
             else:
                 chosen.append(i)
-        words, bounds = pre_tokens([texts[i] for i in chosen])
+        split = [pre_tokens(part) for part in in_chunks([texts[i] for i in chosen], NEAR)]
+        words = pa.concat_arrays([words for words, _ in split]) if split else pa.array([], pa.large_binary())
+        firsts = np.cumsum([0, *(len(words) for words, _ in split)])
+        bounds = np.concatenate([[0], *(first + bounds[1:] for first, (_, bounds) in zip(firsts, split))]).astype(np.int64)
         different = words.dictionary_encode()
-        codes = self.known(different.dictionary.to_numpy(zero_copy_only=False).tolist())
-        ends = np.cumsum([0, *map(len, codes)]) // 4
-        lists = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(codes), np.uint32))
-        found = lists.take(different.indices)
+        found = self.known(different.dictionary).take(different.indices)
         places = (4 * found.offsets.to_numpy()[bounds]).tolist()
         flat = memoryview(found.values.to_numpy()).cast("B")
         for i, low, high in zip(chosen, places[:-1], places[1:], strict=True):
@@ -275,10 +271,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = PairMerges(self.tokenizer.to_str())
 
-    def words(self, words: list[bytes]) -> list[bytes]:
+    def words(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pre-tokens in lower case: the file's merges alone."""
-        found = self.merges.encode(words)
-        return [self.text(word.decode()) if ids is None else ids for word, ids in zip(words, found, strict=True)]
+        counts, ids = self.merges.encode(words)
+        long = np.flatnonzero(counts < 0)
+        if len(long):
+            texts = [np.frombuffer(self.text(words[i].as_py().decode()), np.uint32) for i in long.tolist()]
+            counts[long] = 0
+            ids = np.insert(ids, np.repeat(np.cumsum(counts)[long], list(map(len, texts))), np.concatenate(texts))
+            counts[long] = list(map(len, texts))
+        return counts, ids
 
     def text(self, text: str) -> bytes:
         """The ids of any text by the whole file."""
@@ -295,7 +297,7 @@ def cut(codes: bytes, length: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def in_chunks(texts: pd.Series, size: int) -> Iterator[list[str]]:
+def in_chunks(texts: Iterable[str | None], size: int) -> Iterator[list[str]]:
     """The texts in order, null as empty, in lists that end when they have ``size`` characters."""
     part, length = [], 0
     for text in texts:
@@ -329,7 +331,7 @@ def pieces(docs: DataFrame, encoder: Callable[[], Encoder], spec: PackingSpec, i
         ]
 
     def split_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codes = held("packing", key, lambda: WordCodes(encoder(), spec.cache))
+        codes = held("packing", key, lambda: WordCodes(encoder(), spec.words))
         for texts in batches:
             yield pd.Series([rows(code) for part in in_chunks(texts, spec.chunk) for code in codes.ids(part)])
 

@@ -20,6 +20,7 @@ from bitextry.llm import (
     likelihood,
     mixing,
     packing,
+    pairmerge,
     personal,
     recurrent,
     sharding,
@@ -407,6 +408,33 @@ def test_word_codes_equal_the_library(monkeypatch, long):
     assert codes.ids([]) == [] and codes.ids(["", " "]) == [b"", b""]
 
 
+def test_words_are_merged_in_arrow_arrays():
+    """All different words of a batch at once, from any slice, with empty and long ones, equal to the library's ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(13)
+    letters = [*"eeeettaaoinsrhldcum", "é", "ß", "ſ"]
+    words = ["", "x" * 32, "y" * 33, "é" * 17, *("".join(rng.choice(letters, rng.integers(1, 45))) for _ in range(3000)), "z" * 70, ""]
+    whole, encoder = pa.array([w.encode() for w in words], pa.large_binary()), suite.word_encoder()
+    for low, high in ((0, len(words)), (2, 900), (1, 2), (len(words) - 2, len(words)), (5, 5)):
+        counts, ids = encoder.words(whole[low:high])
+        expected = [tokenizer.encode(w, add_special_tokens=False).ids for w in words[low:high]]
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_slots_tell_all_keys_apart():
+    rng = np.random.default_rng(14)
+    for keys in (rng.integers(0, 1 << 32, 20_000), np.array([7, 3, 7]), np.array([], np.int64)):
+        found = {}
+        for factor, table, places in pairmerge.slots(keys):
+            held = np.flatnonzero(table >= 0)
+            assert (pairmerge.slot(table[held], factor, len(table)) == held).all()
+            found |= dict(zip(table[held].tolist(), places[held].tolist(), strict=True))
+        assert found == {k: i for i, k in reversed(list(enumerate(keys.tolist())))}
+
+
 def test_packing_nothing(none):
     assert packing.pack(none, suite.word_encoder).count() == 0
 
