@@ -289,6 +289,127 @@ def word_edits(a: list[int], b: list[int]) -> int:
     return edits
 
 
+# Rows whose references take the same number of 64-bit words are measured together if there are this many for each of
+# those words; for fewer ones Python's long integers are faster.
+ROWS_PER_WORD = 16
+
+Texts = tuple[np.ndarray, np.ndarray]
+
+
+def _rows(texts: Texts, rows: np.ndarray) -> Iterator[list[int]]:
+    codes, lengths = texts
+    ends = np.cumsum(lengths)
+    for i in rows.tolist():
+        yield codes[ends[i] - lengths[i] : ends[i]].tolist()
+
+
+def word_edits_by_row(hyp: Texts, ref: Texts, long_edits=word_edits) -> np.ndarray:
+    """:func:`word_edits` of every row, from (token codes of all rows, tokens per row) of both sides.
+
+    ``long_edits`` is asked for the rows that are too few to be measured together.
+    """
+    edits = np.maximum(hyp[1], ref[1])
+    sizes = np.where(hyp[1] > 0, (ref[1] + 63) // 64, 0)
+    for size, count in zip(*np.unique(sizes, return_counts=True)):
+        rows = np.flatnonzero(sizes == size)
+        if not size:
+            continue
+        found = _edits_together(hyp, ref, rows, int(size)) if count >= ROWS_PER_WORD * size else None
+        if found is None:
+            pairs = zip(_rows(hyp, rows), _rows(ref, rows))
+            found = np.fromiter((long_edits(h, r) for h, r in pairs), dtype=np.int64, count=len(rows))
+        edits[rows] = found
+    return edits
+
+
+def _of_rows(texts: Texts, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of some rows, with the position of their row among those, and their own position in it."""
+    codes, lengths = texts
+    starts, lengths = (np.cumsum(lengths) - lengths)[rows], lengths[rows]
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return codes[np.repeat(starts, lengths) + inside], np.repeat(np.arange(len(rows)), lengths), inside
+
+
+def _edits_together(hyp: Texts, ref: Texts, rows: np.ndarray, size: int) -> np.ndarray | None:
+    """Word edits of rows whose references fit into ``size`` 64-bit words: block by block (Myers 1999), all rows at once.
+
+    None if a token's row, code and position do not fit into 63 bits.
+    """
+    back = np.argsort(-hyp[1][rows], kind="stable")
+    rows = rows[back]
+    steps = hyp[1][rows]
+    hyp_codes, hyp_row, hyp_at = _of_rows(hyp, rows)
+    ref_codes, ref_row, ref_at = _of_rows(ref, rows)
+    codes, different = _dense(np.concatenate([ref_codes, hyp_codes]))
+    bits, places = different.bit_length(), int(max(steps[0], 64 * size)).bit_length()
+    if (len(rows) - 1).bit_length() + bits + 1 + places > 63:
+        return None
+    # One sort brings each word of a row together: where the reference has it, then where the hypothesis has it.
+    packed = np.concatenate([ref_row, hyp_row]) << bits
+    packed |= codes
+    packed <<= 1 + places
+    packed[len(ref_codes) :] |= 1 << places
+    packed |= np.concatenate([ref_at, hyp_at])
+    packed.sort()
+    at, of_hyp = packed & (1 << places) - 1, (packed >> places & 1).astype(bool)
+    word = packed >> 1 + places
+    new = np.append(True, word[1:] != word[:-1])
+    number = np.cumsum(new) - 1
+    masks = np.zeros((size, int(number[-1]) + 1), dtype=np.uint64)
+    ref_number, ref_place = number[~of_hyp], at[~of_hyp]
+    cell = (ref_place >> 6) + ref_number * size
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    marks = np.uint64(1) << (ref_place & 63).astype(np.uint64)
+    masks[cell[first] % size, cell[first] // size] = np.bitwise_or.reduceat(marks, first)
+    # Step by step the rows that have a word there: the longest hypotheses come first.
+    active = len(rows) - np.searchsorted(steps[::-1], np.arange(steps[0]), side="right")
+    offsets = np.append(0, np.cumsum(active))
+    words = np.empty(len(hyp_codes), dtype=np.int64)
+    words[offsets[at[of_hyp]] + (word[of_hyp] >> bits)] = number[of_hyp]
+    one, top = np.uint64(1), np.uint64(63)
+    edits, room = steps.copy(), ref[1][rows]
+    grown = shrunk = None
+    for block in range(size):
+        up, down = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), dtype=np.uint64)
+        grows = shrinks = None
+        if block < size - 1:
+            grows, shrinks = np.empty(len(words), dtype=np.uint64), np.empty(len(words), dtype=np.uint64)
+        for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            up_now, down_now = up[: end - begin], down[: end - begin]
+            equal = masks[block].take(words[begin:end])
+            free = equal | down_now
+            if block:
+                equal |= shrunk[begin:end]
+            diagonal = equal & up_now
+            diagonal += up_now
+            diagonal ^= up_now
+            diagonal |= equal
+            increase = diagonal | up_now
+            np.invert(increase, out=increase)
+            increase |= down_now
+            decrease = np.bitwise_and(up_now, diagonal, out=diagonal)
+            if grows is not None:
+                np.right_shift(increase, top, out=grows[begin:end])
+                np.right_shift(decrease, top, out=shrinks[begin:end])
+            increase <<= one
+            increase |= grown[begin:end] if block else one
+            decrease <<= one
+            if block:
+                decrease |= shrunk[begin:end]
+            np.bitwise_or(free, increase, out=up_now)
+            np.invert(up_now, out=up_now)
+            up_now |= decrease
+            np.bitwise_and(increase, free, out=down_now)
+        grown, shrunk = grows, shrinks
+        # The last block may be longer than its reference.
+        left = np.clip(room - 64 * block, 0, 64).astype(np.uint64)
+        inside = np.where(left == 64, ~np.uint64(0), (one << (left & top)) - one)
+        edits += np.bitwise_count(up & inside).astype(np.int64) - np.bitwise_count(down & inside)
+    out = np.empty(len(rows), dtype=np.int64)
+    out[back] = edits
+    return out
+
+
 def _token_rows(*lists: pa.Array) -> Iterator[tuple[list[int], ...]]:
     codes = _codes(*(t.flatten() for t in lists))
     ends = [np.cumsum(_lengths(t)) for t in lists]
@@ -314,16 +435,22 @@ def rouge_batch(hyp: pa.Array, ref: pa.Array) -> pa.StructArray:
 
 
 def _edit_statistics(hyp: pa.Array, refs: pa.Array, edits_of) -> pa.StructArray:
-    """Fewest edits over the references, and the mean reference length, of every row."""
+    """Fewest edits over the references, and the mean reference length, of every row.
+
+    ``edits_of`` takes the token codes and lengths of both sides and gives the edits of all rows.
+    """
     per_row = _lengths(refs)
     edits = np.full(len(hyp), np.iinfo(np.int64).max)
     words = np.zeros(len(hyp), dtype=np.float64)
+    hyp_lengths = _lengths(hyp)
     for k in range(max(int(per_row.max(initial=1)), 1)):
         reference = _reference(refs, k)
-        for i, (h, r) in enumerate(_token_rows(hyp, reference)):
-            if k < max(per_row[i], 1):
-                edits[i] = min(edits[i], edits_of(h, r) if r else len(h))
-                words[i] += len(r)
+        ref_lengths = _lengths(reference)
+        hyp_codes, ref_codes = _codes(hyp.flatten(), reference.flatten())
+        found = edits_of((hyp_codes, hyp_lengths), (ref_codes, ref_lengths))
+        present = k < np.maximum(per_row, 1)
+        edits = np.where(present, np.minimum(edits, found), edits)
+        words += np.where(present, ref_lengths, 0)
     return _structs({"edits": edits, "ref_words": words / np.maximum(per_row, 1)})
 
 
@@ -356,20 +483,22 @@ def rouge_statistics(hyp_tokens: Column, ref_tokens: Column) -> Column:
 
 
 def word_edit_statistics(hyp_tokens: Column, refs_tokens: Column) -> Column:
+    from bitextry.functions.shifts import plain_edits
+
     @F.arrow_udf("struct<edits:bigint,ref_words:double>")
     def edit(hyp: pa.Array, refs: pa.Array) -> pa.Array:
-        return _edit_statistics(hyp, refs, word_edits)
+        return _edit_statistics(hyp, refs, plain_edits)
 
     return edit(hyp_tokens, refs_tokens)
 
 
 def ter_statistics(hyp_tokens: Column, refs_tokens: Column, limits=None) -> Column:
-    from bitextry.functions.shifts import ShiftLimits, translation_edits
+    from bitextry.functions.shifts import ShiftLimits, translation_edits_by_row
 
     limits = limits or ShiftLimits()
 
     @F.arrow_udf("struct<edits:bigint,ref_words:double>")
     def ter(hyp: pa.Array, refs: pa.Array) -> pa.Array:
-        return _edit_statistics(hyp, refs, lambda h, r: translation_edits(h, r, limits))
+        return _edit_statistics(hyp, refs, lambda h, r: translation_edits_by_row(h, r, limits))
 
     return ter(hyp_tokens, refs_tokens)

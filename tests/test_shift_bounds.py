@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from bitextry.functions import shifts
@@ -29,3 +30,27 @@ def test_bounds_never_exceed_the_edits():
         edits = translation_edits(hyp, ref)
         assert unmovable_edits(hyp, ref) <= edits <= word_edits(hyp, ref)
         assert translation_edits(hyp, ref, ShiftLimits(tried=2)) >= unmovable_edits(hyp, ref)
+
+
+def test_words_that_both_sides_begin_and_end_with_are_not_passed(monkeypatch):
+    calls = []
+    advance = shifts._Reference.advance
+    monkeypatch.setattr(shifts._Reference, "advance", lambda *args: calls.append(1) or advance(*args))
+    ref = list(range(1500))
+    hyp = ref[:700] + ref[703:706] + ref[700:703] + ref[706:]
+    assert translation_edits(hyp, ref) == 1
+    assert len(calls) < 200
+
+
+def test_edits_of_rows_measured_together():
+    rng = random.Random(5)
+    sizes = [rng.choice([0, 1, 20, 63, 64, 65, 127, 128, 129, 200]) for _ in range(400)]
+    refs = [[rng.randrange(30) for _ in range(size)] for size in sizes]
+    hyps = [[w for w in ref if rng.random() < 0.8] + [rng.randrange(40)] * rng.randrange(3) for ref in refs]
+    for i in range(0, 400, 40):
+        hyps[i] = refs[i][5:9] + refs[i][:5] + refs[i][9:]
+    sides = [
+        (np.array([w for row in rows for w in row], dtype=np.int64), np.array([len(row) for row in rows])) for rows in (hyps, refs)
+    ]
+    assert shifts.plain_edits(*sides).tolist() == [word_edits(h, r) for h, r in zip(hyps, refs)]
+    assert shifts.translation_edits_by_row(*sides).tolist() == [translation_edits(h, r) for h, r in zip(hyps, refs)]
