@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bitextry.functions.bytetokens import for_each_reference, needs_order, ordered_words, squeezed, text_bytes, words
+
 BLEU_ORDER = 4
 CHRF_ORDER = 6
 # Tokens that a kernel expands at once: hash tables stay in the processor cache, and memory does not
@@ -44,10 +46,9 @@ def _codes(*texts: pa.Array) -> list[np.ndarray]:
 
 def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all rows in a row, and the length of each row."""
-    texts = pc.fill_null(texts, "")
-    joined = "".join(texts.to_pylist())
-    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    return points, pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    data, _ = text_bytes(texts)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return points, pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def clipped_matches(
@@ -63,6 +64,9 @@ def clipped_matches(
     lengths = np.concatenate([n for _, n in sides])
     codes, different = _dense(np.concatenate([c for c, _ in sides]))
     bits, side_bits = different.bit_length(), len(refs).bit_length()
+    pair_bits = (different + 1).bit_length()
+    if len(refs) == 1 and max(rows - 1, 0).bit_length() + max_order * pair_bits + 1 < 64:
+        return _matches_of_pairs(codes, lengths, rows, pair_bits, different, max_order)
     if max(rows - 1, 0).bit_length() + max_order * bits + side_bits < 64:
         return _matches_by_sort(codes, lengths, rows, bits, side_bits, max_order)
     if rows == 1:
@@ -86,6 +90,58 @@ def _dense(codes: np.ndarray) -> tuple[np.ndarray, int]:
     return codes + 1, len(values)
 
 
+def _matches_of_pairs(
+    codes: np.ndarray, lengths: np.ndarray, rows: int, bits: int, different: int, max_order: int
+) -> np.ndarray:
+    """Matches with one reference, from how often each n-gram is on one side and not on the other.
+
+    What is on both sides cancels out of a sum of +1 for the hypothesis and -1 for the reference over each run of the sorted
+    n-grams. The ends of both sides are filled up with different tokens, so n-grams beyond an end meet no other.
+    """
+    out = np.zeros((rows, max_order), dtype=np.int64)
+    if not len(codes):
+        return out
+    gap = max_order - 1
+    texts = np.arange(2 * rows)
+    at = np.arange(len(codes)) + np.repeat(texts * gap, lengths)
+    apart = np.zeros(len(codes) + 2 * rows * gap + max_order, dtype=np.int64)
+    apart[int(lengths[:rows].sum()) + rows * gap :] = different + 1
+    apart[at] = codes
+    size = len(apart) - max_order
+    gram = apart[:size] << bits
+    gram |= apart[1 : 1 + size]
+    for k in range(2, max_order):
+        gram <<= bits
+        gram |= apart[k : k + size]
+    gram = gram[at] if max_order > 1 else codes.copy()
+    gram |= np.repeat(texts % rows << max_order * bits, lengths)
+    gram <<= 1
+    gram[int(lengths[:rows].sum()) :] |= 1
+    gram.sort()
+    # A text has fewer than 2 ** 31 tokens.
+    sums = np.cumsum(1 - 2 * (gram & 1).astype(np.int8), dtype=np.int32)
+    gram >>= 1
+    both = lengths[:rows] + lengths[rows:]
+    for order in range(max_order, 0, -1):
+        ends = np.ones(len(gram), dtype=bool)
+        np.not_equal(gram[1:], gram[:-1], out=ends[:-1])
+        lasts = np.flatnonzero(ends)
+        sums, gram = sums[lasts], gram[lasts]
+        more = sums.copy()
+        np.subtract(sums[1:], sums[:-1], out=more[1:])
+        # An n-gram that both sides have equally often adds nothing to the shorter ones either.
+        left = np.flatnonzero(more)
+        more, gram = more[left], gram[left]
+        alone = np.bincount(gram >> order * bits, weights=np.abs(more), minlength=rows)
+        out[:, order - 1] = (both - alone.astype(np.int64)) // 2
+        if not len(left):
+            out[:, : order - 1] = (both // 2)[:, None]
+            break
+        gram >>= bits
+        sums = np.cumsum(more, dtype=np.int32)
+    return out
+
+
 def _matches_by_sort(
     codes: np.ndarray, lengths: np.ndarray, rows: int, bits: int, side_bits: int, max_order: int
 ) -> np.ndarray:
@@ -291,7 +347,9 @@ def word_edits(a: list[int], b: list[int]) -> int:
 
 # Rows whose references take the same number of 64-bit words are measured together if there are this many for each of
 # those words; for fewer ones Python's long integers are faster.
-ROWS_PER_WORD = 16
+ROWS_PER_WORD = 12
+# So that more rows meet, long references count as a little longer.
+SIZES = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
 
 Texts = tuple[np.ndarray, np.ndarray]
 
@@ -310,6 +368,7 @@ def word_edits_by_row(hyp: Texts, ref: Texts, long_edits=word_edits) -> np.ndarr
     """
     edits = np.maximum(hyp[1], ref[1])
     sizes = np.where(hyp[1] > 0, (ref[1] + 63) // 64, 0)
+    sizes = np.where(sizes <= SIZES[-1], SIZES[np.searchsorted(SIZES, sizes).clip(0, len(SIZES) - 1)], sizes)
     for size, count in zip(*np.unique(sizes, return_counts=True)):
         rows = np.flatnonzero(sizes == size)
         if not size:
@@ -441,7 +500,7 @@ def _edit_statistics(hyp: pa.Array, refs: pa.Array, edits_of) -> pa.StructArray:
     """
     per_row = _lengths(refs)
     edits = np.full(len(hyp), np.iinfo(np.int64).max)
-    words = np.zeros(len(hyp), dtype=np.float64)
+    ref_words = np.zeros(len(hyp), dtype=np.float64)
     hyp_lengths = _lengths(hyp)
     for k in range(max(int(per_row.max(initial=1)), 1)):
         reference = _reference(refs, k)
@@ -450,8 +509,8 @@ def _edit_statistics(hyp: pa.Array, refs: pa.Array, edits_of) -> pa.StructArray:
         found = edits_of((hyp_codes, hyp_lengths), (ref_codes, ref_lengths))
         present = k < np.maximum(per_row, 1)
         edits = np.where(present, np.minimum(edits, found), edits)
-        words += np.where(present, ref_lengths, 0)
-    return _structs({"edits": edits, "ref_words": words / np.maximum(per_row, 1)})
+        ref_words += np.where(present, ref_lengths, 0)
+    return _structs({"edits": edits, "ref_words": ref_words / np.maximum(per_row, 1)})
 
 
 def _struct_type(fields: list[str]) -> str:
@@ -466,12 +525,27 @@ def bleu_statistics(hyp_tokens: Column, refs_tokens: Column) -> Column:
     return bleu(hyp_tokens, refs_tokens)
 
 
+def bleu_text_statistics(hyp: Column, refs: Column, ruled) -> Column:
+    """:func:`bleu_statistics` of 13a words; ``ruled`` gives those of texts that need the rules in order."""
+
+    @F.arrow_udf(_struct_type(BLEU_FIELDS))
+    def bleu(hyp: pa.Array, refs: pa.Array, hyp_given: pa.Array, refs_given: pa.Array) -> pa.Array:
+        return bleu_batch(ordered_words(hyp, hyp_given), for_each_reference(refs, ordered_words, refs_given))
+
+    def given(text: Column) -> Column:
+        return F.when(needs_order(text), ruled(text))
+
+    return bleu(F.make_valid_utf8(hyp), F.transform(refs, F.make_valid_utf8), given(hyp), F.transform(refs, given))
+
+
 def chrf_statistics(hyp: Column, refs: Column) -> Column:
+    """Of texts with white space, which does not count."""
+
     @F.arrow_udf(_struct_type(CHRF_FIELDS))
     def chrf(hyp: pa.Array, refs: pa.Array) -> pa.Array:
-        return chrf_batch(hyp, refs)
+        return chrf_batch(squeezed(hyp), for_each_reference(refs, squeezed))
 
-    return chrf(hyp, refs)
+    return chrf(F.make_valid_utf8(hyp), F.transform(refs, F.make_valid_utf8))
 
 
 def rouge_statistics(hyp_tokens: Column, ref_tokens: Column) -> Column:
@@ -482,23 +556,22 @@ def rouge_statistics(hyp_tokens: Column, ref_tokens: Column) -> Column:
     return rouge(hyp_tokens, ref_tokens)
 
 
-def word_edit_statistics(hyp_tokens: Column, refs_tokens: Column) -> Column:
-    from bitextry.functions.shifts import plain_edits
-
+def _edits_of_texts(hyp: Column, refs: Column, edits_of) -> Column:
     @F.arrow_udf("struct<edits:bigint,ref_words:double>")
     def edit(hyp: pa.Array, refs: pa.Array) -> pa.Array:
-        return _edit_statistics(hyp, refs, plain_edits)
+        return _edit_statistics(words(hyp), for_each_reference(refs, words), edits_of)
 
-    return edit(hyp_tokens, refs_tokens)
+    return edit(F.make_valid_utf8(hyp), F.transform(refs, F.make_valid_utf8))
 
 
-def ter_statistics(hyp_tokens: Column, refs_tokens: Column, limits=None) -> Column:
-    from bitextry.functions.shifts import ShiftLimits, translation_edits_by_row
+def word_edit_statistics(hyp: Column, refs: Column) -> Column:
+    from bitextry.functions.shifts import plain_edits
 
-    limits = limits or ShiftLimits()
+    return _edits_of_texts(hyp, refs, plain_edits)
 
-    @F.arrow_udf("struct<edits:bigint,ref_words:double>")
-    def ter(hyp: pa.Array, refs: pa.Array) -> pa.Array:
-        return _edit_statistics(hyp, refs, lambda h, r: translation_edits_by_row(h, r, limits))
 
-    return ter(hyp_tokens, refs_tokens)
+def ter_statistics(hyp: Column, refs: Column, limits=None) -> Column:
+    from bitextry.functions.shifts import ShiftLimits, translation_edits_by_row
+
+    limits = limits or ShiftLimits()
+    return _edits_of_texts(hyp, refs, lambda h, r: translation_edits_by_row(h, r, limits))

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType
 from bitextry.functions import kernels
 from bitextry.functions.shifts import ShiftLimits
 from bitextry.functions.strings import as_column
-from bitextry.functions.tokenizers import Tokenizer, alphanumeric_tokens, tokenizer, whitespace_tokens
+from bitextry.functions.tokenizers import Tokenizer, alphanumeric_tokens, mteval_13a_tokens, tokenizer
 
 ROUGE_TYPES = ("rouge1", "rouge2", "rougeL")
 
@@ -40,6 +40,8 @@ class Bleu:
     def statistics(self, hyp: Column, refs: Column) -> Column:
         cut = tokenizer(self.tokenize)
         case = F.lower if self.lowercase else (lambda x: x)
+        if cut is mteval_13a_tokens:
+            return kernels.bleu_text_statistics(case(hyp), F.transform(refs, case), cut)
         return kernels.bleu_statistics(cut(case(hyp)), F.transform(refs, lambda r: cut(case(r))))
 
     def scores(self, total: Callable[[str], Column]) -> dict[str, Column]:
@@ -93,10 +95,7 @@ class Chrf:
     def statistics(self, hyp: Column, refs: Column) -> Column:
         case = F.lower if self.lowercase else (lambda x: x)
 
-        def squeeze(text: Column) -> Column:
-            return F.regexp_replace(F.replace(case(text), F.lit(" "), F.lit("")), r"(?U)[\s\x1c-\x1f]+", "")
-
-        return kernels.chrf_statistics(squeeze(hyp), F.transform(refs, squeeze))
+        return kernels.chrf_statistics(case(hyp), F.transform(refs, case))
 
     def scores(self, total: Callable[[str], Column]) -> dict[str, Column]:
         zero = F.lit(0.0)
@@ -132,8 +131,8 @@ class Ter:
 
     def statistics(self, hyp: Column, refs: Column) -> Column:
         case = (lambda x: x) if self.case_sensitive else F.lower
-        words = whitespace_tokens(case(hyp)), F.transform(refs, lambda r: whitespace_tokens(case(r)))
-        return kernels.ter_statistics(*words, self.limits) if self.shifts else kernels.word_edit_statistics(*words)
+        texts = case(hyp), F.transform(refs, case)
+        return kernels.ter_statistics(*texts, self.limits) if self.shifts else kernels.word_edit_statistics(*texts)
 
     def scores(self, total: Callable[[str], Column]) -> dict[str, Column]:
         edits, words = total("edits"), total("ref_words")
