@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,73 @@ def pair_with_references(hyps: DataFrame, refs: DataFrame, keys: Sequence[str] =
     return align(hyps, refs, keys)
 
 
+# Lines of all steps together that meet their references at once.
+LINES_PER_BLOCK = 16_384
+
+
+def _packed(df: DataFrame, text: str, block: int) -> DataFrame:
+    """``block, step, lines``: lines in runs of the same block of line numbers and step, as compressed Arrow data.
+
+    Runs are as long as the order of the rows allows, which changes no result.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            steps = batch.column(0).to_numpy(zero_copy_only=False)
+            blocks = batch.column(1).to_numpy(zero_copy_only=False) // block
+            starts = np.flatnonzero(np.append(True, (steps[1:] != steps[:-1]) | (blocks[1:] != blocks[:-1])))
+            held, lines = [], batch.select([1, 2])
+            for begin, end in zip(starts, np.append(starts[1:], len(steps))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, lines.schema, options=options) as out:
+                    out.write_batch(lines.slice(begin, end - begin))
+                held.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks[starts]), pa.array(steps[starts], pa.int32()), pa.array(held, pa.binary())],
+                names=["block", "step", "lines"],
+            )
+
+    rows = df.filter(F.col("line_no").isNotNull()).select("step", F.col("line_no").cast("bigint"), text)
+    return rows.mapInArrow(pack, "block bigint, step int, lines binary")
+
+
+def _unpacked(packed: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Steps, line numbers and texts of packed runs."""
+    tables = [pa.ipc.open_stream(lines.as_buffer()).read_all() for lines in packed.column("lines")]
+    steps = np.repeat(packed.column("step").to_numpy(), [t.num_rows for t in tables])
+    if not tables:
+        return steps, np.empty(0, dtype=np.int64), pa.array([], pa.string())
+    rows = pa.concat_tables(tables)
+    return steps, rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+
+
+def pair_in_blocks(steps: DataFrame, refs: DataFrame, count: int) -> DataFrame:
+    """``step, line_no, hyp, ref`` of ``count`` steps: a join on ``line_no`` that moves compressed runs of lines.
+
+    Lines in the order of their numbers make long runs.
+    """
+    block = max(LINES_PER_BLOCK // max(count, 1), 1)
+
+    def pair(hyps: pa.Table, refs: pa.Table) -> pa.Table:
+        step, line_no, hyp = _unpacked(hyps)
+        _, ref_no, ref = _unpacked(refs)
+        order = np.argsort(ref_no, kind="stable")
+        ref_no = ref_no[order]
+        first = np.searchsorted(ref_no, line_no)
+        found = np.searchsorted(ref_no, line_no, side="right") - first
+        row = np.repeat(np.arange(len(line_no)), found)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(found) - found - first, found)
+        columns = [step[row], line_no[row], hyp.take(pa.array(row)), ref.take(pa.array(order[place]))]
+        return pa.table(columns, names=["step", "line_no", "hyp", "ref"])
+
+    left = _packed(steps, "hyp", block).groupBy("block")
+    right = _packed(refs.withColumn("step", F.lit(0)), "ref", block).groupBy("block")
+    return left.cogroup(right).applyInArrow(pair, "step int, line_no bigint, hyp string, ref string")
+
+
 def step_sizes(steps: DataFrame) -> DataFrame:
     """``step, predictions``: the lines of each step."""
     return steps.groupBy("step").agg(F.count(F.lit(1)).alias("predictions"))

@@ -12,7 +12,9 @@ from bitextry.session import checkpointed, small
 HASH_BUCKETS_HEX = 4
 
 
-def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_no", start: int = 0) -> DataFrame:
+def with_ordinal(
+    df: DataFrame, order_by: Sequence[str | Column], name: str = "row_no", start: int = 0, compression: str | None = None
+) -> DataFrame:
     """Add the position of each row in ``order_by`` order.
 
     The range-partitioned sort is written out, so that partition ids stay put when executors are
@@ -21,7 +23,8 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "r
     placed = checkpointed(
         df.orderBy(*order_by).select(
             "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")
-        )
+        ),
+        compression,
     )
     parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
     # One row per sort partition, of which there are at most spark.sql.shuffle.partitions.

@@ -119,10 +119,17 @@ def _in_line_order(df: DataFrame, order_by: str, lines_per_file: int) -> DataFra
 
 
 def write_lines(
-    df: DataFrame, text: Column | str, path: str, order_by: str = "line_no", lines_per_file: int = 1_000_000
+    df: DataFrame,
+    text: Column | str,
+    path: str,
+    order_by: str = "line_no",
+    lines_per_file: int = 1_000_000,
+    compression: str | None = None,
 ) -> None:
     """One line per row. Part files, read in name order, give the rows in ``order_by`` order.
 
+    A compressed part file is read by one task, so ``lines_per_file`` is then also the most lines of a task.
+
     A line break inside a row would shift every later line, so it is an error; so is a null.
     """
     text = as_column(text)
@@ -130,7 +137,7 @@ def write_lines(
         text.isNull() | text.rlike(r"[\r\n]"), F.raise_error(F.lit("each row must be exactly one line")).cast("string")
     ).otherwise(text)
     lines = df.select(F.col(order_by), one_line.alias("value"))
-    _in_line_order(lines, order_by, lines_per_file).select("value").write.text(path)
+    _in_line_order(lines, order_by, lines_per_file).select("value").write.text(path, compression=compression)
 
 
 def write_batch_tagged(df: DataFrame, text: Column | str, path: str, batch_size: int, order_by: str = "line_no") -> None:

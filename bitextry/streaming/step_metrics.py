@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from bitextry.operators.align import pair_in_blocks
 from bitextry.operators.scoring import close_scores, row_statistics
 from bitextry.session import checkpointed
 from bitextry.sources.corpora import STEP_PATTERN, read_step_predictions
@@ -52,14 +53,17 @@ def watch_steps(
     checkpoint: str,
     available_now: bool = True,
     files_per_batch: int = 10_000,
+    stored: bool = False,
 ) -> StreamingQuery:
     """Follow ``folder`` for ``dev.step_{N}.pred`` files (or folders of part files) and keep each step's statistics.
 
     ``references`` has ``line_no, ref``. A file must be moved into place whole. Only names are read to learn what has arrived;
     a new file's lines are counted once, and scored once, when its step has as many lines as there are
     references. Earlier files are never read again. A step with more lines than references is an error.
+    With ``stored``, the references come from a table that stays as it is, and are not written again.
     """
-    refs = checkpointed(references.select("line_no", "ref"))
+    refs = references.select("line_no", "ref")
+    refs = refs if stored else checkpointed(refs, "zstd")
     expected = refs.count()
     arrivals = (
         references.sparkSession.readStream.format("binaryFile")
@@ -83,7 +87,7 @@ def watch_steps(
         files = complete_steps(session, state, epoch, expected, set(new.values()))
         if not files:
             return
-        paired = read_step_predictions(session, files).join(refs, "line_no")
+        paired = pair_in_blocks(read_step_predictions(session, files), refs, len(files))
         sums = statistics_by_step(paired, metrics)
         sums.filter(_exactly(expected)).write.mode("overwrite").parquet(f"{state}/sums/epoch={epoch}")
 

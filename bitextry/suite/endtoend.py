@@ -279,7 +279,7 @@ def stream_step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's answer after it has caught up; the batch answer is ``metrics_by_step``."""
     base, refs = written_steps(spark, sf_dir, "stream")
     state = scratch_path(spark, "state")
-    watch_steps(base, refs, STEP_METRICS, state, scratch_path(spark, "progress")).awaitTermination()
+    watch_steps(base, refs, STEP_METRICS, state, scratch_path(spark, "progress"), stored=True).awaitTermination()
     return rounded(step_scores(spark, state, STEP_METRICS))
 
 

@@ -123,14 +123,27 @@ def batch_tsv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_lines(spark, path).select("line_no", cells[0].alias("batch"), cells[1].alias("summary"))
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``row_no, line`` in document order, as a stored table.
+
+    Where ids tell documents apart the lines are sorted with their text, once. Else numbers are given to keys, and
+    lines meet them by key.
+    """
+    lines = views.lines(spark, sf_dir)
+    ids = views.documents(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty():
+        placed = with_ordinal(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"], compression="zstd")
+        return placed.select("row_no", "line")
+    rows = with_ordinal(lines.select("doc_id", "line_no"), ["doc_id", "line_no"])
+    return checkpointed(lines.join(rows, ["doc_id", "line_no"]).select("row_no", "line"), "zstd")
+
+
 def written_steps(spark: SparkSession, sf_dir: str, label: str) -> tuple[str, DataFrame]:
-    """A folder of ``dev.step_{N}.pred`` and the references ``line_no, ref``."""
-    base = scratch_path(spark, label)
-    rows = with_ordinal(views.lines(spark, sf_dir).select("doc_id", "line_no"), ["doc_id", "line_no"])
-    numbered = checkpointed(views.lines(spark, sf_dir).join(rows, ["doc_id", "line_no"]).select("row_no", "line"))
+    """A folder of ``dev.step_{N}.pred``, their part files compressed, and the references ``line_no, ref``."""
+    base, numbered = scratch_path(spark, label), numbered_lines(spark, sf_dir)
     for step in views.STEPS:
         made = numbered.select("row_no", views.predicted(F.col("line"), F.lit(step)).alias("hyp"))
-        text.write_lines(made, "hyp", f"{base}/dev.step_{step}.pred", "row_no")
+        text.write_lines(made, "hyp", f"{base}/dev.step_{step}.pred", "row_no", compression="gzip")
     return base, numbered.select(F.col("row_no").alias("line_no"), F.col("line").alias("ref"))
 
 
